@@ -45,13 +45,11 @@ def qgram_fingerprint(
             )
         )
 
+    def positions(hashed: Column, start: int) -> Column:
+        return F.transform(hashed, lambda h: (hash_to_int(h, start) % F.lit(n_bits)).cast("int"))
+
     def bits(hashed: Column) -> Column:
-        parts = [
-            F.transform(
-                hashed, lambda h, k=k: (hash_to_int(h, 1 + 8 * k) % F.lit(n_bits)).cast("int")
-            )
-            for k in range(hashes_per_feature)
-        ]
+        parts = [positions(hashed, 1 + 8 * k) for k in range(hashes_per_feature)]
         return F.sort_array(F.array_distinct(parts[0] if len(parts) == 1 else F.concat(*parts)))
 
     return bind(tokens(structure, unit, class_map), lambda t: bind(grams(t), bits))

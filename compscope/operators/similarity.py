@@ -187,6 +187,16 @@ def number_centroids(
     return ranked.select(*centroids.columns, (F.col("_r") - 1).alias(name))
 
 
+def assign_exact(rows: DataFrame, centroids: DataFrame, dataset: str, key: str) -> DataFrame:
+    """Rows whose key is a centroid's own key, with its ``cluster_ID``.
+
+    The right side has one row per key, so a key that most rows share costs no more than its rows
+    (Spark splits a skewed left partition).
+    """
+    lookup = centroids.groupBy(dataset, key).agg(F.min("cluster_ID").alias("cluster_ID"))
+    return rows.join(lookup, [dataset, key])
+
+
 def assign_clusters(
     rows: DataFrame,
     centroids: DataFrame,

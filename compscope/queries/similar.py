@@ -1 +1,270 @@
+"""Fingerprints, similarity joins, leader clusters and cluster assignment."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import fingerprints
+from ..operators import leaders, libraries, similarity
+from ..session import materialise
+from .registry import load, query, r6
+
+# Bits of the wide document fingerprint (word 3-grams of the whole text).
+WIDE = 2147483647
+
+WORDS = r"""
+  words AS (SELECT doc_id, lang, text,
+      list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+  tok AS (SELECT doc_id, lang, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS i
+          FROM words),
+  grams AS (SELECT doc_id, lang, n, i, md5(t || coalesce(' ' || lead(t, 1) OVER o, '')
+                                             || coalesce(' ' || lead(t, 2) OVER o, '')) AS h
+            FROM tok WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  hashed AS MATERIALIZED (SELECT doc_id, lang, ('0x' || substr(h, 1, 8))::BIGINT AS x
+                          FROM grams WHERE i <= greatest(n - 2, 1))"""
+
+SHINGLES = f"""{WORDS},
+  sh AS MATERIALIZED (SELECT DISTINCT doc_id, lang, (x % {WIDE})::INTEGER AS b FROM hashed),
+  sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id)"""
+
+# Greedy leaders in doc_id order over the distinct texts of each language.
+LEADERS = f"""{SHINGLES},
+  firsts AS (SELECT min(doc_id) AS doc_id, lang, any_value(text) AS text
+             FROM documents GROUP BY lang, md5(text)),
+  nodes AS MATERIALIZED (SELECT f.*, row_number() OVER (ORDER BY f.doc_id) AS i FROM firsts f),
+  kept AS MATERIALIZED (SELECT nodes.i, sh.lang, sh.b FROM sh JOIN nodes USING (doc_id)),
+  near AS MATERIALIZED (
+    SELECT v, list(u) AS us FROM (
+      SELECT x.i AS u, y.i AS v, count(*) AS c FROM kept x JOIN kept y
+        ON x.b = y.b AND x.lang = y.lang AND x.i < y.i GROUP BY x.i, y.i) p
+      JOIN nodes nu ON nu.i = u JOIN nodes nv ON nv.i = v
+      JOIN sizes su ON su.doc_id = nu.doc_id JOIN sizes sv ON sv.doc_id = nv.doc_id
+    WHERE 100 * c >= 65 * (su.n + sv.n - c) GROUP BY v),
+  pick(i, chosen) AS (
+    SELECT 0::BIGINT, []::BIGINT[]
+    UNION ALL
+    SELECT p.i + 1, CASE WHEN n.us IS NOT NULL AND list_has_any(p.chosen, n.us) THEN p.chosen
+                         ELSE list_append(p.chosen, p.i + 1) END
+    FROM pick p LEFT JOIN near n ON n.v = p.i + 1
+    WHERE p.i < (SELECT max(i) FROM nodes)),
+  lead AS MATERIALIZED (
+    SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS cid
+    FROM nodes JOIN (SELECT unnest(chosen) AS i FROM pick
+                     WHERE i = (SELECT max(i) FROM nodes)) USING (i))"""
+
+
+def document_bits(spark, sf):
+    docs = load(spark, sf, "documents")
+    bits = fingerprints.qgram_fingerprint(F.col("text"), q=3, n_bits=WIDE, unit="word")
+    return materialise(docs.select("doc_id", "lang", "text", bits.alias("bits")), "documents")
+
+
+def document_leaders(docs):
+    firsts = libraries.dedup_keep_first(docs, ["lang", "text"], "doc_id")
+    lead = leaders.leader_cluster(firsts, "lang", "doc_id", "bits", 0.65)
+    return firsts, materialise(lead, "leaders")
+
+
+@query(f"""
+  WITH {WORDS}, d AS (SELECT DISTINCT doc_id, (x % 1024)::INTEGER AS b FROM hashed)
+  SELECT doc_id, count(*)::INTEGER AS n_set, string_agg(b::VARCHAR, ',' ORDER BY b) AS bits
+  FROM d GROUP BY doc_id""")
+def fingerprint_qgram(spark, sf):
+    bits = fingerprints.qgram_fingerprint(F.col("text"), q=3, n_bits=1024, unit="word")
+    return load(spark, sf, "documents").select("doc_id", bits.alias("bits")).select(
+        "doc_id", F.size("bits").alias("n_set"), F.array_join("bits", ",").alias("bits")
+    )
+
+
+# Vowels, consonants and blanks as three classes.
+CLASSES = ("abcdefghijklmnopqrstuvwxyz ", "vcccvcccvcccccvcccccvcccccs")
+
+
+def _char_grams(text: str, q: int) -> str:
+    return (
+        f"(SELECT p_partkey, md5(substr(s, unnest(range(1, greatest(length(s) - {q - 1}, 1) + 1))"
+        f", {q})) AS h FROM (SELECT p_partkey, {text} AS s FROM part))"
+    )
+
+
+@query(f"""
+  SELECT p_partkey, count(*)::INTEGER AS n_set, string_agg(b::VARCHAR, ',' ORDER BY b) AS bits
+  FROM (SELECT DISTINCT p_partkey, ('0x' || substr(h, 1, 8))::BIGINT % 1024 AS b
+        FROM {_char_grams(f"translate(p_name, '{CLASSES[0]}', '{CLASSES[1]}')", 4)})
+  GROUP BY p_partkey""")
+def fingerprint_classmap(spark, sf):
+    bits = fingerprints.qgram_fingerprint(F.col("p_name"), q=4, class_map=CLASSES)
+    return load(spark, sf, "part").select("p_partkey", bits.alias("bits")).select(
+        "p_partkey", F.size("bits").alias("n_set"), F.array_join("bits", ",").alias("bits")
+    )
+
+
+@query(f"""
+  WITH g AS {_char_grams("p_name", 5)}
+  SELECT p_partkey, count(*)::INTEGER AS n_set, string_agg(b::VARCHAR, ',' ORDER BY b) AS bits
+  FROM (SELECT p_partkey, ('0x' || substr(h, 1, 8))::BIGINT % 1024 AS b FROM g
+        UNION SELECT p_partkey, ('0x' || substr(h, 9, 8))::BIGINT % 1024 FROM g)
+  GROUP BY p_partkey""")
+def fingerprint_2hash(spark, sf):
+    bits = fingerprints.qgram_fingerprint(F.col("p_name"), q=5, hashes_per_feature=2)
+    return load(spark, sf, "part").select("p_partkey", bits.alias("bits")).select(
+        "p_partkey", F.size("bits").alias("n_set"), F.array_join("bits", ",").alias("bits")
+    )
+
+
+SIGNS = """
+  signs AS MATERIALIZED (SELECT vec_id, label,
+      list_filter(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN i - 1 END),
+                  lambda i: i IS NOT NULL) AS bits FROM embeddings)"""
+
+
+@query(f"""
+  WITH {SIGNS} SELECT vec_id, len(bits)::INTEGER AS n_set, array_to_string(bits, ',') AS bits
+  FROM signs""")
+def bits_from_array(spark, sf):
+    row = F.transform("embedding", lambda x: (x > 0).cast("int"))
+    return load(spark, sf, "embeddings").select(
+        "vec_id", fingerprints.bits_from_array(row).alias("bits")
+    ).select("vec_id", F.size("bits").alias("n_set"), F.array_join("bits", ",").alias("bits"))
+
+
+# Greedy leaders of the sign bits at similarity 0.45, in vec_id order, all in one data set.
+SIGN_LEADERS = f"""{SIGNS},
+  firsts AS (SELECT min(vec_id) AS vec_id, any_value(bits) AS bits FROM signs
+             GROUP BY array_to_string(bits, ',')),
+  nodes AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id) AS i FROM firsts),
+  near AS MATERIALIZED (
+    SELECT v, list(u) AS us FROM (
+      SELECT x.i AS u, y.i AS v, len(list_intersect(x.bits, y.bits)) AS c,
+             len(x.bits) + len(y.bits) AS t FROM nodes x JOIN nodes y ON x.i < y.i)
+    WHERE 100 * c >= 45 * (t - c) GROUP BY v),
+  pick(i, chosen) AS (
+    SELECT 0::BIGINT, []::BIGINT[]
+    UNION ALL
+    SELECT p.i + 1, CASE WHEN n.us IS NOT NULL AND list_has_any(p.chosen, n.us) THEN p.chosen
+                         ELSE list_append(p.chosen, p.i + 1) END
+    FROM pick p LEFT JOIN near n ON n.v = p.i + 1
+    WHERE p.i < (SELECT max(i) FROM nodes)),
+  lead AS MATERIALIZED (
+    SELECT vec_id, bits, row_number() OVER (ORDER BY vec_id) - 1 AS cid
+    FROM nodes JOIN (SELECT unnest(chosen) AS i FROM pick
+                     WHERE i = (SELECT max(i) FROM nodes)) USING (i)),
+  scored AS MATERIALIZED (
+    SELECT s.vec_id, l.vec_id AS leader, l.cid, len(list_intersect(s.bits, l.bits)) AS c,
+           len(s.bits) AS na, len(l.bits) AS nb, s.bits = l.bits AS same
+    FROM signs s, lead l)"""
+
+
+def _sign_leaders(spark, sf):
+    rows = materialise(
+        load(spark, sf, "embeddings").select(
+            F.lit("all").alias("Dataset"),
+            "vec_id",
+            fingerprints.sign_bits(F.col("embedding")).alias("bits"),
+        ).withColumn("key", F.array_join("bits", ",")),
+        "signs",
+    )
+    firsts = libraries.dedup_keep_first(rows, ["Dataset", "key"], "vec_id")
+    lead = leaders.leader_cluster(firsts, "Dataset", "vec_id", "bits", 0.45)
+    return rows, firsts.join(materialise(lead, "leaders"), ["Dataset", "vec_id"], "left_semi")
+
+
+@query(f"""
+  WITH RECURSIVE {SIGN_LEADERS}
+  SELECT vec_id, leader, c::BIGINT AS n_shared, round(c::DOUBLE / (na + nb - c), 6) AS similarity
+  FROM scored WHERE 100 * c >= 35 * (na + nb - c) AND c > 0""")
+def tanimoto_pairs(spark, sf):
+    """Bulk similarity of every row with every leader, from 0.35 up."""
+    rows, lead = _sign_leaders(spark, sf)
+    return similarity.similarity_join(rows, lead, ["Dataset"], "vec_id", "bits", 0.35).select(
+        F.col("id_a").alias("vec_id"), F.col("id_b").alias("leader"), "n_shared",
+        r6(similarity.tanimoto()).alias("similarity"),
+    )
+
+
+@query(f"""
+  WITH RECURSIVE {SIGN_LEADERS},
+  best AS (SELECT vec_id, cid, row_number() OVER (PARTITION BY vec_id ORDER BY same DESC,
+             c::DOUBLE / greatest(na + nb - c, 1) DESC, cid) AS rn FROM scored)
+  SELECT vec_id, cid AS cluster_ID FROM best WHERE rn = 1""")
+def assign_nearest_bits(spark, sf):
+    """Nearest centroid where many rows are far from all: the lower tiers do the work."""
+    rows, lead = _sign_leaders(spark, sf)
+    nodes = similarity.number_centroids(lead, "Dataset", "vec_id")
+    return similarity.assign_clusters(
+        rows, nodes, "Dataset", "key", "bits", tiers=(0.65, 0.5, 0.0)
+    ).select("vec_id", "cluster_ID")
+
+
+@query(f"WITH RECURSIVE {LEADERS} SELECT lang AS Dataset, doc_id AS row_id FROM lead")
+def leader_cluster(spark, sf):
+    _, lead = document_leaders(document_bits(spark, sf))
+    return lead.select(F.col("lang").alias("Dataset"), F.col("doc_id").alias("row_id"))
+
+
+@query(f"""
+  WITH RECURSIVE {LEADERS} SELECT lang, count(*) AS n_clusters FROM lead GROUP BY lang""")
+def cluster_counts(spark, sf):
+    _, lead = document_leaders(document_bits(spark, sf))
+    return leaders.cluster_counts(lead, "lang")
+
+
+_ROW_LEADER = f"""{LEADERS},
+  common AS (SELECT s.doc_id, s.lang, l.doc_id AS leader, l.cid, count(*) AS c
+             FROM sh s JOIN (SELECT lead.doc_id, lead.cid, sh.lang, sh.b
+                             FROM lead JOIN sh USING (doc_id)) l
+               ON l.b = s.b AND l.lang = s.lang GROUP BY ALL),
+  rated AS MATERIALIZED (
+    SELECT common.*, a.n AS na, b.n AS nb FROM common JOIN sizes a ON a.doc_id = common.doc_id
+    JOIN sizes b ON b.doc_id = common.leader)"""
+
+
+@query(f"""
+  WITH RECURSIVE {_ROW_LEADER}
+  SELECT lang AS Dataset, doc_id AS row_id, leader, c AS n_shared,
+         round(c::DOUBLE / (na + nb - c), 6) AS similarity
+  FROM rated WHERE 100 * c >= 65 * (na + nb - c)""")
+def similarity_join_exact(spark, sf):
+    """Every document with all leaders of its language at similarity 0.65 or more."""
+    docs = document_bits(spark, sf)
+    firsts, lead = document_leaders(docs)
+    nodes = firsts.join(lead, ["lang", "doc_id"], "left_semi")
+    return similarity.similarity_join(docs, nodes, ["lang"], "doc_id", "bits", 0.65).select(
+        F.col("lang").alias("Dataset"), F.col("id_a").alias("row_id"),
+        F.col("id_b").alias("leader"), "n_shared", r6(similarity.tanimoto()).alias("similarity"),
+    )
+
+
+def _document_centroids(spark, sf):
+    docs = document_bits(spark, sf)
+    firsts, lead = document_leaders(docs)
+    nodes = similarity.number_centroids(
+        firsts.join(lead, ["lang", "doc_id"], "left_semi"), "lang", "doc_id"
+    )
+    return docs, nodes
+
+
+@query(f"""
+  WITH RECURSIVE {LEADERS}
+  SELECT d.doc_id, d.lang, l.cid AS cluster_ID FROM documents d
+  JOIN lead l ON l.lang = d.lang AND l.text = d.text""")
+def assign_exact(spark, sf):
+    docs, nodes = _document_centroids(spark, sf)
+    return similarity.assign_exact(docs, nodes, "lang", "text").select(
+        "doc_id", "lang", "cluster_ID"
+    )
+
+
+@query(f"""
+  WITH RECURSIVE {_ROW_LEADER},
+  exact AS (SELECT d.doc_id, l.cid FROM documents d
+            JOIN lead l ON l.lang = d.lang AND l.text = d.text),
+  best AS (SELECT doc_id, cid, row_number() OVER (PARTITION BY doc_id
+             ORDER BY c::DOUBLE / (na + nb - c) DESC, cid) AS rn FROM rated)
+  SELECT d.doc_id, d.lang, coalesce(e.cid, b.cid, 0) AS cluster_ID FROM documents d
+  LEFT JOIN exact e USING (doc_id) LEFT JOIN (FROM best WHERE rn = 1) b USING (doc_id)""")
+def assign_nearest(spark, sf):
+    docs, nodes = _document_centroids(spark, sf)
+    return similarity.assign_clusters(docs, nodes, "lang", "text", "bits").select(
+        "doc_id", "lang", "cluster_ID"
+    )
