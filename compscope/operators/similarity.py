@@ -18,7 +18,7 @@ from .ordered import rank_in_group
 
 # A token list longer than this is spread over several join keys.
 BUCKET_ROWS = 50_000
-# The frequency list that is broadcast never has more tokens than this.
+# The frequency list that is broadcast never has more tokens than this (3 MB).
 MAX_FREQUENT = 200_000
 
 
@@ -35,25 +35,33 @@ def shared_bits(a: Column, b: Column) -> Column:
 
 
 def reaches(shared: Column, n_a: Column, n_b: Column, ratio: Fraction) -> Column:
-    """Integer test of ``shared / (n_a + n_b - shared) >= ratio`` for sets that share a bit."""
+    """Integer test of ``shared / (n_a + n_b - shared) >= ratio`` for sets that share a bit.
+
+    Solved for ``shared``, so an overlap expression pushed into a join is evaluated once.
+    """
     num, den = F.lit(ratio.numerator).cast("bigint"), F.lit(ratio.denominator).cast("bigint")
-    return (shared > 0) & (den * shared >= num * (n_a + n_b - shared))
+    return (den + num) * shared >= F.greatest(num * (n_a + n_b), F.lit(1).cast("bigint"))
 
 
 def _frequent(frames: Sequence[DataFrame], bits: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted tokens that occur often, with their counts.
+    """The most frequent tokens, sorted, with their counts.
 
-    A token counts as frequent above ``total / MAX_FREQUENT`` occurrences, so there cannot be
-    more than ``MAX_FREQUENT`` of them: the driver and broadcast size is bounded by construction.
+    At most ``MAX_FREQUENT`` of them, so the driver and broadcast size is bounded. Tokens left out
+    count as rare; any fixed order is right, a good one is just faster.
     """
     sets = frames[0].select(bits)
     for other in frames[1:]:
         sets = sets.unionAll(other.select(bits))
-    total = sets.agg(F.sum(F.size(bits))).first()[0] or 0
-    cut = max(8, -(-total // MAX_FREQUENT))
     found = (
-        sets.select(F.explode(bits).alias("t")).groupBy("t").count().where(F.col("count") > cut)
-    ).toPandas().sort_values("t")
+        sets.select(F.explode(bits).alias("t"))
+        .groupBy("t")
+        .count()
+        .where(F.col("count") > 8)
+        .orderBy(F.col("count").desc(), "t")
+        .limit(MAX_FREQUENT)
+        .toPandas()
+        .sort_values("t")
+    )
     return found["t"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
 
 
@@ -86,13 +94,14 @@ def _prefix(bits: Column, frequent, ratio: Fraction) -> Column:
 def candidate_postings(
     df: DataFrame, keys: Sequence[str], row_id: str, bits: str, frequent, ratio: Fraction
 ) -> DataFrame:
-    """Inverted index of the prefixes: ``keys, id, n, token``."""
+    """Inverted index of the prefixes: ``keys, id, n, left, token``; ``left`` counts the token and
+    those after it."""
     return df.select(
         *keys,
         F.col(row_id).alias("id"),
-        F.size(bits).alias("n"),
-        F.explode(_prefix(F.col(bits), frequent, ratio)).alias("token"),
-    )
+        F.size(bits).cast("bigint").alias("n"),
+        F.posexplode(_prefix(F.col(bits), frequent, ratio)).alias("_pos", "token"),
+    ).select(*keys, "id", "n", (F.col("n") - F.col("_pos")).alias("left"), "token")
 
 
 def similarity_join(
@@ -113,34 +122,28 @@ def similarity_join(
     Prefix-filtered inverted index; long token lists are salted on the left side and repeated on
     the right one, so no token decides the size of a task.
     """
-    spark = left.sparkSession
     ratio = as_fraction(min_similarity)
-    num, den = ratio.numerator, ratio.denominator
     sides = [left] if right is None else [left, right]
     tokens, counts = _frequent(sides, bits)
-    frequent = spark.sparkContext.broadcast((tokens, counts))
+    frequent = left.sparkSession.sparkContext.broadcast((tokens, counts))
 
     a = candidate_postings(left, keys, row_id, bits, frequent, ratio)
     b = candidate_postings(sides[-1], keys, row_id, bits, frequent, ratio)
     on = [*keys, "token"]
-    long_lists = counts > BUCKET_ROWS
-    if long_lists.any():
-        # Bounded like the frequency list, and in practice far shorter.
-        salts = spark.createDataFrame(
-            pd.DataFrame({"token": tokens[long_lists],
-                          "salts": -(-counts[long_lists] // BUCKET_ROWS)}),
-            "token int, salts int",
+    if (counts > BUCKET_ROWS).any():
+        long_lists = a.groupBy(*on).agg(F.count("*").alias("_c")).where(F.col("_c") > BUCKET_ROWS)
+        salts = long_lists.select(*on, F.ceil(F.col("_c") / BUCKET_ROWS).cast("int").alias("salts"))
+        many = F.coalesce("salts", F.lit(1))
+        a = a.join(salts, on, "left").withColumn("salt", F.pmod(F.xxhash64("id"), many).cast("int"))
+        b = b.join(salts, on, "left").withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), many - 1))
         )
-        a = a.join(F.broadcast(salts), "token", "left").withColumn(
-            "salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")
-        ).drop("salts")
-        b = b.join(F.broadcast(salts), "token", "left").withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-        ).drop("salts")
+        a, b = a.drop("salts"), b.drop("salts")
         on.append("salt")
-    a = a.withColumnsRenamed({"id": "id_a", "n": "n_a"})
-    b = b.withColumnsRenamed({"id": "id_b", "n": "n_b"})
-    near = (F.col("n_b") * den >= F.col("n_a") * num) & (F.col("n_a") * den >= F.col("n_b") * num)
+    a = a.withColumnsRenamed({"id": "id_a", "n": "n_a", "left": "left_a"})
+    b = b.withColumnsRenamed({"id": "id_b", "n": "n_b", "left": "left_b"})
+    # At the first common token, all shared tokens are among those left on either side.
+    near = reaches(F.least("left_a", "left_b"), F.col("n_a"), F.col("n_b"), ratio)
     if right is None:
         near &= F.col("id_a") < F.col("id_b")
     candidates = a.join(b, on).where(near).select(*keys, "id_a", "id_b").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprints
 from ..operators import leaders, libraries, similarity
-from ..session import materialise
+from ..session import materialise, spread
 from .registry import load, query, r6
 
 # Bits of the wide document fingerprint (word 3-grams of the whole text).
@@ -54,7 +54,7 @@ LEADERS = f"""{SHINGLES},
 
 
 def document_bits(spark, sf):
-    docs = load(spark, sf, "documents")
+    docs = spread(load(spark, sf, "documents").select("doc_id", "lang", "text"))
     bits = fingerprints.qgram_fingerprint(F.col("text"), q=3, n_bits=WIDE, unit="word")
     return materialise(docs.select("doc_id", "lang", "text", bits.alias("bits")), "documents")
 
@@ -71,7 +71,8 @@ def document_leaders(docs):
   FROM d GROUP BY doc_id""")
 def fingerprint_qgram(spark, sf):
     bits = fingerprints.qgram_fingerprint(F.col("text"), q=3, n_bits=1024, unit="word")
-    return load(spark, sf, "documents").select("doc_id", bits.alias("bits")).select(
+    docs = spread(load(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", bits.alias("bits")).select(
         "doc_id", F.size("bits").alias("n_set"), F.array_join("bits", ",").alias("bits")
     )
 

@@ -58,3 +58,12 @@ def materialise(df: DataFrame, name: str = "step", partition_by: str | None = No
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows to all cores in front of heavy per-row work, if the scan has fewer tasks.
+
+    A large table has more input splits than cores already and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
