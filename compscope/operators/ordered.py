@@ -67,51 +67,107 @@ def rank_in_group(
     return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, totals=True)
 
 
+# Groups up to this size use Spark's percentile, which keeps a group's values in one task.
+SMALL_GROUP = 100_000
+# Groups up to this size leave at most about a million rows after compression.
+WINDOW_GROUP = 200_000_000
+# Rank error of the approximate quantiles is at most 1 / ACCURACY of the group.
+ACCURACY = 10_000
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: Sequence[float],
-    in_memory_limit: int = 1_000_000,
+    small_group: int = SMALL_GROUP,
+    window_group: int = WINDOW_GROUP,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group as ``quantiles array<double>``; nulls are skipped.
 
-    Spark's ``percentile`` keeps a map of the distinct values of a group in one task, so it is
-    used only after a check that no group has more than ``in_memory_limit`` of them. Otherwise
-    the values are counted, ranked with ``running_totals`` and the rows at the wanted positions
-    are picked out.
+    Large groups are not gathered: approximate quantiles (a mergeable sketch) give a narrow
+    bracket around every wanted rank, the rows outside the brackets are merged into a few counts,
+    and only the values inside are ranked, exactly.
     """
     data = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
         *keys, F.col(value).cast("double").alias("_v")
     )
-    if in_memory_limit > 0:
-        distinct = data.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("d"))
-        largest = distinct.agg(F.max("d")).first()[0]
-        if largest is None or largest <= in_memory_limit:
-            return data.groupBy(*keys).agg(
-                F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles")
-            )
-    counts = data.select(*keys, "_v", F.lit(0).alias("_all"))
-    group = list(keys) or ["_all"]
-    counts = counts.groupBy(*group, "_v").agg(F.count("*").alias("_n"))
-    ranked = running_totals(counts, group, [F.col("_v").asc()], {"_c": F.col("_n")}, totals=True)
-    picks = []
+    largest = data.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= small_group:
+        return data.groupBy(*keys).agg(
+            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles")
+        )
+    counts, group = _compressed(data, keys, sorted(set(probs)))
+    if largest <= window_group:
+        whole = Window.partitionBy(*group)
+        upto = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = counts.withColumns(
+            {"_c": F.sum("_n").over(upto), "_c_total": F.sum("_n").over(whole)}
+        )
+    else:
+        ranked = running_totals(
+            counts, group, [F.col("_v").asc()], {"_c": F.col("_n")}, totals=True
+        )
+    picks, values = [], []
     for i, p in enumerate(probs):
         at = F.lit(float(p)) * (F.col("_c_total") - 1)
         for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            here = (F.col("_c") - F.col("_n") <= pos) & (pos < F.col("_c"))
+            here = F.col("_exact") & (F.col("_c") - F.col("_n") <= pos) & (pos < F.col("_c"))
             picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}{i}"))
         picks.append(F.max(at - F.floor(at)).alias(f"_f{i}"))
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        # A rank that fell outside its bracket would break the sketch's promise: fail loudly.
+        values.append(
+            F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit("quantile outside bracket")))
+            .otherwise(lo + (hi - lo) * F.col(f"_f{i}"))
+            .cast("double")
+        )
     found = ranked.groupBy(*group).agg(*picks)
-    return found.select(
-        *keys,
-        F.array(
-            *[
-                F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")
-                for i in range(len(probs))
-            ]
-        ).alias("quantiles"),
+    return found.select(*keys, F.array(*values).alias("quantiles"))
+
+
+def _compressed(
+    data: DataFrame, keys: Sequence[str], probs: Sequence[float]
+) -> tuple[DataFrame, list[str]]:
+    """Value counts with everything outside the quantile brackets merged: ``_v, _n, _exact``.
+
+    A merged run keeps its largest value, so the order among runs and exact values is right.
+    """
+    margin = 2.0 / ACCURACY
+    at = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+    summary = data.groupBy(*keys).agg(
+        F.count("*").alias("_size"),
+        F.min("_v").alias("_min"),
+        F.max("_v").alias("_max"),
+        F.percentile_approx("_v", [float(p) for p in at], ACCURACY).alias("_at"),
+    )
+    m = len(probs)
+    if keys:
+        # One row per group; Spark sizes the join.
+        data = data.join(summary, list(keys))
+        at_col, lo, hi = F.col("_at"), F.col("_min"), F.col("_max")
+        whole = F.col("_size") <= 2 * ACCURACY
+    else:
+        row = summary.first()
+        data = data.withColumn("_all", F.lit(0))
+        at_col = F.array(*[F.lit(v) for v in row["_at"]])
+        lo, hi, whole = F.lit(row["_min"]), F.lit(row["_max"]), F.lit(False)
+    inside, run = whole, F.lit(0)
+    for i, p in enumerate(probs):
+        low = lo if p - margin <= 0 else at_col[i]
+        high = hi if p + margin >= 1 else at_col[m + i]
+        inside |= (F.col("_v") >= low) & (F.col("_v") <= high)
+        run = run + (F.col("_v") > high).cast("int")
+    group = list(keys) or ["_all"]
+    merged = data.select(
+        *group, "_v", inside.alias("_exact"), F.when(inside, F.col("_v")).alias("_kept"),
+        F.when(~inside, run).alias("_run"),
     )
+    return (
+        merged.groupBy(*group, "_exact", "_kept", "_run")
+        .agg(F.max("_v").alias("_v"), F.count("*").alias("_n"))
+        .select(*group, "_exact", "_v", "_n")
+    ), group
 
 
 def scalar_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:

@@ -20,6 +20,8 @@ from .ordered import rank_in_group
 BUCKET_ROWS = 50_000
 # The frequency list that is broadcast never has more tokens than this (3 MB).
 MAX_FREQUENT = 200_000
+# Bit sets with fewer members than this in total (32 MB) may be sent to every executor.
+BROADCAST_BITS = 8_000_000
 
 
 def as_fraction(similarity: float) -> Fraction:
@@ -128,7 +130,11 @@ def similarity_join(
     frequent = left.sparkSession.sparkContext.broadcast((tokens, counts))
 
     a = candidate_postings(left, keys, row_id, bits, frequent, ratio)
-    b = candidate_postings(sides[-1], keys, row_id, bits, frequent, ratio)
+    if right is None:
+        # Both sides of a self-join read one written index instead of computing it twice.
+        a = b = materialise(a, "postings")
+    else:
+        b = candidate_postings(right, keys, row_id, bits, frequent, ratio)
     on = [*keys, "token"]
     if (counts > BUCKET_ROWS).any():
         long_lists = a.groupBy(*on).agg(F.count("*").alias("_c")).where(F.col("_c") > BUCKET_ROWS)
@@ -152,6 +158,13 @@ def similarity_join(
     )
 
 
+def _sized(df: DataFrame, bits: str) -> DataFrame:
+    """Marked for broadcast when its bits, counted first, stay below ``BROADCAST_BITS``; larger
+    tables are shuffled."""
+    total = df.agg(F.sum(F.size(bits) + F.lit(8))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BITS else df
+
+
 def verify(
     pairs: DataFrame,
     left: DataFrame,
@@ -161,8 +174,8 @@ def verify(
     bits: str,
 ) -> DataFrame:
     """Exact overlap counts of candidate pairs ``keys, id_a, id_b``."""
-    a = left.select(*keys, F.col(row_id).alias("id_a"), F.col(bits).alias("_a"))
-    b = right.select(*keys, F.col(row_id).alias("id_b"), F.col(bits).alias("_b"))
+    a = _sized(left.select(*keys, F.col(row_id).alias("id_a"), F.col(bits).alias("_a")), "_a")
+    b = _sized(right.select(*keys, F.col(row_id).alias("id_b"), F.col(bits).alias("_b")), "_b")
     return (
         pairs.join(a, [*keys, "id_a"])
         .join(b, [*keys, "id_b"])
@@ -186,8 +199,14 @@ def number_centroids(
     centroids: DataFrame, dataset: str, row_id: str, name: str = "cluster_ID"
 ) -> DataFrame:
     """0-based index of each centroid in its data set, in row order."""
-    ranked = rank_in_group(centroids, [dataset], [F.col(row_id)], "_r")
-    return ranked.select(*centroids.columns, (F.col("_r") - 1).alias(name))
+    ranked = rank_in_group(centroids.select(dataset, row_id), [dataset], [F.col(row_id)], "_r")
+    numbers = ranked.select(dataset, row_id, (F.col("_r") - 1).alias(name))
+    return centroids.join(numbers, [dataset, row_id])
+
+
+def _key_hash(dataset: str, key: str) -> Column:
+    """Stands in for (data set, key) in joins: keys may be long texts."""
+    return F.sha2(F.concat_ws("|", F.col(dataset).cast("string"), F.col(key)), 256)
 
 
 def assign_exact(rows: DataFrame, centroids: DataFrame, dataset: str, key: str) -> DataFrame:
@@ -216,20 +235,18 @@ def assign_clusters(
     partner at or above a tier has its best partner there too, so each tier is exact and only the
     rest goes on to the next, costlier one. Rows of the clustered library end in the first tier.
     """
-    unique = materialise(
-        rows.where(F.col(key).isNotNull())
-        .groupBy(dataset, key)
+    hashed = rows.withColumn("_kid", _key_hash(dataset, key))
+    unique = (
+        hashed.where(F.col(key).isNotNull())
+        .groupBy(dataset, "_kid")
         .agg(F.any_value(bits).alias("_bits"))
-        .withColumn("_kid", F.md5(F.concat_ws("|", F.col(dataset).cast("string"), key))),
-        "keys",
     )
-    exact = unique.join(
-        centroids.groupBy(dataset, key).agg(F.min("cluster_ID").alias("cluster_ID")),
-        [dataset, key],
-        "left",
+    own = centroids.groupBy(_key_hash(dataset, key).alias("_kid")).agg(
+        F.min("cluster_ID").alias("cluster_ID")
     )
-    answered = exact.where("cluster_ID IS NOT NULL").select(dataset, key, "cluster_ID")
-    rest = materialise(exact.where("cluster_ID IS NULL").drop("cluster_ID"), "rest")
+    exact = materialise(unique.join(own, "_kid", "left"), "keys")
+    answered = exact.where("cluster_ID IS NOT NULL").select("_kid", "cluster_ID")
+    rest = exact.where("cluster_ID IS NULL").drop("cluster_ID")
     nodes = centroids.select(dataset, "cluster_ID", F.col(bits).alias("_bits"))
     for tier in tiers:
         if rest.isEmpty():
@@ -248,10 +265,10 @@ def assign_clusters(
         )
         joined = materialise(rest.join(best, [dataset, "_kid"], "left"), "tier")
         answered = answered.unionByName(
-            joined.where("cluster_ID IS NOT NULL").select(dataset, key, "cluster_ID")
+            joined.where("cluster_ID IS NOT NULL").select("_kid", "cluster_ID")
         )
         rest = joined.where("cluster_ID IS NULL").drop("cluster_ID")
     answered = answered.unionByName(
-        rest.select(dataset, key, F.lit(0).cast("bigint").alias("cluster_ID"))
+        rest.select("_kid", F.lit(0).cast("bigint").alias("cluster_ID"))
     )
-    return rows.join(answered, [dataset, key], "left").select(*rows.columns, "cluster_ID")
+    return hashed.join(answered, "_kid", "left").select(*rows.columns, "cluster_ID")
