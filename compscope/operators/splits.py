@@ -19,7 +19,8 @@ def strata(df: DataFrame, target: str, n_bins: int = 10) -> Column:
     """Stratum of a row: the class when the target has at most two values, else a quantile bin."""
     values = df.select(target).where(F.col(target).isNotNull()).distinct().limit(3).collect()
     if len(values) <= 2:
-        return bin_of(F.col(target), sorted(float(v[0]) for v in values))
+        lower = min((v[0] for v in values), default=0)
+        return F.when(F.col(target).isNotNull(), (F.col(target) > F.lit(lower)).cast("int"))
     return bin_of(F.col(target), quantile_edges(df, target, n_bins))
 
 
