@@ -45,6 +45,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _run_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_folder(spark), "compscope", spark.sparkContext.applicationId)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that this application materialised; results read from them are gone too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str = "step", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -53,8 +63,7 @@ def materialise(df: DataFrame, name: str = "step", partition_by: str | None = No
     and a lost executor costs a re-read rather than a re-computation.
     """
     spark = df.sparkSession
-    run = spark.sparkContext.applicationId
-    path = os.path.join(shared_folder(spark), "compscope", run, f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(_run_folder(spark), f"{name}-{uuid.uuid4().hex}")
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)

@@ -156,3 +156,14 @@ def test_diversity_and_addressability(spark):
     )
     assert result.curve.count() == 9
     assert result.best.count() == result.scored.select("Dataset", "cluster_ID").distinct().count()
+
+
+def test_materialised_tables_live_in_the_shared_folder(spark):
+    import os
+
+    from compscope.session import materialise, shared_folder
+
+    df = materialise(spark.range(5).withColumn("b", F.col("id") % 2), "t", "b")
+    assert df.columns == ["id", "b"] and df.count() == 5
+    file = df.inputFiles()[0].removeprefix("file:").replace("///", "/")
+    assert os.path.normpath(file).startswith(os.path.normpath(shared_folder(spark).removeprefix("file:")))
