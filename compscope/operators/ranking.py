@@ -66,7 +66,7 @@ def best_per_cluster(
     rest = [c for c in df.columns if c not in keys]
     order = F.struct(_clean(score).alias("s"), (-F.col(row_id)).alias("i"))
     return (
-        df.dropna(subset=keys)
+        df.where(F.col(cluster).isNotNull() & F.col(dataset).isNotNull())
         .groupBy(*keys)
         .agg(F.max_by(F.struct(*rest), order).alias("_best"))
         .select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest])
