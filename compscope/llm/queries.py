@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Registry, finite, load
 from .nearest import nearest_neighbours
+from .ngram_join import ngram_groups
 from .packing import pack_documents
 from .token_counts import token_counts
 from .topk_search import exact_topk
@@ -44,6 +45,36 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    r"""
+  WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+  s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+      WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 1),
+             lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) END AS g
+    FROM d),
+  u AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+  p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+    FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  l AS (
+    SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)
+    UNION ALL SELECT b, a FROM p WHERE 100 * c >= 90 * (na + nb - c)),
+  r AS (
+    SELECT doc_id AS id, doc_id AS root FROM documents
+    UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id)
+  SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, low AS component_id
+  FROM s JOIN (SELECT id, min(root) AS low FROM r GROUP BY id) ON id = doc_id"""
+)
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_groups(load(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 @query()
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"), end_id=2, capacity=1024)
