@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Registry, finite, load
+from .language_id import identify_languages
 from .nearest import nearest_neighbours
 from .ngram_join import ngram_groups
 from .packing import pack_documents
@@ -24,6 +25,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), limit=512)
 
 
+@query()
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(load(spark, sf_dir, "documents"))
+
+
 @query(
     f"""
   WITH v AS (
