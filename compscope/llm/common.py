@@ -37,6 +37,14 @@ def text_of(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def finite(vector: Column) -> Column:
     """True for a vector that is not null and has only finite components."""
     inf = float("inf")

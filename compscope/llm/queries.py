@@ -9,6 +9,7 @@ from .language_id import identify_languages
 from .nearest import nearest_neighbours
 from .ngram_join import ngram_groups
 from .packing import pack_documents
+from .secret_scan import scan_secrets
 from .token_counts import token_counts
 from .topk_search import exact_topk
 
@@ -81,6 +82,11 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_groups(load(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+@query()
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(load(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(load(spark, sf_dir, "documents"), end_id=2, capacity=1024)
