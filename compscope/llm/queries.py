@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Registry, finite, load
+from .html_text import extract_text
 from .language_id import identify_languages
 from .nearest import nearest_neighbours
 from .ngram_join import ngram_groups
@@ -21,6 +22,11 @@ GOOD_VECTOR = """embedding IS NOT NULL AND len(list_filter(embedding,
       lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"""
 
 
+@query()
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(load(spark, sf_dir, "pages"))
+
+
 @query()
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), limit=512)
