@@ -11,7 +11,9 @@ from .nearest import nearest_neighbours
 from .ngram_join import ngram_groups
 from .packing import pack_documents
 from .secret_scan import scan_secrets
+from .sentencepiece_codec import encode_texts
 from .token_counts import token_counts
+from .token_output import training_order
 from .topk_search import exact_topk
 
 REGISTRY = Registry()
@@ -32,6 +34,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(load(spark, sf_dir, "documents"), limit=512)
 
 
+@query()
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(load(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order(load(spark, sf_dir, "documents"), end_id=2, capacity=1024)
+
+
 @query()
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(load(spark, sf_dir, "documents"))
