@@ -125,13 +125,14 @@ def category_codes(df: DataFrame, column: str, name: str = "label") -> DataFrame
 
 
 def overlap_regions(
-    df: DataFrame, key: str, dataset: str, datasets: Sequence[str] | None = None
+    df: DataFrame, key: str, dataset: str, datasets: Sequence[str] | None = None,
+    include_empty: bool = False,
 ) -> DataFrame:
     """Size of every exclusive Venn region: ``region_mask, region, n_keys``.
 
     Bit i of the mask stands for the i-th data set. Keys are compared as text, null as ``nan``.
     Memberships are or-ed per key (map side first), so there is one shuffle on the key for any
-    number of sets. Empty regions are listed too while there are at most 16 sets.
+    number of sets. ``include_empty`` lists the empty regions too: 2^n - 1 rows for n sets.
     """
     if datasets is None:
         # At most 63 names may reach the driver: a mask has no room for more.
@@ -151,7 +152,7 @@ def overlap_regions(
         .groupBy("region_mask")
         .agg(F.count("*").alias("n_keys"))
     )
-    if len(datasets) <= 16:
+    if include_empty:
         every = spark.range(1, 1 << len(datasets)).select(F.col("id").alias("region_mask"))
         masks = every.join(masks, "region_mask", "left").fillna(0, ["n_keys"])
     members = F.concat_ws(

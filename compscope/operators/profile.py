@@ -50,15 +50,16 @@ def quantile_bins(df: DataFrame, value: str, n_bins: int = 10, name: str = "bin"
 def histogram(
     df: DataFrame, value: str, colour: Sequence[str] = (), n_bins: int = 20
 ) -> DataFrame:
-    """Equal-width histogram, one count per bin and colour; the maximum is in the last bin."""
+    """Equal-width histogram, one count per bin and colour; the maximum is in the last bin. Nulls
+    and NaN are in no bin."""
+    df = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     lo, hi = df.agg(F.min(value), F.max(value)).first()
     if lo is None:
         raise ValueError(f"column {value!r} has no values")
     lo, width = float(lo), (float(hi) - float(lo)) / n_bins
     pos = F.floor((F.col(value) - F.lit(lo)) / F.lit(width)) if width else F.lit(0)
     return (
-        df.where(F.col(value).isNotNull())
-        .withColumn("bin", F.least(pos, F.lit(n_bins - 1)).cast("int"))
+        df.withColumn("bin", F.least(pos, F.lit(n_bins - 1)).cast("int"))
         .groupBy("bin", *colour)
         .agg(F.count("*").alias("n"))
         .withColumn("bin_lo", F.lit(lo) + F.col("bin") * F.lit(width))

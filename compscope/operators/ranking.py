@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordered import exact_quantiles, running_totals
 
@@ -12,6 +12,12 @@ def _clean(score: str):
     return F.when(~F.isnan(F.col(score).cast("double")), F.col(score))
 
 
+def _best_first(score: Column, row_id: Column) -> Column:
+    """A struct whose smallest value is the best row: the highest score (no score last), then the
+    smallest id, whatever its type."""
+    return F.struct(score.isNull().alias("none"), (-score).alias("score"), row_id.alias("id"))
+
+
 def addressability_curve(
     df: DataFrame,
     dataset: str,
@@ -23,8 +29,9 @@ def addressability_curve(
     """Per data set, in falling score order (ties by ``row_id``): ``rank``, ``scaff_addr`` =
     clusters met so far, ``cmpd_addr`` = share of all rows that scored above the threshold so far.
 
-    The first row of each cluster comes from an aggregate, not from a window over the cluster,
-    so a cluster or data set may hold most of the rows.
+    ``row_id`` is unique within a data set and of any type that has an order. The first row of
+    each cluster comes from an aggregate, not from a window over the cluster, so a cluster or data
+    set may hold most of the rows.
     """
     rows = df.select(
         F.col(dataset).alias("Dataset"),
@@ -33,11 +40,14 @@ def addressability_curve(
         F.col(row_id).alias("row_id"),
     )
     firsts = rows.groupBy("Dataset", "_cluster").agg(
-        F.max_by("row_id", F.struct("_score", -F.col("row_id"))).alias("row_id")
+        F.min(_best_first(F.col("_score"), F.col("row_id"))).alias("_b")
     )
-    flagged = rows.drop("_cluster").join(
-        firsts.select("row_id", F.lit(1).cast("bigint").alias("_first")), "row_id", "left"
+    first = firsts.select(
+        F.col("Dataset").alias("_d"), F.col("_b.id").alias("_i"), F.lit(1).cast("bigint").alias("_first")
     )
+    flagged = rows.drop("_cluster").join(
+        first, F.col("Dataset").eqNullSafe(F.col("_d")) & (F.col("row_id") == F.col("_i")), "left"
+    ).drop("_d", "_i")
     summed = running_totals(
         flagged,
         ["Dataset"],
@@ -64,11 +74,11 @@ def best_per_cluster(
     """The whole best row of each (cluster, data set); rows with a null key are left out."""
     keys = [cluster, dataset]
     rest = [c for c in df.columns if c not in keys]
-    order = F.struct(_clean(score).alias("s"), (-F.col(row_id)).alias("i"))
+    order = _best_first(_clean(score), F.col(row_id))
     return (
         df.where(F.col(cluster).isNotNull() & F.col(dataset).isNotNull())
         .groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), order).alias("_best"))
+        .agg(F.min_by(F.struct(*rest), order).alias("_best"))
         .select(*keys, *[F.col(f"_best.{c}").alias(c) for c in rest])
         .select(*df.columns)
     )

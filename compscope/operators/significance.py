@@ -35,10 +35,13 @@ def choose_test(scores: DataFrame, x: str, group: str) -> DataFrame:
     )
 
 
-def wilcoxon(scores: DataFrame, x: str, group: str, block: str, score: str) -> DataFrame:
+def wilcoxon(
+    scores: DataFrame, x: str, group: str, block: str, score: str, exact_pairs: int = 50
+) -> DataFrame:
     """Signed-rank test of the two groups of every x; zero differences are left out.
 
-    The p-value is exact up to 50 pairs without ties or zeros, else a normal approximation.
+    The p-value is exact up to ``exact_pairs`` pairs without ties or zeros, else a normal
+    approximation.
     """
     pairs = scores.groupBy(x, block).agg(
         (F.max_by(score, group) - F.min_by(score, group)).alias("_d"),
@@ -59,14 +62,39 @@ def wilcoxon(scores: DataFrame, x: str, group: str, block: str, score: str) -> D
     )
     out = zeros.join(stats, x, "left").fillna(0, ["n", "w_plus", "w_minus", "tie_term"])
     out = out.withColumn("statistic", F.least("w_plus", "w_minus"))
-    exact = (F.col("n") <= 50) & (F.col("n_zero") == 0) & (F.col("tie_term") == 0)
+    exact = (F.col("n") <= exact_pairs) & (F.col("n_zero") == 0) & (F.col("tie_term") == 0)
     return out.withColumn(
         "p_value", wilcoxon_p_column(F.col("statistic"), F.col("n"), F.col("tie_term"), exact)
     )
 
 
+def complete_blocks(
+    scores: DataFrame, x: str, group: str, block: str, score: str
+) -> tuple[DataFrame, DataFrame]:
+    """The scores of blocks in which every group of their x has one non-null score, and per x
+    ``n_dropped_blocks``. An x without a complete block is an error."""
+    valued = scores.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    groups = scores.groupBy(x).agg(F.countDistinct(group).alias("_groups"))
+    held = valued.groupBy(x, block).agg(
+        F.countDistinct(group).alias("_here"), F.count("*").alias("_rows")
+    )
+    whole = (F.col("_here") == F.col("_groups")) & (F.col("_rows") == F.col("_groups"))
+    judged = scores.select(x, block).distinct().join(held, [x, block], "left").join(groups, x)
+    judged = judged.withColumn("_whole", F.coalesce(whole, F.lit(False)))
+    dropped = judged.groupBy(x).agg(
+        F.count(F.when(~F.col("_whole"), 1)).alias("n_dropped_blocks"),
+        F.count(F.when(F.col("_whole"), 1)).alias("_kept"),
+    )
+    none = F.raise_error(F.concat(F.lit("no complete block for "), F.col(x).cast("string")))
+    dropped = dropped.select(
+        x, F.when(F.col("_kept") > 0, F.col("n_dropped_blocks")).otherwise(none).alias("n_dropped_blocks")
+    )
+    return valued.join(judged.where("_whole").select(x, block), [x, block], "left_semi"), dropped
+
+
 def _friedman_parts(scores: DataFrame, x: str, group: str, block: str, score: str):
     """Ranks inside each complete block, rank sums per group, and per-x totals."""
+    scores, dropped = complete_blocks(scores, x, group, block, score)
     ranked = _average_rank(scores, [x, block], F.col(score))
     sums = ranked.groupBy(x, group).agg(F.sum("_rank").alias("rank_sum"))
     blocks = ranked.groupBy(x).agg(
@@ -76,17 +104,17 @@ def _friedman_parts(scores: DataFrame, x: str, group: str, block: str, score: st
         F.sum(F.col("_ties") * F.col("_ties") - 1).cast("double").alias("tie_term"),
     )
     squares = sums.groupBy(x).agg(F.sum(F.col("rank_sum") * F.col("rank_sum")).alias("sum_squares"))
-    return sums, blocks.join(squares, x)
+    return sums, dropped.join(blocks, x).join(squares, x)
 
 
 def friedman(scores: DataFrame, x: str, group: str, block: str, score: str) -> DataFrame:
-    """Tie-corrected Friedman chi-square over the blocks of every x."""
+    """Tie-corrected Friedman chi-square over the complete blocks of every x."""
     _, parts = _friedman_parts(scores, x, group, block, score)
     n, k = F.col("n_blocks").cast("double"), F.col("n_groups").cast("double")
     correction = 1 - F.col("tie_term") / (n * k * (k * k - 1))
     plain = 12 / (n * k * (k + 1)) * F.col("sum_squares") - 3 * n * (k + 1)
     return parts.select(
-        x, "n_blocks", "n_groups", F.try_divide(plain, correction).alias("statistic")
+        x, "n_blocks", "n_dropped_blocks", "n_groups", F.try_divide(plain, correction).alias("statistic")
     ).withColumn(
         "p_value", chi2_p_column(F.col("statistic"), F.col("n_groups") - 1)
     )
@@ -111,6 +139,25 @@ def conover_pairs(scores: DataFrame, x: str, group: str, block: str, score: str)
     return holm_adjust(tested, [x], "p_value", ["group_a", "group_b"])
 
 
+def test_by_category(scores: DataFrame, x: str, group: str, block: str, score: str) -> DataFrame:
+    """The test that fits each x, run: ``x, n_groups, test, n_blocks, statistic, p_value``.
+
+    Wilcoxon for two groups, Friedman for three or more; a single group has no statistic. For
+    Wilcoxon, ``n_blocks`` counts the pairs that differ.
+    """
+    chosen = choose_test(scores, x, group)
+
+    def part(test: str) -> DataFrame:
+        return scores.join(chosen.where(F.col("test") == test).select(x), x, "left_semi")
+
+    two = wilcoxon(part("wilcoxon"), x, group, block, score)
+    more = friedman(part("friedman"), x, group, block, score)
+    results = two.select(x, F.col("n").cast("bigint").alias("n_blocks"), "statistic", "p_value").unionByName(
+        more.select(x, F.col("n_blocks").cast("bigint").alias("n_blocks"), "statistic", "p_value")
+    )
+    return chosen.join(results, x, "left")
+
+
 def holm_adjust(df: DataFrame, keys: list[str], p: str, ties: list[str]) -> DataFrame:
     """Holm step-down adjustment of the p-values of each family, as ``p_adjusted``."""
     family = Window.partitionBy(*keys)

@@ -205,8 +205,10 @@ def number_centroids(
 
 
 def _key_hash(dataset: str, key: str) -> Column:
-    """Stands in for (data set, key) in joins: keys may be long texts."""
-    return F.sha2(F.concat_ws("|", F.col(dataset).cast("string"), F.col(key)), 256)
+    """Stands in for (data set, key) in joins: keys may be long texts. JSON quotes both parts, so
+    two different pairs never look alike."""
+    pair = F.struct(F.col(dataset).cast("string").alias("d"), F.col(key).cast("string").alias("k"))
+    return F.sha2(F.to_json(pair), 256)
 
 
 def assign_exact(rows: DataFrame, centroids: DataFrame, dataset: str, key: str) -> DataFrame:
@@ -230,7 +232,8 @@ def assign_clusters(
     """``cluster_ID`` of every row: the centroid with the same key, else the most similar one.
 
     ``centroids`` carries ``cluster_ID`` (see ``number_centroids``); ties go to the lowest index,
-    and a row that shares no bit with any centroid gets 0. Works on the distinct keys and joins
+    and a row that shares no bit with any centroid gets 0; a data set without centroids gets null.
+    Works on the distinct keys and joins
     the answer back. The similar ones are found in tiers of falling thresholds: whatever has a
     partner at or above a tier has its best partner there too, so each tier is exact and only the
     rest goes on to the next, costlier one. Rows of the clustered library end in the first tier.
@@ -269,6 +272,7 @@ def assign_clusters(
         )
         rest = joined.where("cluster_ID IS NULL").drop("cluster_ID")
     answered = answered.unionByName(
-        rest.select("_kid", F.lit(0).cast("bigint").alias("cluster_ID"))
+        rest.join(centroids.select(dataset).distinct(), dataset, "left_semi")
+        .select("_kid", F.lit(0).cast("bigint").alias("cluster_ID"))
     )
     return hashed.join(answered, "_kid", "left").select(*rows.columns, "cluster_ID")

@@ -200,11 +200,19 @@ def dedup_keep_first(spark, sf):
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
+# A key that the event types share in part: the user and a tenth of the value.
+EVENT_KEY = "concat_ws('-', user_id, CAST(floor(value / 10) AS BIGINT))"
+HITS = f"(SELECT event_type, {EVENT_KEY} AS hit FROM events)"
+
+
+def _hits(spark, sf):
+    return load(spark, sf, "events").select("event_type", F.expr(EVENT_KEY).alias("hit"))
+
 
 @query(f"""
-  WITH bits AS (SELECT user_id, bit_or(CASE event_type
+  WITH bits AS (SELECT hit, bit_or(CASE event_type
       {' '.join(f"WHEN '{t}' THEN {1 << i}" for i, t in enumerate(EVENT_TYPES))} END) AS m
-      FROM events WHERE value > 100 GROUP BY user_id),
+      FROM {HITS} GROUP BY hit),
     n AS (SELECT m, count(*) AS n FROM bits GROUP BY m)
   SELECT r.m::BIGINT AS region_mask,
     concat_ws('&', {', '.join(f"CASE WHEN r.m & {1 << i} <> 0 THEN '{t}' END"
@@ -212,27 +220,26 @@ EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
     coalesce(n.n, 0)::BIGINT AS n_keys
   FROM (SELECT unnest(range(1, 32)) AS m) r LEFT JOIN n ON n.m = r.m""")
 def overlap_regions(spark, sf):
-    hits = load(spark, sf, "events").where("value > 100")
-    return libraries.overlap_regions(hits, "user_id", "event_type")
+    return libraries.overlap_regions(_hits(spark, sf), "hit", "event_type", include_empty=True)
 
 
-@query("""
-  SELECT DISTINCT user_id FROM events WHERE value > 100 AND event_type = 'click'
-  EXCEPT SELECT user_id FROM events WHERE value > 100 AND event_type = 'error'""")
+@query(f"""
+  SELECT DISTINCT hit FROM {HITS} WHERE event_type = 'click'
+  EXCEPT SELECT hit FROM {HITS} WHERE event_type = 'error'""")
 def novel_keys(spark, sf):
-    hits = load(spark, sf, "events").where("value > 100")
+    hits = _hits(spark, sf)
     return libraries.novel_keys(
-        hits.where("event_type = 'click'"), hits.where("event_type = 'error'"), "user_id"
+        hits.where("event_type = 'click'"), hits.where("event_type = 'error'"), "hit"
     )
 
 
-@query("""
-  SELECT DISTINCT user_id FROM events WHERE value > 100 AND event_type = 'click'
-  INTERSECT SELECT user_id FROM events WHERE value > 100 AND event_type = 'error'""")
+@query(f"""
+  SELECT DISTINCT hit FROM {HITS} WHERE event_type = 'click'
+  INTERSECT SELECT hit FROM {HITS} WHERE event_type = 'error'""")
 def shared_keys(spark, sf):
-    hits = load(spark, sf, "events").where("value > 100")
+    hits = _hits(spark, sf)
     return libraries.shared_keys(
-        hits.where("event_type = 'click'"), hits.where("event_type = 'error'"), "user_id"
+        hits.where("event_type = 'click'"), hits.where("event_type = 'error'"), "hit"
     )
 
 
@@ -306,6 +313,46 @@ def best_per_cluster(spark, sf):
     return ranking.best_per_cluster(events, "event_type", "user_id", "value", "event_id")
 
 
+_TWO_LIBRARIES = """
+  SELECT 'A' AS lib, event_id, user_id, value FROM events
+  UNION ALL SELECT 'B', event_id, user_id % 7, round(value * 7e0 % 10e0, 2) FROM events"""
+
+
+@query(f"""
+  WITH e AS ({_TWO_LIBRARIES}),
+    f AS (SELECT *, row_number() OVER (PARTITION BY lib, user_id
+                                       ORDER BY value DESC, event_id) = 1 AS first FROM e)
+  SELECT lib AS "Dataset", (count(*) OVER o)::BIGINT AS rank, event_id AS row_id,
+    (sum(CASE WHEN first THEN 1 ELSE 0 END) OVER o)::BIGINT AS scaff_addr,
+    round((sum(CASE WHEN value > 5 THEN 1 ELSE 0 END) OVER o)::DOUBLE
+          / count(*) OVER (PARTITION BY lib), 6) AS cmpd_addr
+  FROM f WINDOW o AS (PARTITION BY lib ORDER BY value DESC, event_id
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def curve_per_library_ids(spark, sf):
+    """Two libraries whose ids repeat: every id is in both."""
+    events = load(spark, sf, "events").select("event_id", "user_id", "value")
+    second = events.select(
+        "event_id", (F.col("user_id") % 7).alias("user_id"),
+        F.round(F.col("value") * F.lit(7.0) % F.lit(10.0), 2).alias("value"),
+    )
+    both = events.withColumn("lib", F.lit("A")).unionByName(second.withColumn("lib", F.lit("B")))
+    curve = ranking.addressability_curve(both, "lib", "user_id", "value", "event_id", threshold=5)
+    return curve.withColumn("cmpd_addr", r6("cmpd_addr"))
+
+
+@query("""
+  SELECT user_id, event_type, id, value FROM
+    (SELECT *, concat('e', event_id) AS id, row_number() OVER (
+       PARTITION BY user_id, event_type ORDER BY value DESC, concat('e', event_id)) AS rn FROM events)
+  WHERE rn = 1""")
+def best_text_ids(spark, sf):
+    """Ids are texts and are compared as texts."""
+    events = load(spark, sf, "events").select(
+        "user_id", "event_type", F.concat(F.lit("e"), F.col("event_id")).alias("id"), "value"
+    )
+    return ranking.best_per_cluster(events, "event_type", "user_id", "value", "id")
+
+
 @query("""
   SELECT event_id, event_type, value FROM events ORDER BY value DESC, event_id LIMIT 100""")
 def top_k_scored(spark, sf):

@@ -294,6 +294,29 @@ def wilcoxon_stat(spark, sf):
     return out.select("descriptor", "n", "w_plus", "w_minus", "statistic")
 
 
+# Without ties or zeros, the exact p-value counts the sign patterns of n ranks whose sum is small.
+@query(f"""
+  WITH p AS (SELECT descriptor, cycle,
+               max_by(score, algo) - min_by(score, algo) + cycle * 1e-3 AS d
+             FROM ({SCORE_VIEW}) GROUP BY descriptor, cycle HAVING count(DISTINCT algo) = 2),
+    k AS (SELECT descriptor, d, row_number() OVER (PARTITION BY descriptor ORDER BY abs(d)) AS rk,
+                 count(*) OVER (PARTITION BY descriptor) AS n FROM p),
+    s AS (SELECT descriptor, n, least(coalesce(sum(rk) FILTER (d > 0), 0),
+                 coalesce(sum(rk) FILTER (d < 0), 0)) AS statistic FROM k GROUP BY descriptor, n),
+    signs AS (SELECT n, m, (SELECT coalesce(sum(i), 0) FROM unnest(range(1, n + 1)) AS u(i)
+                            WHERE (m >> (i - 1)) & 1 = 1) AS w
+              FROM (SELECT DISTINCT n FROM s), (SELECT unnest(range(0, 128)) AS m) WHERE m < (1 << n))
+  SELECT descriptor, s.n, statistic::DOUBLE AS statistic,
+    round(least(1e0, 2e0 * count(*) FILTER (w <= statistic) / count(*)), 9) AS p_value
+  FROM s JOIN signs ON signs.n = s.n GROUP BY descriptor, s.n, statistic""")
+def wilcoxon_p(spark, sf):
+    shifted = score_view(spark, sf).withColumn(
+        "score", F.col("score") + F.when(F.col("algo") == "O", F.col("cycle") * F.lit(1e-3)).otherwise(F.lit(0.0))
+    )
+    out = significance.wilcoxon(shifted, "descriptor", "algo", "cycle", "score")
+    return out.select("descriptor", "n", "statistic", F.round("p_value", 9).alias("p_value"))
+
+
 _RANKS = f"""
   k AS (SELECT algo, descriptor, cycle,
       rank() OVER (PARTITION BY algo, cycle ORDER BY score)
@@ -315,6 +338,52 @@ def friedman_stat(spark, sf):
     return out.select("algo", "n_blocks", "n_groups", r6("statistic").alias("statistic"))
 
 
+# One missing and one null score: both blocks go. With three groups, the tail of chi-square with two
+# degrees of freedom is exp(-x / 2).
+_INCOMPLETE = f"""
+  SELECT algo, descriptor, cycle,
+    CASE WHEN algo = 'O' AND descriptor = 'N' AND cycle = 2 THEN NULL ELSE score END AS score
+  FROM ({SCORE_VIEW}) WHERE NOT (algo = 'F' AND descriptor = 'A' AND cycle = 1)"""
+
+
+@query(f"""
+  WITH v AS ({_INCOMPLETE}),
+    b AS (SELECT algo, cycle FROM v GROUP BY algo, cycle HAVING count(score) = 3),
+    k AS (SELECT algo, descriptor, cycle,
+        rank() OVER (PARTITION BY algo, cycle ORDER BY score)
+          + (count(*) OVER (PARTITION BY algo, cycle, score) - 1) / 2e0 AS rk,
+        count(*) OVER (PARTITION BY algo, cycle, score) AS ties FROM v JOIN b USING (algo, cycle)),
+    sums AS (SELECT algo, descriptor, sum(rk) AS rs FROM k GROUP BY algo, descriptor),
+    tot AS (SELECT algo, count(DISTINCT cycle) AS n, 3 AS g, sum(ties * ties - 1)::DOUBLE AS tie
+            FROM k GROUP BY algo),
+    sq AS (SELECT algo, sum(rs * rs) AS s2 FROM sums GROUP BY algo),
+    st AS (SELECT algo, n AS n_blocks,
+        (SELECT count(DISTINCT cycle) FROM v WHERE v.algo = tot.algo) - n AS n_dropped_blocks,
+        (12e0 / (n * g * (g + 1)) * s2 - 3e0 * n * (g + 1)) / (1 - tie / (n * g * (g * g - 1))) AS x
+      FROM tot JOIN sq USING (algo))
+  SELECT algo, n_blocks, n_dropped_blocks, round(x, 6) AS statistic, round(exp(-x / 2), 6) AS p_value
+  FROM st""")
+def friedman_incomplete(spark, sf):
+    view = score_view(spark, sf).where("NOT (algo = 'F' AND descriptor = 'A' AND cycle = 1)")
+    gap = (F.col("algo") == "O") & (F.col("descriptor") == "N") & (F.col("cycle") == 2)
+    view = view.withColumn("score", F.when(~gap, F.col("score")))
+    out = significance.friedman(view, "algo", "descriptor", "cycle", "score")
+    return out.select("algo", "n_blocks", "n_dropped_blocks", r6("statistic").alias("statistic"),
+                      r6("p_value").alias("p_value"))
+
+
+@query(f"""
+  WITH {_RANKS},
+    st AS (SELECT algo, n, (12e0 / (n * g * (g + 1)) * s2 - 3e0 * n * (g + 1))
+             / (1 - tie / (n * g * (g * g - 1))) AS x FROM tot JOIN sq USING (algo))
+  SELECT algo, 3::BIGINT AS n_groups, 'friedman' AS test, n AS n_blocks, round(x, 6) AS statistic,
+    round(exp(-x / 2), 6) AS p_value FROM st""")
+def sig_test_p(spark, sf):
+    out = significance.test_by_category(score_view(spark, sf), "algo", "descriptor", "cycle", "score")
+    return out.select("algo", "n_groups", "test", "n_blocks", r6("statistic").alias("statistic"),
+                      r6("p_value").alias("p_value"))
+
+
 @query(f"""
   WITH {_RANKS}
   SELECT x.algo, x.descriptor AS group_a, y.descriptor AS group_b,

@@ -32,6 +32,8 @@ def test_read_libraries(spark, tmp_path):
         ("CCO", "LIB-1"), ("CN", "LIB-1"), ("CCC", "LIB-2")
     }
     assert {tuple(r) for r in legend.collect()} == {("LIB-1", "A"), ("LIB-2", "B")}
+    ids = [r["row_id"] for r in lib.orderBy("row_id").collect()]
+    assert len(set(ids)) == 3 and [r["Structure"] for r in lib.orderBy("row_id").collect()] == ["CCO", "CN", "CCC"]
 
 
 def test_mixed_encodings(spark, tmp_path):
@@ -40,15 +42,40 @@ def test_mixed_encodings(spark, tmp_path):
     found = {r["file"].split("/")[-1]: r["encoding"] for r in tables.detect_encodings(
         spark, str(tmp_path), header_has="smiles").collect()}
     assert found["u.csv"] == "utf_8" and found["l.csv"] not in ("utf_8", "ascii", "cp037")
-    rows = tables.read_csv_any_encoding(
+    rows, rejects = tables.read_csv_any_encoding(
         spark, str(tmp_path), "smiles string, name string", ("utf_8", "latin_1"), "smiles"
     )
+    assert rejects.count() == 0
     assert {(r["smiles"], r["name"]) for r in rows.collect()} == {
         ("CCO", "é"), ("CN", "é, x"), ("CC", "plain")
     }
     assert len(tables.ENCODINGS) == 97
 
 
+def test_no_file_and_no_line_is_lost(spark, tmp_path):
+    text = "smiles,name\r\nCCO,\u00e9\r\nsmiles,name\r\nCN,\u0416\r\n"
+    for name, enc in (("a", "utf-16"), ("b", "utf-16-be"), ("c", "utf-32"), ("d", "utf-16-le"), ("e", "utf-8-sig"), ("g", "utf-32-be")):
+        (tmp_path / f"{name}.csv").write_bytes(text.encode(enc))
+    (tmp_path / "f.csv").write_text("Name,SMILES,more\nx,CC,1\n\"y, z\",CCC,2\n")
+    (tmp_path / "bad.csv").write_bytes(b"smiles,name\nCC,\xff\xff\n")
+    rows, rejects = tables.read_csv_any_encoding(
+        spark, str(tmp_path), "smiles string, name string",
+        ("utf_8", "utf_16_le", "utf_16_be", "utf_32_le", "utf_32_be"),
+    )
+    got = sorted((r["smiles"], r["name"]) for r in rows.collect())
+    assert got == sorted(
+        [("CCO", "\u00e9"), ("smiles", "name"), ("CN", "\u0416")] * 6 + [("CC", "x"), ("CCC", "y, z")]
+    )
+    assert [r["file"].split("/")[-1] for r in rejects.collect()] == ["bad.csv"]
+
+
+def test_malformed_rows_are_told(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("smiles,y\nCCO,1.5\nCN,high\nCC,2,3\n")
+    rows, bad = tables.read_csv_checked(spark, str(tmp_path / "x.csv"), "smiles string, y double")
+    assert [tuple(r) for r in rows.collect()] == [("CCO", 1.5)]
+    assert {r["_corrupt_record"] for r in bad.collect()} == {"CN,high", "CC,2,3"}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rows = spark.range(400).select(
