@@ -27,13 +27,17 @@ from .shingles import shingle_sets
 # The frequency sketch: 2^SKETCH_BITS counters, a fixed size whatever the data.
 SKETCH_BITS = 20
 SKETCH_CHUNK = 4_096
-# Words of the parity bitmap of a set, 64 bits each.
+# Words of the parity bitmap of a set, 64 bits each. Where the allowed difference is more than this
+# part of the bits, unlike sets would pass; large sets have a second bitmap of WIDER times the words,
+# or as often WIDER times that as it takes.
 BITMAP_WORDS = 16
+WIDER = 8
+FILL = 0.35
 # Posting lists up to this length are joined row by row, longer ones in blocks.
 SHORT_LIST = 64
 LIST_BLOCK = 2_048
 # Shingles of the texts that one verification block holds.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 3_000_000
 # Most rows of a document list that is broadcast (16 bytes and an id each).
 BROADCAST_ROWS = 500_000
 
@@ -54,9 +58,9 @@ def frequency_sketch(texts: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            sets = shingle_sets(batch.column("_text"), k)
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=size)
+            for s in shingle_sets(batch.column("_text"), k):
+                # A set may have a counter twice.
+                np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         if total.any():
             parts = total.reshape(-1, SKETCH_CHUNK).astype("<i8")
             yield pa.RecordBatch.from_pydict(
@@ -83,13 +87,15 @@ def frequency_sketch(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, k: int, num: int, den: int, unusual: np.ndarray) -> DataFrame:
-    """Per row ``_key, n, digest, prefix, group_key, bits``: the set's size, a 128-bit digest, its
-    prefix, a digest of prefix and size, and its parity bitmap. Null where the set is empty."""
+    """Per row ``_key, n, digest, prefix, group_key, bits, wide``: the set's size, a 128-bit digest,
+    its prefix, a digest of prefix and size, its parity bitmap, and a wider one for a large set.
+    Null where the set is empty."""
     order = texts.sparkSession.sparkContext.broadcast(unusual)
     schema = pa.schema(
         [
             ("_key", pa.int64()), ("n", pa.int32()), ("digest", pa.binary()),
             ("group_key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())),
+            ("wide", pa.list_(pa.int64())),
         ]
     )
 
@@ -97,11 +103,11 @@ def signatures(texts: DataFrame, k: int, num: int, den: int, unusual: np.ndarray
         rare = order.value
         for batch in batches:
             sets = shingle_sets(batch.column("_text"), k)
-            digests, keys, prefixes, bits = [], [], [], []
+            digests, keys, prefixes, bits, wide = [], [], [], [], []
             for s in sets:
                 n = len(s)
                 if not n:
-                    for out in (digests, keys, prefixes, bits):
+                    for out in (digests, keys, prefixes, bits, wide):
                         out.append(None)
                     continue
                 first = np.argsort(rare[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
@@ -109,37 +115,53 @@ def signatures(texts: DataFrame, k: int, num: int, den: int, unusual: np.ndarray
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys.append(xxhash.xxh3_128_digest(prefix.tobytes() + n.to_bytes(8, "little")))
                 prefixes.append(prefix.view(np.int64))
-                bits.append(bitmap(s).view(np.int64))
+                bits.append(bitmap(s, BITMAP_WORDS).view(np.int64))
+                words = wide_words(n, num, den)
+                wide.append(bitmap(s, words).view(np.int64) if words else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_key"), pa.array([len(s) for s in sets], pa.int32()),
                     pa.array(digests, pa.binary()), pa.array(keys, pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())),
+                    pa.array(wide, pa.list_(pa.int64())),
                 ],
                 schema=schema,
             )
 
-    fields = "_key bigint, n int, digest binary, group_key binary, prefix array<bigint>, bits array<bigint>"
-    return texts.mapInArrow(sign, fields)
+    return texts.mapInArrow(
+        sign,
+        "_key bigint, n int, digest binary, group_key binary, prefix array<bigint>, bits array<bigint>, "
+        "wide array<bigint>",
+    )
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parities of the hashes' counts in 64 x BITMAP_WORDS classes: two sets differ in at least as
+def bitmap(s: np.ndarray, words: int) -> np.ndarray:
+    """Parities of the hashes' counts in 64 x ``words`` classes: two sets differ in at least as
     many elements as their bitmaps differ in bits."""
-    size = 64 * BITMAP_WORDS
+    size = 64 * words
     odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view("<u8")
 
 
+def wide_words(n: int, num: int, den: int) -> int:
+    """Words of the second bitmap of a set of ``n`` shingles; 0 where the first one is enough."""
+    words, limit = BITMAP_WORDS, most_difference(n, n, num, den)
+    while limit > FILL * 64 * words:
+        words *= WIDER
+    return words if words > BITMAP_WORDS else 0
+
+
 def _groups(signed: DataFrame) -> DataFrame:
     """Documents with the same prefix and size as one row: ``gid, group_key, n, prefix``, the bits
-    that all members have (``every``) or any has (``some``), and whether members differ."""
+    that all members have (``every``) or any has (``some``), the wide bitmap if they share one, and
+    whether members differ."""
     words = range(BITMAP_WORDS)
     grouped = signed.groupBy("group_key").agg(
         F.first("n").alias("n"),
         F.first("prefix").alias("prefix"),
         F.array(*[F.bit_and(F.col("bits")[i]) for i in words]).alias("every"),
         F.array(*[F.bit_or(F.col("bits")[i]) for i in words]).alias("some"),
+        F.when(F.min("wide").eqNullSafe(F.max("wide")), F.min("wide")).alias("wide"),
         (F.min("digest") != F.max("digest")).alias("multi"),
     )
     return materialise(grouped.withColumn("gid", F.monotonically_increasing_id()), "groups")
@@ -153,6 +175,12 @@ def _differing_bits() -> Column:
     return total("every_a", "some_b") + total("every_b", "some_a")
 
 
+def _differing_wide() -> Column:
+    ones = F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    total = F.aggregate(ones, F.lit(0), lambda s, x: s + x)
+    return F.when(F.size("wide_a") == F.size("wide_b"), total)
+
+
 def _candidates(groups: DataFrame, num: int, den: int) -> DataFrame:
     """Links ``a, b`` between groups that may hold a similar pair; their connected groups hold
     all pairs that pass the filters, though not each such pair is listed."""
@@ -168,15 +196,17 @@ def _candidates(groups: DataFrame, num: int, den: int) -> DataFrame:
         own = groups.select(
             F.col("gid").alias(side), F.col("n").alias(f"n_{side}"),
             F.col("every").alias(f"every_{side}"), F.col("some").alias(f"some_{side}"),
+            F.col("wide").alias(f"wide_{side}"),
         )
         pairs = pairs.join(own, side)
     limit = F.expr(f"(cast(n_a AS bigint) + n_b) * {den - num} div {den + num}")
-    links = pairs.where(_differing_bits() <= limit).select("a", "b")
+    alike = (_differing_bits() <= limit) & F.coalesce(_differing_wide() <= limit, F.lit(True))
+    links = pairs.where(alike).select("a", "b")
 
     blocks = F.ceil(F.col("length") / LIST_BLOCK).cast("int")
     dealt = (
         lists.where(F.col("length") > SHORT_LIST)
-        .join(groups.select("gid", "every", "some"), "gid")
+        .join(groups.select("gid", "every", "some", "wide"), "gid")
         .withColumn("block", F.pmod(F.xxhash64("gid"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumn("low", F.least("block", "other"))
@@ -186,7 +216,7 @@ def _candidates(groups: DataFrame, num: int, den: int) -> DataFrame:
     def joined(rows: pd.DataFrame) -> pd.DataFrame:
         every = np.stack(rows["every"].to_numpy()).view(np.uint64)
         some = np.stack(rows["some"].to_numpy()).view(np.uint64)
-        n, block = rows["n"].to_numpy(np.int64), rows["block"].to_numpy()
+        n, block, wide = rows["n"].to_numpy(np.int64), rows["block"].to_numpy(), rows["wide"].tolist()
         across = rows["low"].iloc[0] != rows["high"].iloc[0]
         forest = Forest(len(rows))
         links = []
@@ -198,8 +228,10 @@ def _candidates(groups: DataFrame, num: int, den: int) -> DataFrame:
             j = j[ok]
             bits = np.bitwise_count(every[i] & ~some[j]).sum(axis=1, dtype=np.int64)
             bits += np.bitwise_count(every[j] & ~some[i]).sum(axis=1, dtype=np.int64)
-            for x in j[bits <= most_difference(n[i], n[j], num, den)]:
-                if forest.join(i, int(x)):
+            limit = most_difference(n[i], n[j], num, den)
+            for x, most in zip(j[bits <= limit].tolist(), limit[bits <= limit].tolist()):
+                if forest.find(i) != forest.find(x) and _wide_alike(wide[i], wide[x], most):
+                    forest.join(i, x)
                     links.append((i, x))
         gid = rows["gid"].to_numpy()
         at = np.array(links, dtype=np.int64).reshape(-1, 2)
@@ -209,6 +241,12 @@ def _candidates(groups: DataFrame, num: int, den: int) -> DataFrame:
     return links.unionByName(long)
 
 
+def _wide_alike(a: np.ndarray | None, b: np.ndarray | None, limit: int) -> bool:
+    if a is None or b is None or len(a) != len(b):
+        return True
+    return int(np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).sum(dtype=np.int64)) <= limit
+
+
 class Forest:
     """Union-find over positions of one block."""
 
@@ -235,7 +273,7 @@ def similar_links(
     different sides count. All pairs are covered: by size, by bitmap, by being joined already, or
     by comparing the sets."""
     n = np.array([len(s) for s in sets], dtype=np.int64)
-    bits = np.stack([bitmap(s) for s in sets])
+    bits = np.stack([bitmap(s, BITMAP_WORDS) for s in sets])
     forest, links = Forest(len(sets)), []
     for i in range(len(sets) - 1):
         j = np.arange(i + 1, len(sets))
