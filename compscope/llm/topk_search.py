@@ -16,22 +16,26 @@ from .tiles import TILE_CANDIDATES, matrix, merge_lists, tiles
 EXACT = 1 << 53
 
 
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products as int64: in double precision where every sum is exact, else in
-    integers; sums beyond 64 bits raise an error."""
+def _scores(q: np.ndarray, c: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Exact inner products as int64, 0 for a row with itself: in double precision where every sum
+    is exact, else in unbounded integers; a product beyond 64 bits raises an error."""
     largest = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(1, q.shape[1])
     if largest <= EXACT:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    if largest >= 1 << 63:
-        raise OverflowError("an inner product may not fit into 64 bits")
-    return q @ c.T
+        scores = (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
+    else:
+        scores = q.astype(object) @ c.astype(object).T
+        scores[own] = 0
+        if scores.size and max(abs(scores.min()), abs(scores.max())) >= 1 << 63:
+            raise OverflowError("an inner product does not fit into 64 bits")
+        scores = scores.astype(np.int64)
+    return scores
 
 
 def select_tile(
     q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int
 ) -> Iterator[tuple[int, list[tuple[int, int]]]]:
     """(query, its best ``k`` of this tile as (-score, id)); ties at the cut go to smaller ids."""
-    scores = _scores(q, c)
+    scores = _scores(q, c, q_ids[:, None] == c_ids[None, :])
     for i, qid in enumerate(q_ids):
         own = scores[i]
         there = np.flatnonzero(c_ids != qid)
