@@ -8,22 +8,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import hash_to_int, seeded_hash
+from ..session import materialise
 from .ordered import rank_in_group, scalar_quantiles
 from .profile import bin_of, quantile_edges
 
 
 def strata(df: DataFrame, target: str, n_bins: int = 10) -> Column:
     """Stratum of a row: the class when the target has at most two values, else a quantile bin."""
-    values = df.select(target).where(F.col(target).isNotNull()).distinct().limit(3).collect()
-    if len(values) <= 2:
-        lower = min((v[0] for v in values), default=0)
+    lower, upper, between = _extremes(df, target)
+    if not between:
+        lower = 0 if lower is None else lower
         return F.when(F.col(target).isNotNull(), (F.col(target) > F.lit(lower)).cast("int"))
     return bin_of(F.col(target), quantile_edges(df, target, n_bins))
 
 
+def _extremes(df: DataFrame, target: str) -> tuple:
+    """Smallest and largest value, and whether there are others."""
+    lower, upper = df.agg(F.min(target), F.max(target)).first()
+    if lower is None or lower == upper:
+        return lower, upper, False
+    return lower, upper, not df.where((F.col(target) > lower) & (F.col(target) < upper)).isEmpty()
+
+
 def _cycles(df: DataFrame, seeds: Sequence[int]) -> DataFrame:
     return df.withColumn(
         "_cs",
@@ -47,18 +56,63 @@ def repeated_stratified(
     """One independent stratified draw per seed: the input columns with ``cycle, split``.
 
     Each stratum gives exactly ``round(test_size * size)`` test rows: those with the lowest seeded
-    hashes, ranked without gathering the stratum in one task.
+    hashes. Only ids and strata are looked at to find the cut; then every row is placed on its own.
     """
     if not 0 < test_size < 1:
         raise ValueError("test_size is a fraction between 0 and 1")
-    keyed = _cycles(df.withColumn("_stratum", strata(df, target, n_bins)), seeds).withColumn(
-        "_h", seeded_hash(F.col("_seed"), F.col(row_id))
+    placed = df.withColumn("stratum", strata(df, target, n_bins))
+    cuts = _cuts(placed.select(row_id, "stratum"), row_id, seeds, test_size)
+    h = seeded_hash(F.col("_seed"), F.col(row_id))
+    # A row per cycle and stratum, whatever the number of rows: the features stay where they are.
+    picked = _cycles(placed, seeds).withColumn("_h", h).join(
+        F.broadcast(cuts),
+        (F.col("cycle") == F.col("_c")) & F.col("stratum").eqNullSafe(F.col("_s")), "left",
     )
-    ranked = rank_in_group(keyed, ["cycle", "_stratum"], [F.col("_h"), F.col(row_id)], "_r")
-    quota = F.floor(F.lit(float(test_size)) * F.col("_r_total") + F.lit(0.5))
-    return ranked.withColumn(
-        "split", F.when(F.col("_r") <= quota, "test").otherwise("train")
-    ).select("cycle", *df.columns, F.col("_stratum").alias("stratum"), "split")
+    at = F.struct(F.col("_h").alias("h"), F.col(row_id).alias("id"))
+    return picked.withColumn(
+        "split", F.when(F.coalesce(at <= F.col("_cut"), F.lit(False)), "test").otherwise("train")
+    ).select("cycle", *df.columns, "stratum", "split")
+
+
+# Width of the hash interval that is searched for a cut, in standard deviations of its position.
+SPREAD = 8.0
+
+
+def _cuts(rows: DataFrame, row_id: str, seeds: Sequence[int], test_size: float) -> DataFrame:
+    """The last test row of every cycle and stratum in hash order: ``_c, _s, _cut (h, id)``.
+
+    Hashes are uniform, so the k-th smallest of n lies near k / n: rows below that neighbourhood
+    are only counted, and only the few inside are ranked. A cut outside it is an error. Strata
+    whose share rounds to no row have no cut.
+    """
+    sizes = {r["stratum"]: r["count"] for r in rows.groupBy("stratum").count().collect()}
+    bounds = []
+    for stratum, n in sizes.items():
+        k = int(test_size * n + 0.5)
+        if k:
+            off = (SPREAD * (k * (1 - k / n)) ** 0.5 + SPREAD) / n
+            bounds.append((stratum, k, max(0.0, k / n - off), min(1.0, k / n + off)))
+    kind = rows.schema["stratum"].dataType.simpleString()
+    table = rows.sparkSession.createDataFrame(bounds, f"_s {kind}, _k bigint, _lo double, _hi double")
+    narrow = _cycles(rows, seeds).withColumn("_h", seeded_hash(F.col("_seed"), F.col(row_id)))
+    # 52 leading bits of the hash as a number in [0, 1], in the order of its text.
+    share = F.conv(F.substring("_h", 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    near = narrow.withColumn("_u", share).join(
+        F.broadcast(table), F.col("stratum").eqNullSafe(F.col("_s"))
+    ).where(F.col("_u") <= F.col("_hi"))
+    below = near.groupBy("cycle", "_s").agg(F.count(F.when(F.col("_u") < F.col("_lo"), 1)).alias("_below"))
+    order = Window.partitionBy("cycle", "_s").orderBy("_h", row_id)
+    inside = near.where(F.col("_u") >= F.col("_lo")).withColumn("_r", F.row_number().over(order))
+    wanted = inside.join(
+        below.select(F.col("cycle").alias("_bc"), F.col("_s").alias("_bs"), "_below"),
+        (F.col("cycle") == F.col("_bc")) & F.col("_s").eqNullSafe(F.col("_bs")),
+    ).where(F.col("_r") + F.col("_below") == F.col("_k"))
+    cuts = materialise(wanted.select(
+        F.col("cycle").alias("_c"), "_s", F.struct(F.col("_h").alias("h"), F.col(row_id).alias("id")).alias("_cut")
+    ), "cuts")
+    if cuts.count() != len(bounds) * len(seeds):
+        raise ValueError("a cut lies outside its hash interval; are the row ids unique?")
+    return cuts
 
 
 def stratified_split(
@@ -71,9 +125,9 @@ def stratified_split(
 
 def positive_class(df: DataFrame, target: str) -> Column:
     """The class used to balance group folds: the higher of two values, else ``>= median``."""
-    values = df.select(target).where(F.col(target).isNotNull()).distinct().limit(3).collect()
-    if len(values) == 2:
-        return F.col(target) == F.lit(max(v[0] for v in values))
+    lower, upper, between = _extremes(df, target)
+    if not between and lower != upper:
+        return F.col(target) == F.lit(upper)
     return F.col(target) >= F.lit(scalar_quantiles(df, target, [0.5])[0])
 
 
@@ -104,6 +158,28 @@ def fold_balance(
     )
 
 
+def balanced_folds(
+    df: DataFrame, group: str, target: str, seed: int = 42, n_folds: int = 5
+) -> DataFrame:
+    """``group, n, n_pos, fold``: groups dealt by class and size, each fold in turn and back again.
+
+    Groups are put in order of their positives, then size (ties by a seeded hash), and dealt 0, 1,
+    ..., n-1, n-1, ..., 0: folds get as many groups, and nearly as many rows of either class. The
+    order is ranked in two levels, so the number of groups is not limited by one task.
+    """
+    pos = positive_class(df, target).cast("bigint")
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(pos), F.lit(0)).alias("n_pos")
+    )
+    ordered = rank_in_group(
+        sizes.withColumns({"_all": F.lit(0), "_h": seeded_hash(seed, F.col(group))}), ["_all"],
+        [F.col("n_pos").desc(), F.col("n").desc(), F.col("_h").asc(), F.col(group).asc()], "_r",
+    )
+    place = F.pmod(F.col("_r") - 1, F.lit(2 * n_folds))
+    fold = F.when(place < n_folds, place).otherwise(2 * n_folds - 1 - place)
+    return ordered.select(group, "n", "n_pos", fold.cast("int").alias("fold"))
+
+
 def repeated_grouped(
     df: DataFrame, group: str, target: str, seeds: Sequence[int], n_folds: int = 5
 ) -> DataFrame:

@@ -75,6 +75,17 @@ def split_grouped(spark, sf):
     return out.drop("o_totalprice")
 
 
+@query("""
+  WITH g AS (SELECT o_custkey, count(*) AS n,
+      sum((o_totalprice >= (SELECT quantile_cont(o_totalprice, 0.5) FROM orders))::INTEGER)::BIGINT AS n_pos
+    FROM orders GROUP BY o_custkey),
+    r AS (SELECT *, (row_number() OVER (
+      ORDER BY n_pos DESC, n DESC, md5('42|' || o_custkey), o_custkey) - 1) % 10 AS place FROM g)
+  SELECT o_custkey, n, n_pos, (CASE WHEN place < 5 THEN place ELSE 9 - place END)::INTEGER AS fold FROM r""")
+def split_grouped_balanced(spark, sf):
+    return splits.balanced_folds(_orders(spark, sf), "o_custkey", "o_totalprice", 42)
+
+
 @query(f"""
   WITH {_grouped_sql([42])}
   SELECT count(*) FILTER (a <> b) AS n_straddling, count(*) AS n_groups

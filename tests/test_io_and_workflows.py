@@ -117,9 +117,9 @@ def test_preprocessing_drops_the_right_features(labelled):
 
 
 def test_bits_to_vector(spark):
-    df = spark.createDataFrame([([0, 3],)], "b array<int>")
-    vec = df.select(features.bits_to_vector(F.col("b"), 5).alias("v")).first()["v"]
-    assert vec.toArray().tolist() == [1.0, 0.0, 0.0, 1.0, 0.0]
+    df = spark.createDataFrame([([0, 3],), ([],), (None,)], "b array<int>")
+    rows = features.bits_to_vector(df, "b", 5, "v").collect()
+    assert [r["v"].toArray().tolist() for r in rows] == [[1.0, 0.0, 0.0, 1.0, 0.0], [0.0] * 5, [0.0] * 5]
 
 
 def test_train_and_benchmark_by_group(spark, tmp_path, labelled):

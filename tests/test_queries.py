@@ -3,9 +3,8 @@
 import pytest
 from conftest import SF
 from oracle_check import compare
-from pyspark.sql import functions as F
 
-from compscope.operators import models
+from compscope.operators import features, models
 from compscope.queries import ORACLES, QUERIES, learning
 
 
@@ -28,17 +27,28 @@ def test_models_learn_where_there_is_something_to_learn(spark):
     assert learning._test_metrics(split, models.REGRESSOR, "StochasticBoosting").first()[
         "pearsonR"
     ] > 0.6
-    classed = split.withColumn("label", (F.col("label") > 35000).cast("double"))
+    classed = learning._priced(spark, SF, classes=True)
     for algorithm in ("RandomForest", "ExtraTrees", "Boosting"):
         assert learning._test_metrics(classed, models.CLASSIFIER, algorithm).first()["AUC"] > 0.8
 
 
 def test_classifier_report_is_complete(spark):
-    r = QUERIES["train_classifier_rf"](spark, SF).first()
-    assert r["tn"] + r["fp"] + r["fn"] + r["tp"] == 100
+    split = learning._priced(spark, SF, classes=True)
+    r = learning._test_metrics(split, models.CLASSIFIER, "RandomForest").first()
+    assert r["tn"] + r["fp"] + r["fn"] + r["tp"] == split.where("split = 'test'").count()
     assert all(0 <= r[m] <= 1 for m in ("ACC", "AUC", "MAP")) and -1 <= r["MCC"] <= 1
 
 
+def test_preprocessing_is_fitted_once_and_members_are_shared(spark, monkeypatch):
+    calls = []
+    fit = features.CorrelationFilter._fit
+    monkeypatch.setattr(features.CorrelationFilter, "_fit", lambda self, df: calls.append(1) or fit(self, df))
+    train = learning._priced(spark, SF).where("split = 'train'")
+    fitted = models.fit_all(train, models.REGRESSOR, models.ALGORITHMS, "features", 2, 2)
+    assert len(calls) == 1 and list(fitted) == list(models.ALGORITHMS)
+    assert fitted["Consensus"].members == [fitted[a].members[0] for a in models.MEMBERS]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
