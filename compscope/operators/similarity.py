@@ -228,6 +228,7 @@ def assign_clusters(
     key: str,
     bits: str,
     tiers: Sequence[float] = (0.65, 0.3, 0.0),
+    n_bits: int | None = None,
 ) -> DataFrame:
     """``cluster_ID`` of every row: the centroid with the same key, else the most similar one.
 
@@ -237,6 +238,8 @@ def assign_clusters(
     the answer back. The similar ones are found in tiers of falling thresholds: whatever has a
     partner at or above a tier has its best partner there too, so each tier is exact and only the
     rest goes on to the next, costlier one. Rows of the clustered library end in the first tier.
+    With ``n_bits`` (fingerprints of a fixed width) blocks of rows and centroids are multiplied
+    instead, and only the best centroid of each row is kept: no tiers, no candidate pairs.
     """
     hashed = rows.withColumn("_kid", _key_hash(dataset, key))
     unique = (
@@ -251,6 +254,18 @@ def assign_clusters(
     answered = exact.where("cluster_ID IS NOT NULL").select("_kid", "cluster_ID")
     rest = exact.where("cluster_ID IS NULL").drop("cluster_ID")
     nodes = centroids.select(dataset, "cluster_ID", F.col(bits).alias("_bits"))
+    if n_bits is not None:
+        from .bit_blocks import block_best
+
+        best = block_best(
+            rest.withColumn("_id", F.col("_kid")).select(dataset, "_id", "_bits"),
+            nodes.withColumn("_id", F.col("cluster_ID")).select(dataset, "_id", "_bits"),
+            [dataset], "_id", "_bits", n_bits,
+        ).select(F.col("id_a").alias("_kid"), F.col("id_b").alias("cluster_ID"))
+        best = materialise(best, "best")
+        answered = answered.unionByName(best)
+        rest = rest.join(best.select("_kid"), "_kid", "left_anti")
+        tiers = ()
     for tier in tiers:
         if rest.isEmpty():
             break

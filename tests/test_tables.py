@@ -76,7 +76,7 @@ def test_overlap_sums_to_distinct_keys(spark):
         [("x", "A"), ("x", "B"), ("y", "A"), ("y", "A"), (None, "B"), ("z", "C")],
         "k string, d string",
     )
-    regions = {r["region"]: r["n_keys"] for r in libraries.overlap_regions(df, "k", "d").collect()}
+    regions = {r["region"]: r["n_keys"] for r in libraries.overlap_regions(df, "k", "d", include_empty=True).collect()}
     assert regions == {"A": 1, "B": 1, "C": 1, "A&B": 1, "A&C": 0, "B&C": 0, "A&B&C": 0}
 
 
