@@ -67,8 +67,6 @@ def rank_in_group(
     return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, totals=True)
 
 
-# Groups up to this size use Spark's percentile, which keeps a group's values in one task.
-SMALL_GROUP = 100_000
 # Groups up to this size leave at most about a million rows after compression.
 WINDOW_GROUP = 200_000_000
 # Rank error of the approximate quantiles is at most 1 / ACCURACY of the group.
@@ -80,23 +78,21 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probs: Sequence[float],
-    small_group: int = SMALL_GROUP,
     window_group: int = WINDOW_GROUP,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group as ``quantiles array<double>``; nulls are skipped.
 
     Large groups are not gathered: approximate quantiles (a mergeable sketch) give a narrow
     bracket around every wanted rank, the rows outside the brackets are merged into a few counts,
-    and only the values inside are ranked, exactly.
+    and only the values inside are ranked, exactly. There is one formula at every size; groups of
+    more than ``window_group`` rows have their compressed values ranked in two levels.
     """
     data = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(
         *keys, F.col(value).cast("double").alias("_v")
     )
     largest = data.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= small_group:
-        return data.groupBy(*keys).agg(
-            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles")
-        )
+    if not largest:
+        return data.select(*keys, F.array(F.col("_v")).alias("quantiles")).limit(0)
     counts, group = _compressed(data, keys, sorted(set(probs)))
     if largest <= window_group:
         whole = Window.partitionBy(*group)

@@ -360,6 +360,26 @@ def top_k_scored(spark, sf):
     return ranking.order_by_score(events, "value", "event_id", k=100)
 
 
+_PROBS = (0.05, 0.25, 0.5, 0.9)
+
+
+@query(f"""
+  WITH q AS (SELECT event_type, quantile_cont(value, {list(_PROBS)}) AS q FROM events GROUP BY event_type)
+  SELECT path, event_type, {', '.join(f'round(q[{i}], 6) AS q{i}' for i in range(1, 5))}
+  FROM q, (SELECT unnest(['one task', 'two levels']) AS path)""")
+def quantiles_bracketed(spark, sf):
+    """Both ways of ranking the values inside the brackets."""
+    events = load(spark, sf, "events").select("event_type", "value")
+    paths = [
+        ordered.exact_quantiles(events, ["event_type"], "value", _PROBS, window_group=size).withColumn(
+            "path", F.lit(path))
+        for path, size in (("one task", 10**9), ("two levels", 0))
+    ]
+    return paths[0].unionByName(paths[1]).select(
+        "path", "event_type", *[r6(F.col("quantiles")[i - 1]).alias(f"q{i}") for i in range(1, 5)]
+    )
+
+
 _EDGES = ", ".join(f"{i / 10}" for i in range(11))
 
 

@@ -36,14 +36,14 @@ def test_running_totals_equal_window(skewed):
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
-@pytest.mark.parametrize("small,window", [(10**9, 10**9), (1, 10**9), (1, 0)])
-def test_exact_quantiles(skewed, small, window):
+@pytest.mark.parametrize("window", [10**9, 0])
+def test_exact_quantiles(skewed, window):
     pdf, df = skewed
     probs = [0.0, 0.1, 0.25, 0.5, 0.999, 1.0]
-    got = ordered.exact_quantiles(df, ["g"], "v", probs, small, window)
+    got = ordered.exact_quantiles(df, ["g"], "v", probs, window)
     for g, q in got.collect():
         assert np.allclose(q, np.quantile(pdf[pdf.g == g].v, probs))
-    whole = ordered.exact_quantiles(df, [], "v", probs, small, window).first()[0]
+    whole = ordered.exact_quantiles(df, [], "v", probs, window).first()[0]
     assert np.allclose(whole, np.quantile(pdf.v, probs))
 
 
