@@ -194,3 +194,30 @@ def test_materialised_tables_live_in_the_shared_folder(spark):
     assert df.columns == ["id", "b"] and df.count() == 5
     file = df.inputFiles()[0].removeprefix("file:").replace("///", "/")
     assert os.path.normpath(file).startswith(os.path.normpath(shared_folder(spark).removeprefix("file:")))
+
+
+def test_predict_from_file_to_file(spark, tmp_path):
+    train = spark.range(200).select(
+        F.concat(F.lit("C"), F.repeat(F.lit("C"), (F.col("id") % 9).cast("int"))).alias("smiles")
+    ).withColumn("label", (F.length("smiles") > 5).cast("double"))
+
+    def describe(df):
+        return df.withColumn("features", array_to_vector(fingerprints.string_descriptors(F.col("smiles"))))
+
+    model = models.fit(describe(train), models.CLASSIFIER, "RandomForest", "features", trees=3, depth=3)
+    model_store.save_model(spark, model, str(tmp_path / "model"), label_threshold=4.5)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_bytes("smiles,exp,note\nCCCCCCCC,8,\u00e9\nCC,2,b\nC(,1,c\n".encode("utf-16"))
+    (tmp_path / "in" / "b.csv").write_text("exp,smiles,note\n7,CCCCCCC,d\nhigh,CCC,e\n3,CCC,f\n")
+    got = workflows.predict_file(
+        spark, str(tmp_path / "in"), str(tmp_path / "model"), str(tmp_path / "out"), "smiles",
+        "smiles string, exp double, note string", fingerprints.smiles_normalised,
+        fingerprints.smiles_well_formed, describe, "score", observed="exp",
+    )
+    rows = {r["smiles"]: r for r in got.scored.collect()}
+    assert set(rows) == {"CCCCCCCC", "CC", "CCCCCCC", "CCC"} and "features" not in got.scored.columns
+    assert all((r["score"] > 0.5) == r["exp_class"] == (r["exp"] > 4.5) for r in rows.values())
+    assert [r["smiles"] for r in got.rejects.collect()] == ["C("]
+    assert [r["_corrupt_record"] for r in got.malformed.collect()] == ["high,CCC,e"]
+    assert got.report.first()["accuracy"] == 1.0 and got.undecodable.count() == 0
+    assert tables.read_csv(spark, str(tmp_path / "out")).count() == 4
