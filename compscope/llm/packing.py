@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
-from .common import bounded_batches, slices, text_of
+from .common import bounded_batches, give_back, slices, text_of
 from .token_counts import byte_bpe, vocabulary
 
 # Pieces of one length that a ranking task sorts.
@@ -158,28 +159,35 @@ def tokenised_pieces(
     A document is the ids of its whole text (null: empty) and then ``end_id``.
     """
     bounded_batches(df.sparkSession)
-    fields = "start:bigint,length:bigint,ids_crc32:bigint" + (",ids:binary" if with_ids else "")
+    texts = text_of(df, key, text)
+    fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    fields += [("ids", pa.binary())] if with_ids else []
 
-    @F.pandas_udf("array<struct<" + fields + ">>")
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(vocabulary(tokenizer))
         end = np.array([end_id], dtype="<u4").tobytes()
-        for texts in batches:
-            out = []
-            for t in texts:
+        for batch in batches:
+            of, cut, crcs, parts = [], [], [], []
+            for i, t in enumerate(batch.column("_text").to_pylist()):
                 ids = bpe.encode_bytes(t) + end
-                rows = []
-                for start, n in cut_lengths(len(ids) // 4, capacity):
+                for k, (start, n) in enumerate(cut_lengths(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + n)]
-                    row = {"start": start, "length": n, "ids_crc32": zlib.crc32(part)}
-                    rows.append(row | {"ids": part} if with_ids else row)
-                out.append(rows)
-            yield pd.Series(out)
-
-    cut = text_of(df, key, text).select("_key", pieces("_text").alias("_p"))
-    return cut.select("_key", F.posexplode("_p").alias("piece", "_p")).select(
-        "_key", "piece", *[F.col(f"_p.{f.split(':')[0]}") for f in fields.split(",")]
-    )
+                    of.append(i)
+                    cut.append((k, start, n))
+                    crcs.append(zlib.crc32(part))
+                    if with_ids:
+                        parts.append(part)
+            numbers = np.array(cut, dtype=np.int64).reshape(-1, 3)
+            columns = [batch.column("_key").take(pa.array(of, pa.int64())), numbers[:, 0].astype(np.int32)]
+            columns += [numbers[:, 1], numbers[:, 2], pa.array(crcs, pa.int64())]
+            columns += [pa.array(parts, pa.binary())] if with_ids else []
+            names = ["_key", *[n for n, _ in fields]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+        give_back()
+
+    kind = texts.schema["_key"].dataType.simpleString()
+    schema = f"_key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
+    return texts.mapInArrow(pieces, schema + (", ids binary" if with_ids else ""))
 
 
 def place(pieces: DataFrame, length: str, order: list[str], capacity: int) -> DataFrame:
