@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialise
 
 # Most bytes of rows that go to a Python worker at once; one longer row goes alone.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2_000
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, nbytes: int = BATCH_BYTES) -> None:
     """Bound the Arrow batches of this session by rows and by bytes, so that very long texts
-    cannot fill a worker's memory. Smaller settings of the session are kept."""
-    for key, most in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", rows),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", nbytes),
-    ):
-        now = spark.conf.get(key, None)
-        digits = "".join(c for c in now or "" if c.isdigit())
-        if not digits or not 0 < int(digits) <= most or not now.isdigit():
-            spark.conf.set(key, str(most))
+    cannot fill a worker's memory. The last call before a job counts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(nbytes))
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers live on, and several
+    of them share an executor's memory with its JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+    if trim is not None:
+        trim(0)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

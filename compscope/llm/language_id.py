@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 
 # Language families by ISO 639-1 code. A language that is not here is its own family.
 FAMILIES = {
@@ -36,6 +36,8 @@ DIM = 4_096
 SAMPLE_ROWS = 400
 # Characters whose features are counted at once.
 CHARS = 1 << 18
+# Texts whose features are counted, and predicted, at once.
+TEXTS = 128
 UNKNOWN = "und"
 
 
@@ -55,7 +57,7 @@ def gram_counts(texts: list[str]) -> np.ndarray:
             # A long text is counted in parts that share two characters, whose own grams were counted.
             batch.append((i, text[max(0, at - 2) : at + CHARS] if at else text[:CHARS]))
             size += len(batch[-1][1])
-            if size >= CHARS:
+            if size >= CHARS or len(batch) >= TEXTS:
                 _count(batch, out)
                 batch, size = [], 0
     _count(batch, out)
@@ -95,14 +97,13 @@ def unit(counts: np.ndarray) -> np.ndarray:
 def train_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss on labels -1, 1, classes weighted alike, by accelerated
     gradient descent; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    step = 1.0 / (2 * (np.square(x).sum(axis=1) * weight).sum() + penalty)
-    w = ahead = np.zeros(x.shape[1])
+    step = 1.0 / (2 * ((np.square(x).sum(axis=1) + 1) * weight).sum() + penalty)
+    w = ahead = np.zeros(x.shape[1] + 1)
     for t in range(steps):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        gradient = penalty * ahead - 2 * x.T @ (weight * y * slack)
-        new = ahead - step * gradient
+        slack = weight * y * np.maximum(0, 1 - y * (x @ ahead[:-1].astype(x.dtype) + ahead[-1]))
+        pull = np.append(slack.astype(x.dtype) @ x, slack.sum())
+        new = ahead - step * (penalty * ahead - 2 * pull)
         ahead = new + t / (t + 3) * (new - w)
         w = new
     return w[:-1], float(w[-1])
@@ -213,11 +214,12 @@ def predictions(model: LanguageModel, text: Column) -> Column:
         for texts in batches:
             whole = [t or "" for t in texts]
             langs, scores = [], []
-            for at in range(0, len(whole), 256):
-                found = model.predict(whole[at : at + 256])
+            for at in range(0, len(whole), TEXTS):
+                found = model.predict(whole[at : at + TEXTS])
                 langs += found[0]
                 scores += found[1]
             yield pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float)})
+        give_back()
 
     return predict(text)
 

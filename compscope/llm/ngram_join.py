@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
-from .common import bounded_batches, components, text_of
+from .common import bounded_batches, components, give_back, text_of
 from .shingles import shingle_sets
 
 # The frequency sketch: 2^SKETCH_BITS counters, a fixed size whatever the data.
@@ -37,7 +37,7 @@ FILL = 0.35
 SHORT_LIST = 64
 LIST_BLOCK = 2_048
 # Shingles of the texts that one verification block holds.
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 1_000_000
 # Most rows of a document list that is broadcast (16 bytes and an id each).
 BROADCAST_ROWS = 500_000
 
@@ -61,6 +61,7 @@ def frequency_sketch(texts: DataFrame, k: int) -> np.ndarray:
             for s in shingle_sets(batch.column("_text"), k):
                 # A set may have a counter twice.
                 np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        give_back()
         if total.any():
             parts = total.reshape(-1, SKETCH_CHUNK).astype("<i8")
             yield pa.RecordBatch.from_pydict(
@@ -127,6 +128,7 @@ def signatures(texts: DataFrame, k: int, num: int, den: int, unusual: np.ndarray
                 ],
                 schema=schema,
             )
+        give_back()
 
     return texts.mapInArrow(
         sign,
@@ -342,6 +344,8 @@ def _verified(
                 for i, j in similar_links([sets[x] for x in at], block[at], across, num, den):
                     a.append(digests[at[i]])
                     b.append(digests[at[j]])
+        del sets, table
+        give_back()
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return dealt.groupBy("tile", "low", "high").applyInArrow(verify, "a binary, b binary")

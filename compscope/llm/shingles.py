@@ -96,6 +96,16 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text: shingles of ``k`` words; a shorter text
     that has words is one shingle; a text without words has none."""
     data, ends = text_buffers(column)
+    sets: list[np.ndarray] = []
+    at, n = 0, len(ends) - 1
+    while at < n:  # texts of about a segment together, so that little memory is in use at once
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SEGMENT, "right")) - 1)
+        sets += _sets(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at], k)
+        at = to
+    return sets
+
+
+def _sets(data: np.ndarray, ends: np.ndarray, k: int) -> list[np.ndarray]:
     hashes, starts = word_hashes(data, ends[:-1])
     bounds = np.searchsorted(starts, ends)
     size = len(hashes) - k + 1

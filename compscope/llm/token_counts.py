@@ -21,13 +21,13 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, text_of
+from .common import bounded_batches, give_back, text_of
 
 # The pre-token pattern of byte-level BPE, as the vocabulary's licence page gives it.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # Memo entries a worker keeps for stretches of text between spaces; full, the memo starts anew.
-MEMO = 400_000
+MEMO = 150_000
 # Longer stretches are not kept.
 MEMO_CHARS = 64
 
@@ -47,7 +47,8 @@ class ByteBpe:
     """Encoder for one tokenizer file; ids equal those of the tokenizer library without added
     tokens, special strings inside a text being its special ids."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, fast: bool = True) -> None:
+        """``fast=False`` always follows the merge rules themselves."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, split = spec["model"], spec["pre_tokenizer"]
@@ -68,9 +69,9 @@ class ByteBpe:
         self.marks: dict[str, bytes] = {}
         self.whole: dict[str, int] = {}
         self.merge_bytes = self._by_rules
-        self._prove_whole()
+        self._prove_whole(fast)
 
-    def _prove_whole(self) -> None:
+    def _prove_whole(self, fast: bool) -> None:
         """Find the vocabulary strings, as text, that the merge rules alone turn into one token.
 
         If that holds for all of them, and ids follow the order of the rules, then joining
@@ -92,12 +93,13 @@ class ByteBpe:
             c: array("I", (self.whole[c],)).tobytes() for c in punctuation if c in self.whole
         }
         ordered = [self.vocab["".join(p)] for p in self.rank]
-        if proven == len(self.vocab) and ordered == sorted(ordered):
+        if fast and proven == len(self.vocab) and ordered == sorted(ordered):
             ranks = {bytes(back[c] for c in p): i for p, i in self.vocab.items()}
             merger = tiktoken.Encoding(
                 "pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}
             )
             self.merge_bytes = merger.encode_ordinary
+            self.rank, self.vocab = {}, {}  # not needed any more
 
     def _by_rules(self, piece: str) -> list[int]:
         letters = self.letters
@@ -209,6 +211,7 @@ def token_counts(
         bpe = byte_bpe(vocabulary(tokenizer))
         for texts in batches:
             yield pd.Series([bpe.count(t) for t in texts], dtype="int64")
+        give_back()
 
     counted = text_of(df, key, text).select(
         F.col("_key").alias(key),
