@@ -63,11 +63,12 @@ JOINT = 1.0
 
 
 def _neighbours() -> dict[str, str]:
-    """Keys that touch on a keyboard whose rows are shifted to the right by half a key each."""
-    where = {c: (r, i) for r, row in enumerate(ROWS) for i, c in enumerate(row, start=r // 1)}
+    """Keys that touch. Places are in half keys: each row stands a little to the right of the one
+    above it."""
+    where = {c: (r, 2 * i + shift) for r, (row, shift) in enumerate(zip(ROWS, (0, 3, 4, 5))) for i, c in enumerate(row)}
     return {
-        a: "".join(b for b, (s, j) in where.items() if a != b and abs(r - s) <= 1 and abs(i - j) <= 1)
-        for a, (r, i) in where.items()
+        a: "".join(b for b, (s, j) in where.items() if (abs(r - s), abs(x - j)) in ((0, 2), (1, 1)))
+        for a, (r, x) in where.items()
     }
 
 
