@@ -131,7 +131,7 @@ def read_slots(shards: DataFrame, capacity: int, dtype: str = "<u2", first: int
     """``slot, shard, byte_offset, _key, piece, length, ids`` (uint32 bytes) from slot ``first`` on,
     whole shards before it being skipped by the scan."""
     stride = HEADER.itemsize + capacity * np.dtype(dtype).itemsize
-    bounded_batches(shards.sparkSession, rows=4)
+    bounded_batches(shards.sparkSession)  # by bytes: a payload has some megabytes
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
