@@ -50,7 +50,7 @@ class Codec:
         self.id = {self.pieces[i]: i for i in plain}
         self.longest = max(map(len, self.score))
         self.floor = min(self.score.values()) - UNKNOWN_PENALTY
-        inner = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        inner = self.inner = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         # All paths meet in front of a space mark behind another character if no piece spans that.
         meets = all(pair[0] == SPACE for pair in inner if pair[1] == SPACE)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if meets else r"(?s:.+)")
@@ -129,13 +129,23 @@ class Codec:
         ids: list[int] = []
         for part in self.cut.findall(self.normalise(text)):
             known = self.memo.get(part)
-            if known is None:
-                known = tuple(i for run in self.search(part) for piece in run for i in self._ids(piece))
-                if len(part) <= MEMO_CHARS:
-                    if len(self.memo) >= MEMO:
-                        self.memo.clear()
-                    self.memo[part] = known
-            ids.extend(known)
+            ids.extend(self._stretch(part) if known is None else known)
+        return ids
+
+    def _stretch(self, part: str) -> tuple[int, ...]:
+        """Ids of a stretch; all paths meet wherever no piece holds two neighbouring characters."""
+        inner = self.inner
+        cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in inner]
+        if cuts:
+            ids: tuple[int, ...] = ()
+            for a, b in zip([0, *cuts], [*cuts, len(part)]):
+                ids += self.memo.get(part[a:b]) or self._stretch(part[a:b])
+        else:
+            ids = tuple(i for run in self.search(part) for piece in run for i in self._ids(piece))
+        if len(part) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[part] = ids
         return ids
 
     def _ids(self, piece: str) -> list[int]:
