@@ -152,16 +152,16 @@ def tokenised_pieces(
     tokenizer: str = "byte_bpe_50k.json",
     end_id: int = 2,
     capacity: int = 1024,
-    with_ids: bool = False,
+    id_type: str | None = None,
 ) -> DataFrame:
-    """``_key, piece, start, length, ids_crc32`` (and ``ids`` as uint32 bytes on request).
+    """``_key, piece, start, length, ids_crc32`` (and ``ids`` as bytes of ``id_type`` on request).
 
     A document is the ids of its whole text (null: empty) and then ``end_id``.
     """
     bounded_batches(df.sparkSession)
     texts = text_of(df, key, text)
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    fields += [("ids", pa.binary())] if with_ids else []
+    fields += [("ids", pa.binary())] if id_type else []
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(vocabulary(tokenizer))
@@ -175,19 +175,19 @@ def tokenised_pieces(
                     of.append(i)
                     cut.append((k, start, n))
                     crcs.append(zlib.crc32(part))
-                    if with_ids:
-                        parts.append(part)
+                    if id_type:
+                        parts.append(np.frombuffer(part, "<u4").astype(id_type).tobytes())
             numbers = np.array(cut, dtype=np.int64).reshape(-1, 3)
             columns = [batch.column("_key").take(pa.array(of, pa.int64())), numbers[:, 0].astype(np.int32)]
             columns += [numbers[:, 1], numbers[:, 2], pa.array(crcs, pa.int64())]
-            columns += [pa.array(parts, pa.binary())] if with_ids else []
+            columns += [pa.array(parts, pa.binary())] if id_type else []
             names = ["_key", *[n for n, _ in fields]]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
         give_back()
 
     kind = texts.schema["_key"].dataType.simpleString()
     schema = f"_key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return texts.mapInArrow(pieces, schema + (", ids binary" if with_ids else ""))
+    return texts.mapInArrow(pieces, schema + (", ids binary" if id_type else ""))
 
 
 def place(pieces: DataFrame, length: str, order: list[str], capacity: int) -> DataFrame:

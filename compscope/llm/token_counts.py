@@ -27,7 +27,7 @@ from .common import bounded_batches, give_back, text_of
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # Memo entries a worker keeps for stretches of text between spaces; full, the memo starts anew.
-MEMO = 150_000
+MEMO = 300_000
 # Longer stretches are not kept.
 MEMO_CHARS = 64
 

@@ -173,16 +173,12 @@ def training_order(
     """
     path = path or fresh_path(df.sparkSession, "tokens")
 
-    @F.pandas_udf("binary")
-    def narrow(ids: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(b, "<u4").astype("<u2").tobytes() for b in ids], dtype=object)
-
     @F.pandas_udf("bigint")
     def crc(ids: pd.Series) -> pd.Series:
         return pd.Series([zlib.crc32(b) for b in ids], dtype="int64")
 
-    pieces = tokenised_pieces(df, key, text, tokenizer, end_id, capacity, with_ids=True)
-    sequences = pieces.select(F.col("_key").cast("bigint").alias("_key"), "piece", "length", narrow("ids").alias("ids"))
+    pieces = tokenised_pieces(df, key, text, tokenizer, end_id, capacity, id_type="<u2")
+    sequences = pieces.select(F.col("_key").cast("bigint").alias("_key"), "piece", "length", "ids")
     shards = write_shards(sequences, path, capacity, seed)
     return read_slots(shards, capacity).select(
         "slot", "shard", "byte_offset", F.col("_key").alias(key), "piece", "length", crc("ids").alias("ids_crc32")
