@@ -2,21 +2,25 @@
 
 How hard a value is to guess is the cheapest way to put it together from dictionary words, dates,
 repeats, keyboard walks and brute-force characters, found by dynamic programming over its
-positions (the idea of low-budget password strength estimation). A value that stands where a
-credential is expected and costs many guesses is reported in addition to the pattern matches.
+positions (the idea of low-budget password strength estimation). Every value of six or more
+characters that stands where a credential is expected is put to it, and the cost alone decides
+whether it is reported in addition to the pattern matches.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from hashlib import sha256
+from json import load as load_json
 from math import log10
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import bounded_batches
+from .token_counts import vocabulary
 
 KINDS = ("assign", "access", "hex", "guess")
 # Decimal logarithm of the guesses from which a value in a credential context is reported.
@@ -32,11 +36,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of 24 or more: a longer match cannot start elsewhere
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
-# Where a credential is expected: a name and a sign before the value, or the user part of a URL.
+# Where a credential is expected: a name and a sign before the value, or the user part of a URL. The
+# name may be the end of a longer one (MYSQL_PWD, user_password, clientSecret).
 CONTEXT = re.compile(
-    r"(?:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|secret)[_-]?key"
+    r"(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|secret)[_-]?key"
     r"|auth|authorization|credentials?)[\"']?[ ]{0,2}(?::=|=>|->|[:=])[ ]{0,2}(?:bearer[ ])?[\"']?"
-    r"|\bbearer[ ]|\b[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:)([^\s\"'<>]{6,})",
+    r"|(?<![a-z0-9])bearer[ ]|(?<![a-z0-9])[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:)([^\s\"'<>]{6,})",
     re.IGNORECASE | re.ASCII,
 )
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "://")
@@ -75,15 +80,21 @@ def _neighbours() -> dict[str, str]:
 NEAR = _neighbours()
 
 
-def _words() -> dict[str, float]:
-    cost: dict[str, float] = {}
-    for rank, w in enumerate(COMMON, start=1):
-        cost.setdefault(w, log10(rank + 1))
-    return cost
+# Words of prose: those of four or more letters that are one token of this vocabulary, the most used
+# ones first.
+PROSE = "byte_bpe_50k.json"
 
 
-WORDS = _words()
-LONGEST = max(map(len, WORDS))
+@cache
+def dictionary() -> tuple[dict[str, float], int]:
+    """Decimal logarithm of each word's rank, and the length of the longest word."""
+    with open(vocabulary(PROSE), encoding="utf-8") as f:
+        ids = load_json(f)["model"]["vocab"]
+    prose = [t[1:].lower() for t in sorted(ids, key=ids.get) if re.fullmatch("Ġ[A-Za-z]{4,}", t)]
+    cost: dict[str, float] = {}
+    for w in [*COMMON, *prose]:
+        cost.setdefault(w, log10(len(cost) + 2))
+    return cost, max(map(len, cost))
 
 
 def _alphabet(value: str) -> float:
@@ -103,12 +114,13 @@ def _alphabet(value: str) -> float:
 def guess_cost(value: str) -> float:
     """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` needs.
 
-    Segments: a common word (upper-case letters and digits for letters cost extra), a date or
+    Segments: a word of the dictionary (upper-case letters and digits for letters cost extra), a date or
     year, a repeat of one to four characters (the cost of one, times the count), a walk over
     neighbouring keys of three or more, and single brute-force characters. Each segment but a
     brute-force character after another adds ``JOINT``. An empty value costs nothing.
     """
     n = len(value)
+    words, longest = dictionary()
     low = value.lower()
     low = low if len(low) == n else value  # a few letters change their number when lowered
     plain = low.translate(LEET)
@@ -126,12 +138,12 @@ def guess_cost(value: str) -> float:
         joint = JOINT if i else 0.0
         brute[i + 1] = min(brute[i], other[i] + joint) + per_char
         segments = list(dates.get(i, ()))
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
+        for j in range(i + 3, min(n, i + longest) + 1):
             for form, extra in ((low[i:j], 0.0), (plain[i:j], log10(2))):
-                if form in WORDS:
+                if form in words:
                     upper = sum(c.isupper() for c in value[i:j])
                     shift = 0.0 if not upper else log10(2) if upper in (1, j - i) else 0.3 * upper
-                    segments.append((j, WORDS[form] + shift + extra))
+                    segments.append((j, words[form] + shift + extra))
         for size in range(1, 5):
             j = i + size
             while value[j : j + size] == value[i : i + size] and j + size <= n:
@@ -191,9 +203,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int, int]], float | None]:
             if "://" in text[m.start() : m.start(1)]:
                 value = value.split("@")[0] if "@" in value else ""
             value = value.rstrip(".,;:!?)]}`*|&%#$") if not value.isalnum() else value
-            # A word of prose is no secret: two kinds of characters are asked for.
-            kinds = (any(c.isalpha() for c in value)) + (any(c.isdigit() for c in value)) + (not value.isalnum())
-            if len(value) < 6 or kinds < 2 or not any(c.isdigit() for c in value):
+            if len(value) < 6:
                 continue
             start, end = m.start(1), m.start(1) + len(value)
             cost = guess_cost(value)
@@ -210,7 +220,8 @@ def listed(spans: list[tuple[int, int, int, int]]) -> str:
 def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row ``<key>, n_assign, n_access, n_hex, base_sha256, spans, n_guess, max_guess_log10``.
 
-    ``spans`` lists all spans as kind:start:end in code points, end exclusive, by start and kind;
+    Values where a credential is expected are spans of kind ``guess`` if they are of 6 characters
+    or more and cost 10^``MIN_GUESSES`` guesses or more, whatever characters they are of. ``spans`` lists all spans as kind:start:end in code points, end exclusive, by start and kind;
     ``base_sha256`` is the SHA-256 of the same list of the pattern matches alone. A null text is
     empty: no spans, the hash of the empty string. Rows are kept one to one, whatever their key;
     an empty table gives no rows; other columns are not read. One pass without a shuffle.

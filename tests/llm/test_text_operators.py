@@ -274,3 +274,26 @@ def test_guess_spans_and_masks():
     assert [text[s:e] for s, k, e, _ in spans if k == 3] == ["xK9#mQ2$vL7p", "q8Zr-77Tkw02LmNx"]
     assert secrets.mask("a password = 'hunter22' b") == f"a password = '{secrets.MASK}' b"
     assert secrets.mask("clean text") == "clean text"
+
+
+@pytest.mark.parametrize("text, value", [
+    ("pwd=hGtRfKqLmZxWvBnC", "hGtRfKqLmZxWvBnC"),  # letters only
+    ("passphrase: xK!mQz#vRtYwPl", "xK!mQz#vRtYwPl"),  # no digit
+    ("password: xK!mQz#vRtYwPl", "xK!mQz#vRtYwPl"),
+    ("pin_code pwd: 830174659201", "830174659201"),  # digits only
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYz", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYz"),
+    ("MYSQL_PWD=Zk9vR2mQ8xLt", "Zk9vR2mQ8xLt"),
+    ("user_password: q#8Zr77Tkw02", "q#8Zr77Tkw02"),
+    ("dbPwd = wq#Zr!Tkwxv", "wq#Zr!Tkwxv"),
+    ("x_postgres://me:kQzmWvXbRt@host", "kQzmWvXbRt"),
+])
+def test_only_the_cost_decides_on_credential_values(text, value):
+    assert [text[s:e] for s, k, e, _ in secrets.scan(text)[0] if k == 3] == [value]
+    assert value not in secrets.mask(text)
+
+
+@pytest.mark.parametrize("text", [
+    "auth: northwestern lights", "pass: requirements, all", "pwd: Tomorrow", "the credentials: university", "pwd=qwertyuiop",
+])
+def test_words_of_prose_cost_little(text):
+    assert secrets.scan(text)[0] == [] and secrets.scan(text)[1] < secrets.MIN_GUESSES
