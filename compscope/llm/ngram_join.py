@@ -90,7 +90,8 @@ def frequency_sketch(texts: DataFrame, k: int) -> np.ndarray:
 def signatures(texts: DataFrame, k: int, num: int, den: int, unusual: np.ndarray) -> DataFrame:
     """Per row ``_key, n, digest, prefix, group_key, bits, wide``: the set's size, a 128-bit digest,
     its prefix, a digest of prefix and size, its parity bitmap, and a wider one for a large set.
-    Null where the set is empty."""
+    Null where the set is empty. A column ``_text_id`` of ``texts`` is kept."""
+    named = "_text_id" in texts.columns
     order = texts.sparkSession.sparkContext.broadcast(unusual)
     schema = pa.schema(
         [
@@ -98,6 +99,7 @@ def signatures(texts: DataFrame, k: int, num: int, den: int, unusual: np.ndarray
             ("group_key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())),
             ("wide", pa.list_(pa.int64())),
         ]
+        + [("_text_id", pa.binary())] * named
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +127,8 @@ def signatures(texts: DataFrame, k: int, num: int, den: int, unusual: np.ndarray
                     pa.array(digests, pa.binary()), pa.array(keys, pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())),
                     pa.array(wide, pa.list_(pa.int64())),
-                ],
+                ]
+                + ([batch.column("_text_id")] if named else []),
                 schema=schema,
             )
         give_back()
@@ -133,7 +136,7 @@ def signatures(texts: DataFrame, k: int, num: int, den: int, unusual: np.ndarray
     return texts.mapInArrow(
         sign,
         "_key bigint, n int, digest binary, group_key binary, prefix array<bigint>, bits array<bigint>, "
-        "wide array<bigint>",
+        "wide array<bigint>" + ", _text_id binary" * named,
     )
 
 
@@ -351,8 +354,14 @@ def _verified(
     return dealt.groupBy("tile", "low", "high").applyInArrow(verify, "a binary, b binary")
 
 
+def text_id(text: Column) -> Column:
+    """128 bits that tell the texts of one key apart; a null text is empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
 def ngram_groups(
-    df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100
+    df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100,
+    by_text: bool = False,
 ) -> DataFrame:
     """Per row ``<key>, n_shingles, component_id``: the size of its set of ``k``-word shingles and
     the smallest key that it reaches by links of Jaccard similarity >= num / den, itself included.
@@ -361,9 +370,13 @@ def ngram_groups(
     its like. Fewer than ``k`` words are one shingle. Repeated rows are one text; a repeated key
     with different texts keeps them apart. A row with a null key is returned with its size and a
     null component and links with nothing. An empty table gives no rows; other columns are not read.
+    With ``by_text`` there are also ``text_id`` of the row and ``first_text_id``: the smallest one
+    among the texts of the component that stand under ``component_id``, null where nothing links.
     """
     bounded_batches(df.sparkSession)
     texts = text_of(df, key, text).withColumn("_key", F.col("_key").cast("bigint"))
+    if by_text:
+        texts = texts.withColumn("_text_id", text_id(F.col("_text")))
     unusual = frequency_sketch(texts, k)
     signed = materialise(signatures(texts, k, num, den, unusual), "signatures")
     linked = signed.where("n > 0 AND _key IS NOT NULL")
@@ -379,14 +392,20 @@ def ngram_groups(
             .select("group_key", F.coalesce("root", "gid").alias("root"))
         )
     found = components(_verified(texts, linked, active, k, num, den), "a", "b")
-    member = linked.groupBy("digest").agg(F.min("_key").alias("low"))
+    low = F.struct("_key", "_text_id") if by_text else F.col("_key")
+    member = linked.groupBy("digest").agg(F.min(low).alias("low"))
     if found is None:
         member = member.withColumn("root", F.col("digest"))
     else:
         member = member.join(found.withColumnRenamed("node", "digest"), "digest", "left")
         member = member.withColumn("root", F.coalesce("root", "digest"))
-    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = member.join(lowest, "root").select("digest", "component_id")
+    lowest = member.groupBy("root").agg(F.min("low").alias("low"))
+    labels = member.drop("low").join(lowest, "root").select("digest", "low")
     out = [F.col("_key").alias(key), F.col("n").cast("bigint").alias("n_shingles")]
-    alone = signed.where("n = 0 OR _key IS NULL").select(*out, F.col("_key").alias("component_id"))
-    return linked.join(labels, "digest").select(*out, "component_id").unionByName(alone)
+    ends, none = [F.col("low").alias("component_id")], [F.col("_key").alias("component_id")]
+    if by_text:
+        own = F.col("_text_id").alias("text_id")
+        ends = [F.col("low._key").alias("component_id"), own, F.col("low._text_id").alias("first_text_id")]
+        none += [own, F.lit(None).cast("binary").alias("first_text_id")]
+    alone = signed.where("n = 0 OR _key IS NULL").select(*out, *none)
+    return linked.join(labels, "digest").select(*out, *ends).unionByName(alone)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialise
 from .common import bounded_batches, fresh
 from .language_id import UNKNOWN, held_out, predictions, train
-from .ngram_join import BROADCAST_ROWS, ngram_groups
+from .ngram_join import BROADCAST_ROWS, ngram_groups, text_id
 from .secret_scan import redact
 
 # Documents whose language is less certain go. The winner of two close duels has 0.25 at least.
@@ -26,21 +26,30 @@ def keep_known_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFr
 
 
 def keep_one_of_each_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Keep the document with the smallest id of every group that links of Jaccard similarity
-    >= num / den form. Of rows with the same id and text one stays. Documents with an empty text
-    or a null id are in no group and stay."""
-    groups = materialise(ngram_groups(docs, "doc_id", "text", k, num, den), "groups")
-    key = fresh(docs, "_id")
-    gone = groups.where("component_id != doc_id").select(F.col("doc_id").alias(key)).distinct()
-    twice = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key)).count()
-    twice = twice.where("count > 1").select(key)
+    """Keep one document of every group that links of Jaccard similarity >= num / den form: the
+    one with the smallest id, and of several texts under that id the one with the smallest digest.
+    It is decided per id and text, so a repeated id may keep one text and lose another. Of rows
+    with the same id and text one stays. Documents with an empty text or a null id are in no group
+    and stay."""
+    groups = materialise(ngram_groups(docs, "doc_id", "text", k, num, den, by_text=True), "groups")
+    key, digest = fresh(docs, "_id"), fresh(docs, "_text_id")
+    first = (F.col("component_id") == F.col("doc_id")) & (F.col("first_text_id") == F.col("text_id"))
+    rows = groups.where("doc_id IS NOT NULL").select(
+        F.col("doc_id").alias(key), F.col("text_id").alias(digest),
+        (F.col("first_text_id").isNotNull() & ~first).alias("gone"),
+    )
+    ids = rows.groupBy(key).agg(F.count("*").alias("n"), F.every("gone").alias("gone"))
+    gone, twice = ids.where("gone").select(key), ids.where("n > 1 AND NOT gone").select(key)
     kept = docs.join(_sized(gone), docs["doc_id"] == F.col(key), "left_anti")
     if twice.isEmpty():
         return kept
-    again = kept["doc_id"] == F.col(key)
-    once = kept.join(_sized(twice), again, "left_anti")
-    repeated = kept.join(_sized(twice), again, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(repeated)
+    again, twice = kept["doc_id"] == F.col(key), _sized(twice)
+    once = kept.join(twice, again, "left_anti")
+    repeated = kept.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    # Ids of which some texts go and others stay.
+    parts = rows.where("gone").join(twice, key, "left_semi").select(key, digest).distinct()
+    same = (repeated["doc_id"] == F.col(key)) & (text_id(repeated["text"]) == F.col(digest))
+    return once.unionByName(repeated.join(_sized(parts), same, "left_anti"))
 
 
 def _sized(ids: DataFrame) -> DataFrame:

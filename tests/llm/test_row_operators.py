@@ -313,6 +313,14 @@ def test_stages_decide_and_keep_columns(spark):
     assert sorted((str(r.doc_id), r.text) for r in one.select("doc_id", "text").na.fill("").collect()) == sorted(
         [("3", long + " end"), ("4", "other text"), ("None", long), ("6", ""), ("6", "")]
     )
+    # One id for several texts: each is judged on its own.
+    other = " ".join(f"u{i}" for i in range(100))
+    rows = [(3, long), (7, long + " end"), (7, other), (9, other), (9, "word " * 3), (7, ""), (7, other),
+            (2, "a b c d e f"), (2, "A  b c d e f"), (8, "a b c d e f"), (3, "lone text")]
+    df = spark.createDataFrame([(i, t, "de", "s", 1) for i, t in rows], DOCS)
+    one = sorted((r.doc_id, r.text) for r in keep_one_of_each_group(df).collect())
+    assert len([t for d, t in one if d == 2]) == 1
+    assert [r for r in one if r[0] != 2] == sorted([(3, long), (3, "lone text"), (7, ""), (7, other), (9, "word " * 3)])
     df = spark.createDataFrame([(1, "token = abcdefgh1 x", "en", "s", 19), (2, "clean", "en", "s", 5), (3, None, None, None, None)], DOCS)
     got = {r.doc_id: (r.text, r.n_chars) for r in mask_secrets(df).collect()}
     assert got == {1: ("token = [REDACTED] x", 20), 2: ("clean", 5), 3: (None, None)}
