@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialise
 from .common import bounded_batches, slices
 
 # Vectors in a block; candidate blocks in a tile column; query blocks in a tile row.
@@ -54,12 +55,14 @@ def tiles(queries: DataFrame, n_queries: int, candidates: DataFrame, n_candidate
 
     The grid has a row for each ``TILE_QUERIES`` queries and a column for each ``TILE_CANDIDATES``
     candidates; blocks are copied along their row or column and meet by an equi-join on the cell,
-    so each cell is a shuffle key of its own and only packed blocks move.
+    so each cell is a shuffle key of its own and only packed blocks move. The packed blocks
+    of both sides are written first: which rows a block holds, and so its cell, depends on the order
+    in which a shuffle delivers them, and must not change when a lost task is run again.
     """
     n_rows, n_cols = slices(n_queries, TILE_QUERIES), slices(n_candidates, TILE_CANDIDATES)
     spread_queries = queries.repartition(slices(n_queries, BLOCK_ROWS))
-    q = pack_blocks(spread_queries, n_rows, "q", kind)
-    c = pack_blocks(candidates, n_cols, "c", kind)
+    q = materialise(pack_blocks(spread_queries, n_rows, "q", kind), "query_blocks")
+    c = materialise(pack_blocks(candidates, n_cols, "c", kind), "candidate_blocks")
     q = q.withColumn("_col", F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))))
     c = c.withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
     cell = (

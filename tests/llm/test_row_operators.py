@@ -49,6 +49,23 @@ def test_topk_with_ties_in_small_tiles(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == want
 
 
+def test_blocks_stay_when_tiles_run_again(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 7), ("TILE_CANDIDATES", 20), ("TILE_QUERIES", 14)):
+        monkeypatch.setattr(tiles, name, value)
+
+    def mixed(batches):  # delivers its rows in another order each time, as a shuffle may
+        for batch in batches:
+            yield batch.sample(frac=1)
+
+    schema = "_id bigint, _v array<bigint>"
+    df = spark.createDataFrame([(i, [i, 1]) for i in range(90)], schema).coalesce(1).mapInPandas(mixed, schema)
+    met = tiles.tiles(df, 90, df, 90, "<i8")
+    runs = [sorted((bytes(r.q_ids), bytes(r.c_ids)) for r in met.collect()) for _ in range(2)]
+    assert runs[0] == runs[1]
+    pairs = [(q, c) for a, b in runs[0] for q in np.frombuffer(a, "<i8") for c in np.frombuffer(b, "<i8")]
+    assert Counter(pairs) == Counter((q, c) for q in range(90) for c in range(90))
+
+
 def test_topk_edges(spark):
     schema = "vec_id bigint, v array<bigint>"
     rows = [(0, [1, 2]), (1, None), (None, [5, 5]), (2, [1, 2]), (2, [1, 2]), (10, [3]), (20, [2**40, 1])]
