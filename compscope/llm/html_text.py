@@ -24,8 +24,13 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 UNSEEN = set(
     "area audio base canvas datalist embed head iframe link meta noembed noframes noscript object param "
-    "rp script source style svg template title track video math select textarea".split()
+    "rp script source style template title track video".split()
 )
+# Drawings show what stands in text elements, but nothing of these; formulas hide their annotations.
+UNDRAWN = set("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient".split())
+UNSET = {"annotation", "annotation-xml", "mphantom"}
+# The parts of these stand apart from each other.
+APART = set("mfrac msub msup msubsup munder mover munderover mroot mtr mtable mmultiscripts".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre "
@@ -58,7 +63,9 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
+HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+UNQUOTED_SLASH = re.compile(r"=[^\s\"'=]*/\Z")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE) for t in RAW}
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -156,12 +163,15 @@ def build_tree(html: str) -> Node:
         stack[-1].children.append(node)
         if name in VOID:
             continue
-        if name in RAW:
+        if name in RAW and not (rest.endswith("/") and opened.number["svg"] > 0):
             end = RAW_END[name].search(html, at)
             body = html[at : end.start()] if end else html[at:]
             node.children.append(unescape(body) if name in ("textarea", "title") else body)
             at = end.end() if end else len(html)
-        else:
+        elif not (
+            rest.endswith("/") and (opened.number["svg"] > 0 or opened.number["math"] > 0 or name in ("svg", "math"))
+            and not UNQUOTED_SLASH.search(rest)
+        ):
             opened.push(node)
     return root
 
@@ -176,6 +186,32 @@ def hidden(node: Node) -> bool:
     return bool(style and HIDING.search(style))
 
 
+def visible(node: Node, inherited: bool) -> bool:
+    """Whether the text of an element shows: what its parent passes on unless its style says more."""
+    style = node.attrs.get("style")
+    for m in VISIBILITY.finditer(style) if style else ():
+        value = m.group(1).lower()
+        if value in ("hidden", "collapse", "visible", "initial"):
+            inherited = value in ("visible", "initial")
+    return inherited
+
+
+def mode_of(node: Node, mode: str) -> str | None:
+    """What kind of content the children of ``node`` are, from the kind that it is itself: "" for
+    a page, "svg" for a drawing, "text" in a drawing's text, "math" for a formula, "apart" for parts
+    of a formula that do not run on. None where nothing of it shows."""
+    tag = node.tag
+    if tag == "svg" or tag == "math":
+        return tag
+    if mode in ("svg", "text"):
+        if tag in UNDRAWN:
+            return None
+        return "" if tag == "foreignobject" else "text" if tag == "text" else mode
+    if mode in ("math", "apart"):
+        return None if tag in UNSET else "apart" if tag in APART else "math"
+    return mode
+
+
 class Lines:
     """Text lines under construction: collapsed white space, pending spacing and prefixes."""
 
@@ -240,7 +276,9 @@ def render(root: Node) -> str:
     cell by the time its row is laid out."""
     out = Lines()
     # A frame is an iterator over children and what to do when it ends.
+    # A frame is followed by whether its text shows and by the kind of its content.
     stack: list[tuple[Iterator, object]] = [(iter(root.children), None)]
+    states: list[tuple[bool, str]] = [(True, "")]
     pre = 0
     lists: list[list] = []
     tables: list[dict] = []
@@ -249,17 +287,29 @@ def render(root: Node) -> str:
         child = next(children, None)
         if child is None:
             stack.pop()
+            states.pop()
             if finish is not None:
                 out, pre = finish(out, pre)
             continue
+        seen, mode = states[-1]
         if isinstance(child, str):
-            out.text(child, pre > 0)
+            if seen and mode != "svg":
+                out.text(child, pre > 0)
             continue
         tag = child.tag
         if hidden(child):
             continue
+        inner = mode_of(child, mode)
+        if inner is None:
+            continue
+        seen, frames = visible(child, seen), len(stack)
+        if mode == "apart" or (inner == "text" and mode == "svg"):
+            out.text(" ", False)
         if tag == "br":
-            out.newline(True)
+            if seen:
+                out.newline(True)
+        elif tag == "hr" and not seen:
+            continue
         elif tag == "hr":
             out.block(True)
             out.put("-" * 3)
@@ -276,7 +326,7 @@ def render(root: Node) -> str:
         elif tag in ("td", "th", "caption") and tables:
             stack.append((iter(child.children), _end_cell(tables[-1], child, out)))
             out = Lines()
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag == "textarea":
             spaced = tag in SPACED and not (tag in LISTS and lists)
             out.block(spaced)
             undo = (out.indent, len(lists))
@@ -293,19 +343,32 @@ def render(root: Node) -> str:
                 out.indent += " " * len(out.marker)
             elif tag in ("blockquote", "dd"):
                 out.indent += "    "
-            if tag == "pre":
+            label = child.attrs.get("label", "") if tag in ("option", "optgroup") else ""
+            if label and seen:
+                out.text(label, False)
+                out.newline()
+            if tag in ("pre", "textarea"):
                 pre += 1
                 if child.children and isinstance(child.children[0], str):
                     child.children[0] = child.children[0].removeprefix("\n")
-            stack.append((iter(child.children), _end_block(tag, spaced, undo, lists)))
-        elif tag == "q":
+            children = [] if label and tag == "option" else child.children
+            stack.append((iter(children), _end_block(tag, spaced, undo, lists)))
+        elif inner == "text" and mode == "svg":
+            stack.append((iter(child.children), _apart))
+        elif tag == "q" and seen:
             out.text('"', False)
             stack.append((iter(child.children), _quote))
         else:
             stack.append((iter(child.children), None))
+        states += [(seen, inner)] * (len(stack) - frames)
     return out.done()
 
 
+def _apart(out: Lines, pre: int) -> tuple[Lines, int]:
+    out.text(" ", False)
+    return out, pre
+
+
 def _quote(out: Lines, pre: int) -> tuple[Lines, int]:
     out.put('"')
     return out, pre
@@ -316,7 +379,7 @@ def _end_block(tag: str, spaced: bool, undo: tuple, lists: list):
         out.block(spaced)
         out.indent, out.marker = undo[0], ""
         del lists[undo[1] :]
-        return out, pre - (tag == "pre")
+        return out, pre - (tag in ("pre", "textarea"))
 
     return finish
 
@@ -389,6 +452,8 @@ def visible_text(html: str) -> str:
 def extract_text(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Per row ``<key>, text, n_chars, n_lines``: all visible text of a page with its layout.
 
+    Of drawings their text elements show, of formulas all but their annotations, and forms give their
+    options and the content of text areas; what ``visibility`` hides may hold visible parts.
     A null page is empty: the empty text, 0 characters, 0 lines. Unfinished tags and comments end
     with the page. Rows are kept one to one, whatever their key; an empty table gives no rows;
     other columns are not read. One pass without a shuffle; nesting depth is not limited.

@@ -297,3 +297,16 @@ def test_only_the_cost_decides_on_credential_values(text, value):
 ])
 def test_words_of_prose_cost_little(text):
     assert secrets.scan(text)[0] == [] and secrets.scan(text)[1] < secrets.MIN_GUESSES
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></math> is</p>", "so x= 1 2 is"),
+    ("a <svg><title>t</title><desc>d</desc><defs/><path d='M0'/><g>no<text x=1>Jan</text><text>Fe<tspan>b</tspan></text></g></svg> z", "a Jan Feb z"),
+    ("<p>pick <select><optgroup label='Big'><option>one<option selected>two</optgroup></select> now", "pick\nBig\none\ntwo\nnow"),
+    ("<textarea>\n two &lt; three\n  lines</textarea>", " two < three\n  lines"),
+    ("<div style='visibility:hidden'>a<hr><p>b <b style='visibility: visible'>c</b></p></div>d", "c\n\nd"),
+    ("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b <q>c</q></ul>", "- b \"c\""),
+    ("<div style='display:none'><p style='visibility:visible'>a</p></div>b", "b"),
+])
+def test_forms_formulas_drawings_and_visibility(html, text):
+    assert visible_text(html) == text
