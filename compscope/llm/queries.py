@@ -7,14 +7,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import Registry, finite, load
 from .html_text import extract_text
 from .language_id import identify_languages
+from .line_dedup import line_dedup
 from .nearest import nearest_neighbours
 from .ngram_join import ngram_groups
 from .packing import pack_documents
+from .phrases import mine_phrases
 from .secret_scan import scan_secrets
 from .sentencepiece_codec import encode_texts
 from .token_counts import token_counts
 from .token_output import training_order
 from .topk_search import exact_topk
+from .whitening import whiten
 
 REGISTRY = Registry()
 QUERIES, ORACLES = REGISTRY.queries, REGISTRY.oracles
@@ -130,3 +133,64 @@ def op10_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(
         load(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20
     )
+
+
+@query(
+    r"""
+  WITH l AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+  k AS (
+    SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM l),
+  s AS (
+    SELECT *, regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM k),
+  g AS (SELECT key FROM s WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+  SELECT doc_id, count(*) AS n_lines, count(g.key) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE g.key IS NULL), '')) AS kept_sha256
+  FROM s LEFT JOIN g ON s.key = g.key GROUP BY doc_id"""
+)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(load(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(load(spark, sf_dir, "embeddings"), components=32)
+
+
+@query(
+    r"""
+  WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+  g AS (
+    SELECT lang, 1 AS k, unnest(w) AS phrase FROM w
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) FROM w
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1),
+      lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2]))) FROM w),
+  f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY ALL),
+  t AS (SELECT *, string_split(phrase, ' ') AS x FROM f WHERE k > 1 AND a >= 10),
+  o AS (
+    SELECT lang, phrase, max(a) AS most FROM (
+      SELECT lang, concat(x[1], ' ', x[2]) AS phrase, a FROM t WHERE k = 3
+      UNION ALL SELECT lang, concat(x[2], ' ', x[3]), a FROM t WHERE k = 3) GROUP BY ALL),
+  c AS (
+    SELECT t.lang, t.phrase, t.a, unnest(range(1, t.k)) AS cut, t.x
+    FROM t LEFT JOIN o ON o.lang = t.lang AND o.phrase = t.phrase AND t.k = 2
+    WHERE most IS NULL OR 100 * most < 50 * t.a),
+  s AS (
+    SELECT c.lang, c.phrase, c.a, c.cut, l.a AS l, r.a AS r, (1000000 * c.a * c.a) // (l.a * r.a) AS score
+    FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.x[:c.cut], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.x[c.cut + 1:], ' ')),
+  b AS (
+    SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+  n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang)
+  SELECT b.lang, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank,
+    phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+  FROM b JOIN n ON n.lang = b.lang QUALIFY rank <= 2000"""
+)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(load(spark, sf_dir, "documents"), min_count=10, top=2_000, contained_pct=50)

@@ -18,5 +18,5 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry_has_all_queries():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert set(QUERIES) <= set(names) and "pipeline" in names
