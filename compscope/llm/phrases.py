@@ -29,8 +29,8 @@ from .common import bounded_batches, give_back
 from .shingles import U64, mix, text_buffers
 
 NO_LANG = "und"
-# Distinct grams that a task gathers before it hands them on.
-WINDOW_GRAMS = 1_000_000
+# Grams that a task gathers before it adds up equal ones and hands them on.
+WINDOW_GRAMS = 400_000
 # Bytes of text per partition of the counting pass, and the most partitions. Partitions are sorted
 # outside memory if need be, so a larger one is slower but not wrong.
 PARTITION_BYTES = 8 << 20
@@ -41,7 +41,7 @@ SAMPLE_ROWS, HEAVY, SALTS = 2_000, 1_000, 64
 # Nodes in a row of a compacted path.
 SEGMENT = 1_024
 # Characters of a longer text that are cut into words at once; rows of a batch of counted grams.
-SECTION = 1 << 22
+SECTION = 1 << 20
 BATCH_ROWS = 50_000
 
 PIECE_END = re.compile(r"[.,;:!?\x0A-\x0D]")
@@ -90,8 +90,8 @@ def _hashes(body: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def longest_grams(texts: pa.Array, langs: pa.Array) -> pa.Table:
-    """``lang, p, w, n, h``: the distinct longest grams of a batch with their counts: ``p`` is the pair
-    (or last word and a blank) and ``w`` the third word (or nothing); ``h`` is a hash of lang and pair."""
+    """``lang, p, w, h, n``: the longest grams of a batch, a row for each word: ``p`` is the pair (or last
+    word and a blank) and ``w`` the third word (or nothing); ``h`` is a hash of lang and pair."""
     words, text, piece, hashes = split_words(texts)
     n = len(words)
     names = langs.to_pylist()
@@ -104,11 +104,10 @@ def longest_grams(texts: pa.Array, langs: pa.Array) -> pa.Table:
     three = pc.if_else(pa.array(third), words.take(pa.array(np.minimum(at + 2, max(n - 1, 0)))), pa.scalar("")) if n else words
     after = np.where(second, np.append(hashes[1:], U64(0))[:n], U64(0))
     h = mix(mix(hashes ^ seed) * U64(0x9E3779B97F4A7C15) + after)
-    table = pa.table({
+    return pa.table({
         "lang": langs.take(pa.array(text)), "p": pc.binary_join_element_wise(words, two, " "), "w": three,
         "h": pa.array(h.view(np.int64)), "n": pa.array(np.ones(n, np.int64)),
     })
-    return table
 
 
 def _combined(tables: list[pa.Table]) -> pa.Table:
@@ -190,7 +189,7 @@ def gram_graph(texts: DataFrame, min_count: int) -> DataFrame:
     """The counted graph as rows ``kind, lang, p, w, n``: ``edge`` (a trigram of ``min_count`` or more),
     ``node`` (a pair and its flow; parts of it for heavy nodes) and ``word`` (parts of the flow of the
     nodes that start with the word ``p``)."""
-    bounded_batches(texts.sparkSession, rows=BATCH_ROWS)
+    bounded_batches(texts.sparkSession, rows=BATCH_ROWS, nbytes=SECTION)
     size = texts.agg(F.count("*").alias("rows"), F.sum(F.octet_length("_text")).alias("bytes")).first()
     least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_parts = min(MAX_PARTITIONS, max(least, -(-(size["bytes"] or 0) // PARTITION_BYTES)))
@@ -203,8 +202,8 @@ def gram_graph(texts: DataFrame, min_count: int) -> DataFrame:
             for texts, langs in sections(batch.column("_text"), batch.column("_lang")):
                 grams = longest_grams(texts, langs)
                 if grams.num_rows:
-                    waiting.append(_combined([grams]))
-                    held += waiting[-1].num_rows
+                    waiting.append(grams)
+                    held += grams.num_rows
                 if held >= WINDOW_GRAMS:
                     yield from _packed(_combined(waiting), hot, n_parts)
                     waiting, held = [], 0
