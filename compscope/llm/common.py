@@ -66,6 +66,20 @@ def slices(n_rows: int, per_slice: int) -> int:
     return max(1, -(-n_rows // per_slice))
 
 
+def deal(rows: DataFrame, content: list[str], uid: str, n_slices: int, per_slice: int, name: str) -> DataFrame:
+    """Add the column ``name``: a slice below ``n_slices`` by a hash of ``content``. Rows that are equal in
+    all of it would share a slice; a group of more than ``per_slice`` of them is dealt over several by
+    ``uid`` (such rows may take each other's places)."""
+    if n_slices == 1:
+        return rows.withColumn(name, F.lit(0).cast("bigint"))
+    own = F.xxhash64(*content)
+    many = rows.groupBy(own.alias("_own")).count().where(F.col("count") > per_slice)
+    many = many.select("_own", F.ceil(F.col("count") / per_slice).alias("_salts"))  # n / per_slice rows at most
+    salted = rows.withColumn("_own", own).join(many, "_own", "left")
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(uid), F.col("_salts"))).otherwise(0)
+    return salted.withColumn(name, F.pmod(F.xxhash64("_own", salt), F.lit(n_slices))).drop("_own", "_salts")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame | None:
     """Connected components of an undirected edge list: ``node, root``, root the smallest node.
 

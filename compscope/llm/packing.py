@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
-from .common import bounded_batches, give_back, slices, text_of
+from .common import bounded_batches, deal, give_back, slices, text_of
 from .token_counts import byte_bpe, vocabulary
 
 # Pieces of one length that a ranking task sorts.
@@ -154,63 +154,69 @@ def tokenised_pieces(
     capacity: int = 1024,
     id_type: str | None = None,
 ) -> DataFrame:
-    """``_key, piece, start, length, ids_crc32`` (and ``ids`` as bytes of ``id_type`` on request).
+    """``_key, piece, start, length, ids_crc32``, or, with an ``id_type``, ``_key, piece, length, ids`` with
+    the ids as bytes of that type.
 
     A document is the ids of its whole text (null: empty) and then ``end_id``.
     """
     bounded_batches(df.sparkSession)
     texts = text_of(df, key, text)
-    fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    fields += [("ids", pa.binary())] if id_type else []
+    width = np.dtype(id_type or "<u4").itemsize
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(vocabulary(tokenizer))
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            of, cut, crcs, parts = [], [], [], []
+            of, cut, parts = [], [], []
             for i, t in enumerate(batch.column("_text").to_pylist()):
                 ids = bpe.encode_bytes(t) + end
-                for k, (start, n) in enumerate(cut_lengths(len(ids) // 4, capacity)):
-                    part = ids[4 * start : 4 * (start + n)]
+                cuts = cut_lengths(len(ids) // 4, capacity)
+                if width != 4:
+                    ids = np.frombuffer(ids, "<u4").astype(id_type).tobytes()
+                for k, (start, n) in enumerate(cuts):
                     of.append(i)
                     cut.append((k, start, n))
-                    crcs.append(zlib.crc32(part))
-                    if id_type:
-                        parts.append(np.frombuffer(part, "<u4").astype(id_type).tobytes())
+                    parts.append(ids[width * start : width * (start + n)])
             numbers = np.array(cut, dtype=np.int64).reshape(-1, 3)
-            columns = [batch.column("_key").take(pa.array(of, pa.int64())), numbers[:, 0].astype(np.int32)]
-            columns += [numbers[:, 1], numbers[:, 2], pa.array(crcs, pa.int64())]
-            columns += [pa.array(parts, pa.binary())] if id_type else []
-            names = ["_key", *[n for n, _ in fields]]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+            columns = {
+                "_key": batch.column("_key").take(pa.array(of, pa.int64())), "piece": pa.array(numbers[:, 0].astype(np.int32)),
+                "start": pa.array(numbers[:, 1]), "length": pa.array(numbers[:, 2]),
+            }
+            if id_type:
+                del columns["start"]
+                columns["ids"] = pa.array(parts, pa.binary())
+            else:
+                columns["ids_crc32"] = pa.array([zlib.crc32(p) for p in parts], pa.int64())
+            yield pa.RecordBatch.from_pydict(columns)
         give_back()
 
     kind = texts.schema["_key"].dataType.simpleString()
-    schema = f"_key {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return texts.mapInArrow(pieces, schema + (", ids binary" if id_type else ""))
+    rest = "length bigint, ids binary" if id_type else "start bigint, length bigint, ids_crc32 bigint"
+    return texts.mapInArrow(pieces, f"_key {kind}, piece int, {rest}")
 
 
-def place(pieces: DataFrame, length: str, order: list[str], capacity: int) -> DataFrame:
+def place(pieces: DataFrame, length: str, order: list[str], capacity: int, uid: str) -> DataFrame:
     """Add ``sequence_id, offset`` to a table of pieces; ``pieces`` is read more than once.
 
     A piece's rank within its length has two levels: rows are dealt by a hash of ``order`` to
     slices of about ``RANK_ROWS`` rows, ranked inside (length, slice), and the sizes of the
     slices before are added. So a length that most pieces have is never in one task. Rows that are
-    equal in all of ``order`` may take each other's places.
+    equal in all of ``order`` may take each other's places; many of them are dealt by ``uid``, a frozen
+    number of each row.
     """
     spark = pieces.sparkSession
     histogram = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # <= capacity rows
     plan = plan_packing(histogram, capacity)
     slots = spark.sparkContext.broadcast(plan.slots())  # bounded by capacity, not by the pieces
     n_slices = slices(sum(histogram.values()), RANK_ROWS)
-    dealt = pieces.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(n_slices)))
+    dealt = deal(pieces, order, uid, n_slices, RANK_ROWS, "_slice")
     before = Window.partitionBy("_l").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     ahead = (
         dealt.groupBy(F.col(length).alias("_l"), F.col("_slice").alias("_s"))
         .count()
         .select("_l", "_s", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_ahead"))
     )
-    local = Window.partitionBy(length, "_slice").orderBy(*order)
+    local = Window.partitionBy(length, "_slice").orderBy(*order, uid)
     ranked = dealt.withColumn("_rank", F.row_number().over(local) - 1)
     ranked = ranked.join(ahead, (F.col(length) == F.col("_l")) & (F.col("_slice") == F.col("_s")))
 
@@ -246,8 +252,9 @@ def pack_documents(
     other columns are not read. Texts are tokenised once; the small table of pieces is written to
     the shared folder, so a lost executor costs a re-read.
     """
-    pieces = materialise(tokenised_pieces(df, key, text, tokenizer, end_id, capacity), "pieces")
-    placed = place(pieces, "length", ["_key", "piece", "start", "ids_crc32"], capacity)
+    pieces = tokenised_pieces(df, key, text, tokenizer, end_id, capacity)
+    pieces = materialise(pieces.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
+    placed = place(pieces, "length", ["_key", "piece", "start", "ids_crc32"], capacity, "_uid")
     return placed.select(
         F.col("_key").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )

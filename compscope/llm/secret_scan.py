@@ -10,16 +10,20 @@ whether it is reported in addition to the pattern matches.
 from __future__ import annotations
 
 import re
+from base64 import b64decode
+from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from hashlib import sha256
+from itertools import accumulate
 from json import load as load_json
 from math import log10
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 from .token_counts import vocabulary
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -37,11 +41,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of 24 or more: a longer match can
 MIN_ASSIGN, MIN_ACCESS = 6, 20
 
 # Where a credential is expected: a name and a sign before the value, or the user part of a URL. The
-# name may be the end of a longer one (MYSQL_PWD, user_password, clientSecret).
+# name may be the end of a longer one (MYSQL_PWD, user_password, clientSecret). The sign is an
+# operator, a tag that ends (or several), or the word "is"; white space, line ends and tags may follow.
+_TAGS = r"(?:<[^<>]{1,200}>\s*)"
 CONTEXT = re.compile(
     r"(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|secret)[_-]?key"
-    r"|auth|authorization|credentials?)[\"']?[ ]{0,2}(?::=|=>|->|[:=])[ ]{0,2}(?:bearer[ ])?[\"']?"
-    r"|(?<![a-z0-9])bearer[ ]|(?<![a-z0-9])[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:)([^\s\"'<>]{6,})",
+    r"|auth|authorization|credentials?)[\"']?"
+    rf"(?:\s*(?::=|=>|->|[:=])\s*{_TAGS}*|\s*{_TAGS}+|>\s*|\s+is\s+)(?:bearer\s+)?[\"']?"
+    r"|(?<![a-z0-9])bearer\s+|(?<![a-z0-9])[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:)([^\s\"'<>]{6,})",
     re.IGNORECASE | re.ASCII,
 )
 HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "://")
@@ -80,21 +87,56 @@ def _neighbours() -> dict[str, str]:
 NEAR = _neighbours()
 
 
-# Words of prose: those of four or more letters that are one token of this vocabulary, the most used
-# ones first.
-PROSE = "byte_bpe_50k.json"
+# Words of prose and parts of compounds: what is one token of these vocabularies and has four letters or
+# more, with or without a blank in front, the most used ones first. The second one is of many languages.
+PROSE = ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken")
 
 
-@cache
-def dictionary() -> tuple[dict[str, float], int]:
-    """Decimal logarithm of each word's rank, and the length of the longest word."""
-    with open(vocabulary(PROSE), encoding="utf-8") as f:
+def word_list() -> list[str]:
+    """The words of the dictionary, the most used ones first: common ones, then those of the
+    vocabularies in turn. It is made once, by the driver, and sent to the tasks."""
+    with open(vocabulary(PROSE[0]), encoding="utf-8") as f:
         ids = load_json(f)["model"]["vocab"]
-    prose = [t[1:].lower() for t in sorted(ids, key=ids.get) if re.fullmatch("Ġ[A-Za-z]{4,}", t)]
-    cost: dict[str, float] = {}
-    for w in [*COMMON, *prose]:
-        cost.setdefault(w, log10(len(cost) + 2))
-    return cost, max(map(len, cost))
+    one = [t.removeprefix("Ġ") for t in sorted(ids, key=ids.get) if t.isascii() or t.startswith("Ġ")]
+    with open(vocabulary(PROSE[1]), "rb") as f:
+        two = [b64decode(line.split()[0]).decode("utf-8", "replace").removeprefix(" ") for line in f]
+    parts = [[t.lower() for t in part if len(t) >= 4 and t.isalpha()] for part in (one, two)]
+    # The first one stands for other letters than ASCII by signs of its own.
+    parts[0] = [t for t in parts[0] if t.isascii()]
+    mixed = [w for k in range(max(map(len, parts))) for part in parts for w in part[k : k + 1]]
+    return list(dict.fromkeys([*COMMON, *mixed]))
+
+
+@dataclass
+class Dictionary:
+    """``cost``: decimal logarithm of each word's rank; ``reach``: the longest word by its first three
+    letters."""
+
+    cost: dict[str, float]
+    reach: dict[str, int]
+
+    @classmethod
+    def of(cls, words: list[str]) -> Dictionary:
+        reach: dict[str, int] = {}
+        for w in words:
+            reach[w[:3]] = max(reach.get(w[:3], 0), len(w))
+        return cls({w: log10(i + 2) for i, w in enumerate(words)}, reach)
+
+
+@cache
+def dictionary() -> Dictionary:
+    """The dictionary of this process, read from the vocabulary files."""
+    return Dictionary.of(word_list())
+
+
+_SENT: list[Dictionary] = []
+
+
+def _sent(words) -> Dictionary:
+    """The dictionary of the broadcast word list, built once in a worker; the list is always the same."""
+    if not _SENT:
+        _SENT.append(Dictionary.of(words.value))
+    return _SENT[0]
 
 
 def _alphabet(value: str) -> float:
@@ -111,69 +153,94 @@ def _alphabet(value: str) -> float:
     return log10(max(size, 2))
 
 
-def guess_cost(value: str) -> float:
+PLACE = {c: (r, k) for r, row in enumerate(ROWS) for k, c in enumerate(row)}
+WALK_COST, TURN_COST = log10(47), log10(5)
+
+
+def _walks(low: str) -> list[tuple[int, int, list[int]]]:
+    """Maximal walks over neighbouring keys of three or more: start, end and, for every step, the
+    number of changes of direction up to it."""
+    out, start, turns, step = [], 0, [], None
+    for i in range(1, len(low) + 1):
+        if i < len(low) and low[i] in NEAR.get(low[i - 1], ""):
+            (r, a), (t, b) = PLACE[low[i - 1]], PLACE[low[i]]
+            new = (t - r, b - a)
+            turns.append(turns[-1] + (new != step) if turns else 0)
+            step = new
+            continue
+        if i - start >= 3:
+            out.append((start, i, turns))
+        start, turns, step = i, [], None
+    return out
+
+
+def guess_cost(value: str, words: Dictionary | None = None) -> float:
     """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` needs.
 
-    Segments: a word of the dictionary (upper-case letters and digits for letters cost extra), a date or
-    year, a repeat of one to four characters (the cost of one, times the count), a walk over
-    neighbouring keys of three or more, and single brute-force characters. Each segment but a
-    brute-force character after another adds ``JOINT``. An empty value costs nothing.
+    Segments: a word of the dictionary (upper-case letters and digits for letters cost extra); a date or
+    year; a repeat of one to four characters, from any place as often as they go on there (the cost of
+    one, times the count); a walk of three keys or more that starts where a maximal walk over
+    neighbouring keys starts, or ends where it ends; and single brute-force characters. Each segment
+    but a brute-force character after another adds ``JOINT``. An empty value costs nothing. Time grows
+    in proportion to the length.
     """
     n = len(value)
-    words, longest = dictionary()
+    words = words or dictionary()
+    cost_of, reach = words.cost, words.reach
     low = value.lower()
     low = low if len(low) == n else value  # a few letters change their number when lowered
     plain = low.translate(LEET)
     per_char = _alphabet(value)
-    # best[i]: cheapest cost of the first i characters, by whether the last segment is brute force.
     inf = float("inf")
+    # best[i]: cheapest cost of the first i characters, by whether the last segment is brute force.
     brute, other = [inf] * (n + 1), [inf] * (n + 1)
     other[0] = 0.0
     dates: dict[int, list[tuple[int, float]]] = {}
     for m in DATE.finditer(low):
         dates.setdefault(m.start(), []).append((m.end(), DATE_COST[m.end() - m.start() > 4]))
-    walk_end = 0
+    # runs[p][i]: how many characters from i on equal the one p places later.
+    runs = []
+    for p in range(1, 5):
+        run, count = [0] * (n + 1), 0
+        for i in range(n - p - 1, -1, -1):
+            count = count + 1 if value[i] == value[i + p] else 0
+            run[i] = count
+        runs.append(run)
+    walks = _walks(low)
+    walk = 0
+    upper = list(accumulate((c.isupper() for c in value), initial=0)) if value != low else None
+    forms = ((low, 0.0), (plain, log10(2))) if plain != low else ((low, 0.0),)
     for i in range(n):
         here = min(brute[i], other[i])
         joint = JOINT if i else 0.0
         brute[i + 1] = min(brute[i], other[i] + joint) + per_char
-        segments = list(dates.get(i, ()))
-        for j in range(i + 3, min(n, i + longest) + 1):
-            for form, extra in ((low[i:j], 0.0), (plain[i:j], log10(2))):
-                if form in words:
-                    upper = sum(c.isupper() for c in value[i:j])
-                    shift = 0.0 if not upper else log10(2) if upper in (1, j - i) else 0.3 * upper
-                    segments.append((j, words[form] + shift + extra))
-        for size in range(1, 5):
-            j = i + size
-            while value[j : j + size] == value[i : i + size] and j + size <= n:
-                j += size
-            if j - i >= 3 and j > i + size:
-                segments.append((j, size * per_char + log10((j - i) // size)))
-        if i + 1 < n and low[i + 1] in NEAR.get(low[i], ""):
-            if walk_end <= i + 1:
-                walk_end = i + 1
-                while walk_end < n and low[walk_end] in NEAR.get(low[walk_end - 1], ""):
-                    walk_end += 1
-            turns = 0.0
-            for j in range(i + 2, walk_end + 1):
-                straight = j - i > 2 and _step(low, j - 1) == _step(low, j - 2)
-                turns += 0.0 if straight else log10(5)
-                if j - i >= 3:
-                    segments.append((j, log10(47) + turns + log10(j - i)))
-        for j, cost in segments:
-            other[j] = min(other[j], here + joint + cost)
+        base = here + joint
+        for j, cost in dates.get(i, ()):
+            other[j] = min(other[j], base + cost)
+        for text, extra in forms:
+            longest = reach.get(text[i : i + 3], 0)
+            for j in range(i + 3, min(n, i + longest) + 1):
+                cost = cost_of.get(text[i:j])
+                if cost is not None:
+                    big = upper[j] - upper[i] if upper else 0
+                    shift = 0.0 if not big else log10(2) if big in (1, j - i) else 0.3 * big
+                    other[j] = min(other[j], base + cost + shift + extra)
+        for p, run in enumerate(runs, start=1):
+            times = 1 + run[i] // p
+            if times > 1 and times * p >= 3:
+                j = i + times * p
+                other[j] = min(other[j], base + p * per_char + log10(times))
+        while walk < len(walks) and walks[walk][1] - 3 < i:
+            walk += 1
+        if walk < len(walks) and walks[walk][0] <= i:
+            start, end, turns = walks[walk]
+            for j in range(i + 3, end + 1) if i == start else (end,):
+                # The first step counts as a turn too.
+                turned = 1 + turns[j - 2 - start] - turns[i - start]
+                other[j] = min(other[j], base + WALK_COST + turned * TURN_COST + log10(j - i))
     return min(brute[n], other[n])
 
 
-def _step(text: str, i: int) -> tuple[int, int]:
-    def at(c: str) -> tuple[int, int]:
-        return next((r, row.index(c)) for r, row in enumerate(ROWS) if c in row)
-
-    (r, a), (s, b) = at(text[i - 1]), at(text[i])
-    return s - r, b - a
-
-
 def base_spans(text: str, low: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the secret part) of the pattern matches."""
     found = []
@@ -190,14 +257,15 @@ def base_spans(text: str, low: str) -> list[tuple[int, int, int, int]]:
     return found
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int, int]], float | None]:
+def scan(text: str, words: Dictionary | None = None) -> tuple[list[tuple[int, int, int, int]], float | None]:
     """All spans as (start, kind, end, start of the secret part), sorted, and the largest guess
     cost among the credential-context values (null without one)."""
     low = text.lower()
     spans = base_spans(text, low)
-    costs = [guess_cost(text[s:end]) for _, kind, end, s in spans if kind == 0]
+    costs = [guess_cost(text[s:end], words) for _, kind, end, s in spans if kind == 0]
     if any(h in low for h in HINTS):
-        base = [(s, e) for s, _, e, _ in spans]
+        base = sorted((s, e) for s, _, e, _ in spans)
+        starts, ends = [s for s, _ in base], list(accumulate((e for _, e in base), max))
         for m in CONTEXT.finditer(text):
             value = m.group(1)
             if "://" in text[m.start() : m.start(1)]:
@@ -206,9 +274,10 @@ def scan(text: str) -> tuple[list[tuple[int, int, int, int]], float | None]:
             if len(value) < 6:
                 continue
             start, end = m.start(1), m.start(1) + len(value)
-            cost = guess_cost(value)
+            cost = guess_cost(value, words)
             costs.append(cost)
-            if cost >= MIN_GUESSES and not any(s <= start and end <= e for s, e in base):
+            before = bisect_right(starts, start)
+            if cost >= MIN_GUESSES and not (before and ends[before - 1] >= end):
                 spans.append((start, 3, end, start))
     return sorted(spans), max(costs, default=None)
 
@@ -227,6 +296,7 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     an empty table gives no rows; other columns are not read. One pass without a shuffle.
     """
     bounded_batches(df.sparkSession)
+    words = df.sparkSession.sparkContext.broadcast(word_list())  # some 50,000 words, whatever the data
     fields = (
         "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, "
         "n_guess bigint, max_guess_log10 double"
@@ -237,7 +307,7 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         for texts in batches:
             rows = []
             for t in texts:
-                spans, cost = scan(t)
+                spans, cost = scan(t, _sent(words))
                 kinds = [s[1] for s in spans]
                 base = listed([s for s in spans if s[1] < 3])
                 rows.append(
@@ -247,25 +317,29 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             names = [f.split()[0] for f in fields.split(", ")]
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({"max_guess_log10": "float64"})
+        give_back()
 
     out = df.select(df[key], scanned(F.coalesce(df[text].cast("string"), F.lit(""))).alias("_s"))
     return out.select(key, "_s.*")
 
 
-def redact(text: Column) -> Column:
+def redact(spark: SparkSession, text: Column) -> Column:
     """The text with every secret part masked: the value of an assignment, the whole of the other
     spans; overlapping parts are masked together. Texts without spans and nulls stay as they are."""
 
+    words = spark.sparkContext.broadcast(word_list())
+
     @F.pandas_udf("string")
     def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([t if t is None else mask(t) for t in texts], dtype=object)
+            yield pd.Series([t if t is None else mask(t, _sent(words)) for t in texts], dtype=object)
+        give_back()
 
     return masked(text)
 
 
-def mask(text: str) -> str:
-    parts = sorted((secret, end) for _, _, end, secret in scan(text)[0])
+def mask(text: str, words: Dictionary | None = None) -> str:
+    parts = sorted((secret, end) for _, _, end, secret in scan(text, words)[0])
     out, at = [], 0
     for start, end in parts:
         if start >= at:

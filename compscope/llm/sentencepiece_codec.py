@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,10 +24,13 @@ import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, text_of
+from .common import bounded_batches, give_back, text_of
 from .token_counts import vocabulary
 
-MEMO = 300_000
+# Stretches whose ids a worker keeps (some 200 bytes each); full, the memo starts anew.
+MEMO = 1_000_000
+# Pairs of pieces whose answer it keeps.
+PAIRS = 300_000
 MEMO_CHARS = 64
 SPACE = "▁"
 # A character without a piece of its own costs this much more than the rarest piece.
@@ -54,28 +58,37 @@ class Codec:
         # All paths meet in front of a space mark behind another character if no piece spans that.
         meets = all(pair[0] == SPACE for pair in inner if pair[1] == SPACE)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if meets else r"(?s:.+)")
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}  # ids as uint32
         self.pairs: dict[tuple[str, str], bool] = {}
         self.stable = {p for p in self.score if unigram or self.merge(p) == [p]}
+        # The longest piece by its last two characters.
+        self.back: dict[str, int] = {}
+        for p in self.stable:
+            self.back[p[-2:]] = max(self.back.get(p[-2:], 1), len(p))
 
     def merge(self, text: str) -> list[str]:
         """What the merge rules leave of a string: the best-scored neighbours are joined first, the
         leftmost ones of equal score."""
         parts, score, none = list(text), self.score.get, -math.inf
-        while len(parts) > 1:
-            joined = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        joined = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while joined:
             best = max(joined)
             if best == none:
                 break
             i = joined.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joined[i]
+            if i:
+                joined[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(joined):
+                joined[i] = score(parts[i] + parts[i + 1], none)
         return parts
 
     def neighbours(self, a: str, b: str) -> bool:
         """Whether the merge rules leave these two pieces of their two strings."""
         known = self.pairs.get((a, b))
         if known is None:
-            if len(self.pairs) >= MEMO:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             known = self.pairs[(a, b)] = self.merge(a + b) == [a, b]
         return known
@@ -83,18 +96,19 @@ class Codec:
     def search(self, text: str) -> Iterator[list[str]]:
         """Pieces of ``text`` in runs, each given out as soon as it is final."""
         # From the last boundary given out on: score, start and piece of the best path to a position.
-        stable, score, reach, unigram = self.stable, self.score, self.longest, self.unigram
+        stable, score, reach, unigram, back = self.stable, self.score, self.longest, self.unigram, self.back
         done = 0
         best: dict[int, tuple[float, int, str]] = {0: (0.0, 0, "")}
         for end in range(1, len(text) + 1):
             chosen = None
-            for start in range(end - reach if end - reach > done else done, end):
-                piece = text[start:end]
-                if piece not in stable and end - start > 1:
-                    continue
+            far = end - back.get(text[end - 2 : end] if end > 1 else text[:1], 1)
+            for start in range(far if far > done else done, end):
                 before = best.get(start)
                 if before is None:
                     continue
+                piece = text[start:end]
+                if piece not in stable and end - start > 1:
+                    continue
                 if unigram:
                     total = before[0] + score.get(piece, self.floor)
                     if chosen is None or total > chosen[0]:
@@ -116,6 +130,35 @@ class Codec:
                     done = boundary
                     yield run
 
+    def _within_window(self, text: str) -> list[str]:
+        """The same search in a BPE model for a text that is no longer than the window: nothing is
+        given out before its end."""
+        stable, back, pairs, neighbours = self.stable, self.back, self.pairs, self.neighbours
+        starts, lasts = [0], [""]  # of the path to each position; -1: no path
+        for end in range(1, len(text) + 1):
+            far = end - back.get(text[end - 2 : end] if end > 1 else text, 1)
+            for start in range(far if far > 0 else 0, end):
+                if starts[start] < 0:
+                    continue
+                piece = text[start:end]
+                if piece in stable or end - start == 1:
+                    if start:
+                        known = pairs.get((lasts[start], piece))
+                        if not (neighbours(lasts[start], piece) if known is None else known):
+                            continue
+                    starts.append(start)
+                    lasts.append(piece)
+                    break
+            else:
+                starts.append(-1)
+                lasts.append("")
+        run, at = [], len(text)
+        while at:
+            run.append(lasts[at])
+            at = starts[at]
+        run.reverse()
+        return run
+
     def _meeting(self, best: dict[int, tuple[float, int, str]], end: int, done: int) -> int:
         """The last boundary that the paths of all positions which can be extended run through."""
         fronts = {p for p in range(end - self.longest + 1, end + 1) if p in best}
@@ -126,27 +169,49 @@ class Codec:
         return max(fronts.pop(), done) if fronts else done
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for part in self.cut.findall(self.normalise(text)):
-            known = self.memo.get(part)
-            ids.extend(self._stretch(part) if known is None else known)
-        return ids
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
-    def _stretch(self, part: str) -> tuple[int, ...]:
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of a text as little-endian uint32."""
+        known, stretch = self.memo.get, self._stretch
+        return b"".join([known(part) or stretch(part) for part in self.cut.findall(self.normalise(text))])
+
+    def _stretch(self, part: str) -> bytes:
         """Ids of a stretch; all paths meet wherever no piece holds two neighbouring characters."""
         inner = self.inner
         cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in inner]
         if cuts:
-            ids: tuple[int, ...] = ()
-            for a, b in zip([0, *cuts], [*cuts, len(part)]):
-                ids += self.memo.get(part[a:b]) or self._stretch(part[a:b])
+            ids = b"".join([
+                self.memo.get(part[a:b]) or self._found(part[a:b]) for a, b in zip([0, *cuts], [*cuts, len(part)])
+            ])
+            self._keep(part, ids)
+            return ids
+        return self._found(part)
+
+    def _found(self, part: str) -> bytes:
+        """Ids of a stretch that is not cut further, by the search."""
+        if len(part) == 1:
+            ids = self._ids(part)
+        elif len(part) <= self.longest and not self.unigram:
+            get = self.id.get
+            ids = []
+            for piece in self._within_window(part):
+                i = get(piece)
+                if i is None:
+                    ids += self._ids(piece)
+                else:
+                    ids.append(i)
         else:
-            ids = tuple(i for run in self.search(part) for piece in run for i in self._ids(piece))
+            ids = [i for run in self.search(part) for piece in run for i in self._ids(piece)]
+        packed = array("I", ids).tobytes()
+        self._keep(part, packed)
+        return packed
+
+    def _keep(self, part: str, ids: bytes) -> None:
         if len(part) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[part] = ids
-        return ids
 
     def _ids(self, piece: str) -> list[int]:
         i = self.id.get(piece)
@@ -196,14 +261,16 @@ def encode_texts(
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         sp = codec(vocabulary(model), unigram)
         for texts in batches:
-            ids = [sp.encode(t) for t in texts]
+            packed = [sp.encode_bytes(t) for t in texts]
+            ids = [np.frombuffer(i, "<u4") for i in packed]
             yield pd.DataFrame(
                 {
-                    "ids": [np.array(i, dtype=np.int32) for i in ids],
-                    "ids_crc32": [zlib.crc32(np.array(i, dtype="<u4").tobytes()) for i in ids],
-                    "round_trip": [sp.decode(i) == t for i, t in zip(ids, texts)],
+                    "ids": [i.view("<i4") for i in ids],
+                    "ids_crc32": [zlib.crc32(i) for i in packed],
+                    "round_trip": [sp.decode(i.tolist()) == t for i, t in zip(ids, texts)],
                 }
             )
+        give_back()
 
     out = text_of(df, key, text).select(F.col("_key").alias(key), encoded("_text").alias("_e"))
     return out.select(key, "_e.ids", F.size("_e.ids").alias("n_ids"), "_e.ids_crc32", "_e.round_trip")
@@ -218,5 +285,6 @@ def decode_ids(df: DataFrame, key: str, ids: str, model: str = "piece_bpe_32k.mo
         sp = codec(vocabulary(model))
         for rows in batches:
             yield pd.Series([None if r is None else sp.decode(list(r)) for r in rows], dtype=object)
+        give_back()
 
     return df.select(df[key], decoded(df[ids]).alias("text"))

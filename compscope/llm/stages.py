@@ -62,7 +62,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     """Mask the secrets of every text; ``n_chars`` follows where a text changed. No row goes."""
     bounded_batches(docs.sparkSession)
     new = fresh(docs, "_masked")
-    masked = docs.withColumn(new, redact(docs["text"]))
+    masked = docs.withColumn(new, redact(docs.sparkSession, docs["text"]))
     changed = ~F.col(new).eqNullSafe(F.col("text"))
     length = F.when(changed, F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return masked.withColumns({"n_chars": length, "text": F.col(new)}).select(docs.columns)

@@ -184,6 +184,14 @@ def byte_bpe(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+def id_type(path: str) -> str:
+    """The narrowest unsigned type, of two or four bytes, that holds all ids of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    most = max([*spec["model"]["vocab"].values(), *[t["id"] for t in spec["added_tokens"]]])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 def vocabulary(name: str) -> str:
     """Place of a public tokenizer file on this machine; every executor has the same package."""
     import public_tokenizers

@@ -16,11 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import shared_folder
-from .common import bounded_batches, slices
+from .common import bounded_batches, deal, give_back, slices
 from .packing import tokenised_pieces
+from .token_counts import id_type, vocabulary
 
 # Bytes in front of the ids of a slot: the document's key, the piece and the number of ids.
 HEADER = np.dtype([("key", "<i8"), ("piece", "<i4"), ("length", "<i4")])
@@ -76,7 +78,7 @@ def write_shards(
     n = frozen.count()
     n_slices = slices(n, RANK_ROWS)
     keys = frozen.select("_uid", "_key", "piece", F.xxhash64("ids").alias("_h"))
-    keys = keys.withColumn("_s", F.pmod(F.xxhash64("_key", "piece", "_h"), F.lit(n_slices)))
+    keys = deal(keys, ["_key", "piece", "_h"], "_uid", n_slices, RANK_ROWS, "_s")
     before = Window.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     ahead = keys.groupBy("_s").count().select(
         "_s", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_ahead")
@@ -101,58 +103,71 @@ def write_shards(
         .sortWithinPartitions("slot")
     )
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, body, count = None, None, 0
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, body, count = None, bytearray(), 0
 
-        def row() -> pd.DataFrame:
-            payload = body[: count * stride].tobytes()
-            return pd.DataFrame(
-                {"shard": [shard], "first_slot": [shard * per_shard], "n_slots": [count], "payload": [payload]}
-            )
+        def row() -> pa.RecordBatch:
+            numbers = [pa.array([v], pa.int64()) for v in (shard, shard * per_shard, count)]
+            return pa.RecordBatch.from_arrays([*numbers, pa.array([bytes(body[: count * stride])], pa.binary())], names)
 
+        names = ["shard", "first_slot", "n_slots", "payload"]
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                if r.shard != shard:
+            head = np.zeros(batch.num_rows, HEADER)
+            for field, column in (("key", "_key"), ("piece", "piece"), ("length", "length")):
+                head[field] = batch.column(column).to_numpy()
+            heads, width = memoryview(head.tobytes()), HEADER.itemsize
+            shards, slots = (batch.column(c).to_numpy().tolist() for c in ("shard", "slot"))
+            for i, ids in enumerate(batch.column("ids")):
+                if shards[i] != shard:
                     if shard is not None:
                         yield row()
-                    shard, body, count = int(r.shard), np.zeros(per_shard * stride, np.uint8), 0
-                head = np.array([(r[2], r.piece, r.length)], dtype=HEADER).tobytes()
-                at = (int(r.slot) - shard * per_shard) * stride
-                body[at : at + len(head) + len(r.ids)] = np.frombuffer(head + r.ids, np.uint8)
+                    shard, body, count = shards[i], bytearray(per_shard * stride), 0
+                at = (slots[i] - shard * per_shard) * stride
+                ids = ids.as_buffer()
+                body[at : at + width] = heads[i * width : (i + 1) * width]
+                body[at + width : at + width + ids.size] = ids
                 count += 1
         if shard is not None:
             yield row()
+        give_back()
 
-    shards = placed.mapInPandas(fill, "shard bigint, first_slot bigint, n_slots bigint, payload binary")
+    shards = placed.mapInArrow(fill, "shard bigint, first_slot bigint, n_slots bigint, payload binary")
     return _write(shards, f"{path}-shards")
 
 
-def read_slots(shards: DataFrame, capacity: int, dtype: str = "<u2", first: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
+def read_slots(
+    shards: DataFrame, capacity: int, dtype: str = "<u2", first: int = 0, per_shard: int = PER_SHARD, digest: bool = False
+) -> DataFrame:
     """``slot, shard, byte_offset, _key, piece, length, ids`` (uint32 bytes) from slot ``first`` on,
-    whole shards before it being skipped by the scan."""
+    whole shards before it being skipped by the scan. With ``digest`` the CRC of these bytes,
+    ``ids_crc32``, stands in place of them."""
     stride = HEADER.itemsize + capacity * np.dtype(dtype).itemsize
     bounded_batches(shards.sparkSession)  # by bytes: a payload has some megabytes
 
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                rows = np.frombuffer(r.payload, np.uint8).reshape(r.n_slots, stride)
-                head = np.ascontiguousarray(rows[:, : HEADER.itemsize]).view(HEADER)[:, 0]
-                ids = np.ascontiguousarray(rows[:, HEADER.itemsize :]).view(dtype)
-                at = np.arange(r.n_slots)
-                keep = at + r.first_slot >= first
-                yield pd.DataFrame(
-                    {
-                        "slot": (at + r.first_slot)[keep], "shard": r.shard, "byte_offset": (at * stride)[keep],
-                        "_key": [None if k == NO_KEY else k for k in head["key"][keep].tolist()],
-                        "piece": head["piece"][keep], "length": head["length"][keep].astype(np.int64),
-                        "ids": [ids[i, : head["length"][i]].astype("<u4").tobytes() for i in at[keep]],
-                    }
-                ).astype({"_key": "Int64"})
-
+            for r in batch.select(["shard", "first_slot", "n_slots", "payload"]).to_pylist():
+                rows = np.frombuffer(r["payload"], np.uint8).reshape(r["n_slots"], stride)
+                keep = np.arange(max(0, first - r["first_slot"]), r["n_slots"])
+                head = np.ascontiguousarray(rows[keep, : HEADER.itemsize]).view(HEADER)[:, 0]
+                wide = np.ascontiguousarray(rows[keep, HEADER.itemsize :]).view(dtype).astype("<u4", copy=False)
+                ids = [row[:n].tobytes() for row, n in zip(wide, head["length"].tolist())]
+                key = np.ascontiguousarray(head["key"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keep + r["first_slot"]), pa.array(np.full(len(keep), r["shard"])), pa.array(keep * stride),
+                        pa.array(key, mask=key == NO_KEY), pa.array(np.ascontiguousarray(head["piece"])),
+                        pa.array(head["length"].astype(np.int64)),
+                        pa.array([zlib.crc32(i) for i in ids], pa.int64()) if digest else pa.array(ids, pa.binary()),
+                    ],
+                    ["slot", "shard", "byte_offset", "_key", "piece", "length", last[0]],
+                )
+        give_back()
+
+    last = ("ids_crc32", "bigint") if digest else ("ids", "binary")
     wanted = shards.where(F.col("shard") >= first // per_shard)
-    return wanted.mapInPandas(
-        slots, "slot bigint, shard bigint, byte_offset bigint, _key bigint, piece int, length bigint, ids binary"
+    return wanted.mapInArrow(
+        slots, f"slot bigint, shard bigint, byte_offset bigint, _key bigint, piece int, length bigint, {last[0]} {last[1]}"
     )
 
 
@@ -169,17 +184,16 @@ def training_order(
 
     A document is its ids and ``end_id``, cut into sequences of at most ``capacity`` ids of which
     only the first may be shorter. A null or empty text is the end id alone; repeated rows and null
-    keys are kept; an empty table writes no shard; other columns are not read. Keys are integers.
+    keys are kept; an empty table writes no shard; other columns are not read. Keys are integers. Ids
+    take two bytes, or four if the vocabulary has more than 65,536.
     """
     path = path or fresh_path(df.sparkSession, "tokens")
-
-    @F.pandas_udf("bigint")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(b) for b in ids], dtype="int64")
-
-    pieces = tokenised_pieces(df, key, text, tokenizer, end_id, capacity, id_type="<u2")
-    sequences = pieces.select(F.col("_key").cast("bigint").alias("_key"), "piece", "length", "ids")
-    shards = write_shards(sequences, path, capacity, seed)
-    return read_slots(shards, capacity).select(
-        "slot", "shard", "byte_offset", F.col("_key").alias(key), "piece", "length", crc("ids").alias("ids_crc32")
+    dtype = id_type(vocabulary(tokenizer))
+    if not 0 <= end_id < 1 << 8 * np.dtype(dtype).itemsize:
+        raise ValueError(f"the end id {end_id} does not fit the ids of {tokenizer}")
+    pieces = tokenised_pieces(df, key, text, tokenizer, end_id, capacity, id_type=dtype)
+    sequences = pieces.withColumn("_key", F.col("_key").cast("bigint"))
+    shards = write_shards(sequences, path, capacity, seed, dtype)
+    return read_slots(shards, capacity, dtype, digest=True).withColumnRenamed("_key", key).select(
+        "slot", "shard", "byte_offset", key, "piece", "length", "ids_crc32"
     )
