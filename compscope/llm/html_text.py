@@ -17,7 +17,7 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 
 # Element kinds of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,6 +68,11 @@ VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
 UNQUOTED_SLASH = re.compile(r"=[^\s\"'=]*/\Z")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE) for t in RAW}
 SPACES = re.compile(r"[ \t\n\r\f]+")
+# Rules of the page's own style elements with plain selectors: a tag, a class, an id, or a tag with one.
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+SELECTOR = re.compile(r"[a-z][a-z0-9]*|(?:[a-z][a-z0-9]*)?[.#][\w-]+", re.I)
+DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+BUTTONS = {"submit", "button", "reset"}
 
 
 class Node:
@@ -176,14 +181,53 @@ def build_tree(html: str) -> Node:
     return root
 
 
-def hidden(node: Node) -> bool:
+def page_rules(root: Node) -> dict[str, bool]:
+    """Whether the page's own style rules hide what a plain selector names; the last rule counts. Rules
+    inside others (of media queries) and other selectors are not applied."""
+    rules: dict[str, bool] = {}
+    waiting: list[Node] = [root]
+    while waiting:
+        node = waiting.pop()
+        if node.tag == "style":
+            css = COMMENT.sub("", "".join(c for c in node.children if isinstance(c, str)))
+            parts, depth, names = re.split(r"([{}])", css), 0, ""
+            for k, part in enumerate(parts):
+                if part in ("{", "}"):
+                    depth = max(0, depth + (1 if part == "{" else -1))
+                elif depth == 0:
+                    names = part
+                elif depth == 1 and parts[k - 1] == "{" and parts[k + 1 : k + 2] != ["{"]:
+                    found = DISPLAY.search(part)
+                    for name in names.split(",") if found else ():
+                        if SELECTOR.fullmatch(name.strip()):
+                            tag = re.match(r"[A-Za-z0-9]*", name.strip()).group()
+                            rules[tag.lower() + name.strip()[len(tag) :]] = found.group(1).lower() == "none"
+        else:
+            waiting += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return rules
+
+
+def ruled_out(node: Node, rules: dict[str, bool]) -> bool:
+    """Whether the most special of the page's rules for an element hides it."""
+    marks = [f".{c}" for c in node.attrs.get("class", "").split()]
+    if "id" in node.attrs:
+        marks.append(f"#{node.attrs['id']}")
+    out = rules.get(node.tag, False)
+    for mark in marks:
+        out = rules.get(node.tag + mark, rules.get(mark, out))
+    return out
+
+
+def hidden(node: Node, rules: dict[str, bool] | None = None) -> bool:
     a = node.attrs
     if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
         return True
     if node.tag == "input" and a.get("type", "").lower() == "hidden":
         return True
     style = a.get("style")
-    return bool(style and HIDING.search(style))
+    if style and HIDING.search(style):
+        return True
+    return bool(rules) and ruled_out(node, rules) and not (style and DISPLAY.search(style))
 
 
 def visible(node: Node, inherited: bool) -> bool:
@@ -266,15 +310,60 @@ class Lines:
         if spaced and not self.marker:
             self.blank = 1
 
-    def done(self) -> str:
+    def put_block(self, block: list) -> None:
+        """Lines of an inner table as they are, behind this place's indentation."""
         self.newline()
-        return "\n".join(self.lines).strip("\n")
+        if self.lines:
+            self.lines += [""] * self.blank
+        self.blank = 0
+        head = self.indent[: len(self.indent) - len(self.marker)] + self.marker
+        self.marker = ""
+        self.lines.append(Block(head, self.indent, block))
+
+    def rows(self) -> list:
+        """The lines without empty ones at the ends; blocks of inner tables are not opened."""
+        self.newline()
+        first, last = 0, len(self.lines)
+        while first < last and self.lines[first] == "":
+            first += 1
+        while last > first and self.lines[last - 1] == "":
+            last -= 1
+        return self.lines[first:last]
+
+
+class Block:
+    """Lines that stand together: the prefix of the first one, that of the others, and the lines, of
+    which some may be blocks again. So an inner table is indented once, however deep it lies."""
+
+    __slots__ = ("first", "rest", "lines")
+
+    def __init__(self, first: str, rest: str, lines: list) -> None:
+        self.first, self.rest, self.lines = first, rest, lines
+
+
+def flat(lines: list) -> list[str]:
+    """All lines with the prefixes of the blocks around them."""
+    out: list[str] = []
+    stack = [[iter(lines), "", ""]]  # what is left, the prefix of the next line, and of those after it
+    while stack:
+        top = stack[-1]
+        line = next(top[0], None)
+        if line is None:
+            stack.pop()
+        elif isinstance(line, Block):
+            stack.append([iter(line.lines), top[1] + line.first, top[2] + line.rest])
+            top[1] = top[2]
+        else:
+            out.append((top[1] + line).rstrip() if line else "")
+            top[1] = top[2]
+    return out
 
 
 def render(root: Node) -> str:
     """All visible text of a tree. Tables are rendered bottom up: an inner table is text in its
     cell by the time its row is laid out."""
     out = Lines()
+    rules = page_rules(root)
     # A frame is an iterator over children and what to do when it ends.
     # A frame is followed by whether its text shows and by the kind of its content.
     stack: list[tuple[Iterator, object]] = [(iter(root.children), None)]
@@ -297,7 +386,7 @@ def render(root: Node) -> str:
                 out.text(child, pre > 0)
             continue
         tag = child.tag
-        if hidden(child):
+        if hidden(child, rules):
             continue
         inner = mode_of(child, mode)
         if inner is None:
@@ -316,8 +405,12 @@ def render(root: Node) -> str:
             out.block(True)
         elif tag == "wbr":
             continue
+        elif tag == "input":
+            label = child.attrs.get("value", "")
+            if seen and label and child.attrs.get("type", "").lower() in BUTTONS:
+                out.text(f" {label} ", False)
         elif tag == "table":
-            tables.append({"rows": [], "caption": "", "outer": out})
+            tables.append({"rows": [], "caption": [], "outer": out})
             stack.append((iter(child.children), _end_table(tables)))
             out = Lines()  # what stands between cells comes before the table
         elif tag == "tr" and tables:
@@ -352,6 +445,8 @@ def render(root: Node) -> str:
                 if child.children and isinstance(child.children[0], str):
                     child.children[0] = child.children[0].removeprefix("\n")
             children = [] if label and tag == "option" else child.children
+            if tag == "details" and "open" not in child.attrs:  # closed: the summary alone
+                children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             stack.append((iter(children), _end_block(tag, spaced, undo, lists)))
         elif inner == "text" and mode == "svg":
             stack.append((iter(child.children), _apart))
@@ -361,7 +456,7 @@ def render(root: Node) -> str:
         else:
             stack.append((iter(child.children), None))
         states += [(seen, inner)] * (len(stack) - frames)
-    return out.done()
+    return "\n".join(flat(out.rows()))
 
 
 def _apart(out: Lines, pre: int) -> tuple[Lines, int]:
@@ -384,20 +479,20 @@ def _end_block(tag: str, spaced: bool, undo: tuple, lists: list):
     return finish
 
 
-def _span(node: Node) -> int:
-    n = node.attrs.get("colspan", "1")
-    return min(1000, max(1, int(n))) if re.fullmatch(r"\d{1,6}", n) else 1
+def _span(node: Node, name: str, most: int) -> int:
+    n = node.attrs.get(name, "1")
+    return min(most, max(1, int(n))) if re.fullmatch(r"\d{1,6}", n) else 1
 
 
 def _end_cell(table: dict, node: Node, outer: Lines):
     def finish(inner: Lines, pre: int) -> tuple[Lines, int]:
-        text = inner.done()
+        lines = inner.rows()
         if node.tag == "caption":
-            table["caption"] = text
+            table["caption"] = lines
         else:
             if not table["rows"]:
                 table["rows"].append([])
-            table["rows"][-1].append((text, _span(node)))
+            table["rows"][-1].append(Cell(lines, _span(node, "colspan", 1_000), _span(node, "rowspan", 65_534)))
         return outer, pre
 
     return finish
@@ -407,42 +502,85 @@ def _end_table(tables: list[dict]):
     def finish(between: Lines, pre: int) -> tuple[Lines, int]:
         table = tables.pop()
         out: Lines = table["outer"]
-        for part in (between.done(), table["caption"], align(table["rows"])):
+        for part, spaced in ((between.rows(), True), (table["caption"], False), (lay_out(table["rows"]), True)):
             if part:
-                out.block(part is not table["caption"])
-                for k, line in enumerate(part.split("\n")):
-                    if k:
-                        out.newline(True)
-                    if line:
-                        out.put(line)
+                out.block(spaced)
+                out.put_block(part)
         out.block(True)
         return out, pre
 
     return finish
 
 
-def align(rows: list[list[tuple[str, int]]]) -> str:
-    """Rows of (text, columns spanned) as lines: columns as wide as their widest cell that spans
-    one column, two blanks apart; a cell of several lines makes its row several lines high."""
-    rows = [r for r in rows if any(text for text, _ in r)]
-    width: dict[int, int] = {}
-    for row in rows:
+class Cell:
+    """A table cell: its lines and how many columns and rows it takes."""
+
+    __slots__ = ("lines", "wide", "high", "row", "col")
+
+    def __init__(self, lines: list, wide: int = 1, high: int = 1) -> None:
+        self.lines, self.wide, self.high = lines, wide, high
+        self.row = self.col = 0
+
+
+def grid(rows: list[list[Cell]]) -> int:
+    """Give every cell its row and first column: the next column that no cell from above takes.
+    Returns the number of columns."""
+    taken: dict[int, int] = {}  # the first row in which a column is free again
+    columns = 0
+    for r, row in enumerate(rows):
         col = 0
-        for text, span in row:
-            if span == 1:
-                width[col] = max(width.get(col, 0), max(map(len, text.split("\n"))))
-            col += span
+        for cell in row:
+            cell.high = min(cell.high, len(rows) - r)
+            while taken.get(col, 0) > r:
+                col += 1
+            cell.row, cell.col = r, col
+            for c in range(col, col + cell.wide):
+                taken[c] = max(taken.get(c, 0), r + cell.high)
+            col += cell.wide
+            columns = max(columns, col)
+    return columns
+
+
+def align(rows: list[list[tuple[str, int]]]) -> str:
+    """Rows of (text, columns spanned) as text, see ``lay_out``."""
+    return "\n".join(flat(lay_out([[Cell(text.split("\n") if text else [], span) for text, span in row] for row in rows])))
+
+
+def lay_out(rows: list[list[Cell]]) -> list:
+    """The lines of a table. Columns are as wide as their widest cell, two blanks apart; what a cell over
+    several columns lacks is spread over them evenly. A row is as high as its highest cell; what a
+    cell over several rows lacks goes to its last row. Rows without text are left out."""
+    columns = grid(rows)
+    cells = [c for row in rows for c in row if c.lines]
+    if columns <= 1 and all(c.high == 1 for c in cells):
+        return [line for c in cells for line in c.lines]  # nothing to align: blocks stay closed
+    for c in cells:
+        c.lines = flat(c.lines)
+    width, height = [0] * columns, [0] * len(rows)
+    for c in sorted(cells, key=lambda c: c.wide):
+        lack = max(map(len, c.lines)) - sum(width[c.col : c.col + c.wide]) - 2 * (c.wide - 1)
+        for k in range(c.wide if lack > 0 else 0):
+            width[c.col + k] += lack // c.wide + (k < lack % c.wide)
+    for c in sorted(cells, key=lambda c: c.high):
+        lack = len(c.lines) - sum(height[c.row : c.row + c.high])
+        height[c.row + c.high - 1] += max(0, lack)
+    place = [0]
+    for w in width:
+        place.append(place[-1] + w + 2)
+    top = [0]
+    for h in height:
+        top.append(top[-1] + h)
+    parts: list[list[tuple[int, str]]] = [[] for _ in range(top[-1])]
+    for c in cells:
+        for k, line in enumerate(c.lines):
+            parts[top[c.row] + k].append((place[c.col], line))
     lines = []
-    for row in rows:
-        cells = [text.split("\n") for text, _ in row]
-        for k in range(max(map(len, cells))):
-            line, col = "", 0
-            for cell, (_, span) in zip(cells, row):
-                wide = sum(width.get(c, 0) for c in range(col, col + span)) + 2 * (span - 1)
-                line += (cell[k] if k < len(cell) else "").ljust(wide) + "  "
-                col += span
-            lines.append(line.rstrip())
-    return "\n".join(lines)
+    for found in parts:
+        line = ""
+        for at, text in sorted(found, key=lambda p: p[0]):
+            line = line.ljust(at) + text
+        lines.append(line.rstrip())
+    return lines
 
 
 def visible_text(html: str) -> str:
@@ -453,7 +591,9 @@ def extract_text(df: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     """Per row ``<key>, text, n_chars, n_lines``: all visible text of a page with its layout.
 
     Of drawings their text elements show, of formulas all but their annotations, and forms give their
-    options and the content of text areas; what ``visibility`` hides may hold visible parts.
+    options, the labels of buttons and the content of text areas; of closed details the summary shows.
+    What ``visibility`` hides may hold visible parts. Of the page's own styles the rules with plain
+    selectors (tag, class, id) that set ``display`` are applied.
     A null page is empty: the empty text, 0 characters, 0 lines. Unfinished tags and comments end
     with the page. Rows are kept one to one, whatever their key; an empty table gives no rows;
     other columns are not read. One pass without a shuffle; nesting depth is not limited.
@@ -464,6 +604,7 @@ def extract_text(df: DataFrame, key: str = "page_id", html: str = "html") -> Dat
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
             yield pd.Series([visible_text(p) for p in pages], dtype=object)
+        give_back()
 
     out = df.select(df[key], text_of(F.coalesce(df[html].cast("string"), F.lit(""))).alias("text"))
     lines = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))

@@ -34,6 +34,8 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 DIM = 4_096
 # Most labelled rows per language that the machines learn from.
 SAMPLE_ROWS = 400
+# Most languages that are learned: their machines are pairs, and the driver holds their weights.
+MAX_LANGUAGES = 200
 # Characters whose features are counted at once.
 CHARS = 1 << 18
 # Texts whose features are counted, and predicted, at once.
@@ -162,9 +164,11 @@ def train(
 ) -> LanguageModel:
     """Learn from at most ``sample_rows`` usable rows per language with a non-null text.
 
-    Rows are taken by a hash of the key: first the share of each language that is expected to hold
-    a little more than the bound, then the first ones by hash. Families have as many rows as their
-    languages together. The texts of the sample are dealt to one task per pair.
+    Rows are taken by a hash of key and text: the share of each language that is expected to hold a
+    little more than the bound, and in any case the row with the smallest hash, so that no language
+    is lost; of these the first ones by hash. Families have as many rows as their languages together.
+    The texts of the sample are dealt to one task per pair. More than ``MAX_LANGUAGES`` languages are
+    an error.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -172,14 +176,19 @@ def train(
         df[key].alias("_key"), df[text].cast("string").alias("_text"), df[lang].cast("string").alias("_lang"),
         usable.alias("_use"),
     ).where("_use AND _text IS NOT NULL AND _lang IS NOT NULL AND _key IS NOT NULL")
-    counts = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}  # by language
+    rows = rows.withColumn("_h", F.xxhash64("_key", "_text"))
+    found = rows.groupBy("_lang").agg(F.count("*").alias("n"), F.min("_h").alias("h")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"the column {lang!r} has more than {MAX_LANGUAGES} languages")
+    counts = {r["_lang"]: r["n"] for r in found}
     if not counts:
         return LanguageModel({}, {})
     share = F.create_map(*[F.lit(v) for n, c in counts.items() for v in (n, min(1.0, (1.5 * sample_rows + 50) / c))])
-    part = F.pmod(F.xxhash64("_key"), F.lit(1_000_000)) / 1e6
-    first = Window.partitionBy("_lang").orderBy(F.xxhash64("_key"), "_key", "_text")
+    least = F.create_map(*[F.lit(v) for r in found for v in (r["_lang"], r["h"])])
+    name, part = F.col("_lang"), F.pmod(F.col("_h"), F.lit(1_000_000)) / 1e6
+    first = Window.partitionBy("_lang").orderBy("_h", "_key", "_text")
     sample = (
-        rows.where(part < share[F.col("_lang")])
+        rows.where((part < share[name]) | (F.col("_h") == least[name]))
         .withColumn("_n", F.row_number().over(first))
         .where(F.col("_n") <= sample_rows)
         .select("_lang", "_text")
@@ -203,6 +212,9 @@ def train(
     schema = "level string, a string, b string, weights binary, bias double"
     fitted = sample.join(F.broadcast(wanted), "_lang").groupBy("level", "a", "b").applyInPandas(fit, schema)
     machines = {(r.level, r.a, r.b): (np.frombuffer(r.weights, "<f8"), r.bias) for r in fitted.collect()}
+    missing = {d[:3] for d in duels} - set(machines)
+    if missing:
+        raise RuntimeError(f"no rows to learn from for {sorted(missing)}")
     return LanguageModel(families, machines)
 
 

@@ -49,6 +49,8 @@ class Codec:
         self.of_byte = {b: i for i, b in self.bytes.items()}
         self.control = {i for i in size if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.unknown = model.unk_id()
+        self.special = np.zeros(len(size), bool)  # ids whose piece is not its text
+        self.special[[*self.bytes, *self.control]] = True
         plain = [i for i in size if i not in self.bytes and i not in self.control]
         self.score = {self.pieces[i]: model.get_score(i) for i in plain}
         self.id = {self.pieces[i]: i for i in plain}
@@ -224,6 +226,8 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         """Text of ids: byte pieces are joined to characters (invalid ones become U+FFFD), control
         ids are left out, and the space mark that encoding puts in front is taken off."""
+        if len(ids) and not self.special[ids].any():
+            return "".join(map(self.pieces.__getitem__, ids)).removeprefix(SPACE).replace(SPACE, " ")
         out, raw = [], bytearray()
         for i in ids:
             b = self.bytes.get(i)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialise
 from .common import bounded_batches, fresh
@@ -14,9 +14,19 @@ from .secret_scan import redact
 MIN_SCORE = 0.26
 
 
+# Bytes of a row group of the tables of texts that the stages write: several tasks of an executor hold
+# one each while they write.
+ROW_GROUP = 32 << 20
+
+
+def small_row_groups(spark: SparkSession) -> None:
+    spark.conf.set("parquet.block.size", str(ROW_GROUP))
+
+
 def keep_known_language(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Drop documents without letters (or text) and those between languages; a null ``lang`` is
     filled with the prediction. Repeated rows and null keys are judged like any others."""
+    small_row_groups(docs.sparkSession)
     model = train(docs, "doc_id", "text", "lang", ~held_out(docs["doc_id"]))
     found = fresh(docs, "_language")
     judged = docs.withColumn(found, predictions(model, docs["text"].cast("string")))
@@ -31,6 +41,7 @@ def keep_one_of_each_group(docs: DataFrame, k: int = 5, num: int = 80, den: int
     It is decided per id and text, so a repeated id may keep one text and lose another. Of rows
     with the same id and text one stays. Documents with an empty text or a null id are in no group
     and stay."""
+    small_row_groups(docs.sparkSession)
     groups = materialise(ngram_groups(docs, "doc_id", "text", k, num, den, by_text=True), "groups")
     key, digest = fresh(docs, "_id"), fresh(docs, "_text_id")
     first = (F.col("component_id") == F.col("doc_id")) & (F.col("first_text_id") == F.col("text_id"))
@@ -60,6 +71,7 @@ def _sized(ids: DataFrame) -> DataFrame:
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """Mask the secrets of every text; ``n_chars`` follows where a text changed. No row goes."""
+    small_row_groups(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     new = fresh(docs, "_masked")
     masked = docs.withColumn(new, redact(docs.sparkSession, docs["text"]))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import random
 import re
+import time
 from hashlib import sha256
+from math import log10
 
 import numpy as np
 import pytest
@@ -11,8 +15,8 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from compscope.llm import secret_scan as secrets  # noqa: E402
-from compscope.llm.html_text import align, extract_text, visible_text  # noqa: E402
+from compscope.llm import language_id, secret_scan as secrets, sentencepiece_codec, token_counts as counts_module  # noqa: E402
+from compscope.llm.html_text import Cell, align, extract_text, lay_out, visible_text  # noqa: E402
 from compscope.llm.language_id import gram_counts, held_out, identify_languages  # noqa: E402
 from compscope.llm.sentencepiece_codec import Codec, codec, decode_ids, encode_texts  # noqa: E402
 from compscope.llm.token_counts import ByteBpe, byte_bpe, token_counts  # noqa: E402
@@ -310,3 +314,147 @@ def test_words_of_prose_cost_little(text):
 ])
 def test_forms_formulas_drawings_and_visibility(html, text):
     assert visible_text(html) == text
+
+
+def brute_cost(value):
+    """The cheapest of all segmentations into the documented segments, tried one by one."""
+    words, per_char, low = secrets.dictionary(), secrets._alphabet(value), value.lower()
+    walks = secrets._walks(low)
+
+    def costs(i, j):
+        part, lowered = value[i:j], low[i:j]
+        for form, extra in ((lowered, 0.0), (lowered.translate(secrets.LEET), log10(2))):
+            if form in words.cost and len(form) >= 3:
+                big = sum(c.isupper() for c in part)
+                yield words.cost[form] + extra + (0 if not big else log10(2) if big in (1, j - i) else 0.3 * big)
+        for p in range(1, 5):
+            times = (j - i) // p
+            goes_on = value[j : j + p] == part[:p]
+            if (j - i) % p == 0 and times > 1 and j - i >= 3 and part == part[:p] * times and not goes_on:
+                yield p * per_char + log10(times)
+        if (found := secrets.DATE.fullmatch(lowered)) and any(m.span() == (i, j) for m in secrets.DATE.finditer(low)):
+            yield secrets.DATE_COST[found.end() > 4]
+        for a, b, turns in walks:
+            if a <= i and j <= b and j - i >= 3 and (i == a or j == b):
+                steps = [(secrets.PLACE[y][0] - secrets.PLACE[x][0], secrets.PLACE[y][1] - secrets.PLACE[x][1]) for x, y in zip(lowered, lowered[1:])]
+                turned = 1 + sum(x != y for x, y in zip(steps, steps[1:]))
+                yield secrets.WALK_COST + turned * secrets.TURN_COST + log10(j - i)
+
+    n = len(value)
+    best = {(0, False): 0.0}  # by position and whether the last segment is brute force
+    for i in range(n):
+        for was in (False, True):
+            if (i, was) in best:
+                here, joint = best[i, was], secrets.JOINT if i else 0.0
+                steps = [((i + 1, True), per_char + (0.0 if was else joint))]
+                steps += [((j, False), c + joint) for j in range(i + 2, n + 1) for c in costs(i, j)]
+                for to, c in steps:
+                    best[to] = min(best.get(to, float("inf")), here + c)
+    return min(best.get((n, w), float("inf")) for w in (False, True))
+
+
+def test_guess_cost_equals_enumeration():
+    rng = random.Random(8)
+    parts = ["password", "P4ssw0rd", "qwer", "asdfgh", "zaq1", "2021", "01.02.2020", "20200101", "aaa", "abab", "x7", "Q", "sunshine", "ß", "xyzxyz", "-"]
+    for _ in range(150):
+        value = "".join(rng.choices(parts, k=rng.randint(1, 4)))[:24]
+        assert secrets.guess_cost(value) == pytest.approx(brute_cost(value)), value
+
+
+@pytest.mark.parametrize("unit", ["a", "qw", "passw0rd", "20200101", "Zk9vR2mQ8xLtP", "asdfgfds"])
+def test_guess_cost_of_a_long_value_is_linear(unit):
+    start = time.perf_counter()
+    secrets.guess_cost(unit * (300_000 // len(unit)))
+    assert time.perf_counter() - start < 10
+
+
+@pytest.mark.parametrize("text", [
+    "<password>Zk9vR2mQ8xLt</password>", "password:\nZk9vR2mQ8xLt", "access_token\t=\tZk9vR2mQ8xLt", "the password is Zk9vR2mQ8xLt",
+    "<td>Secret</td>\n<td>Zk9vR2mQ8xLt</td>", "<b>Token:</b> Zk9vR2mQ8xLt", "token =     \"Zk9vR2mQ8xLt\"",
+])
+def test_secret_contexts(text):
+    assert "Zk9vR2mQ8xLt" not in secrets.mask(text)
+
+
+def test_no_language_is_lost(spark):
+    one, other = "das haus und der garten sind nicht gross", "le chat est dans la maison avec des amis"
+    rows = [(8, one, "zz")] * 900 + [(11, other, "yy")] * 900  # ids that are not held out
+    rows += [(i, f"the cat sat on the mat with a hat {i}", "en") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {(r.doc_id, r.lang_pred) for r in identify_languages(df, sample_rows=40).where("doc_id IN (8, 11)").collect()}
+    assert {p for k, p in got if k == 8} <= {"zz", "en"} and identify_languages(df, sample_rows=40).where("lang_pred = 'zz'").count() >= 900
+    many = spark.createDataFrame([(4 * i, "text", f"l{i}") for i in range(300)], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        identify_languages(many).count()
+
+
+def test_svm_is_the_best_separator():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 5))
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=60) > 0, 1.0, -1.0)
+    penalty = 0.1
+    w, b = language_id.train_svm(x, y, penalty, steps=4_000)
+    v = np.append(w, b)
+    weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+
+    def loss(v):
+        return penalty / 2 * v @ v + (weight * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) ** 2).sum()
+
+    # The loss is convex: no step in any direction lowers it.
+    least = loss(v)
+    assert all(loss(v + step * d) > least - 1e-9 for d in np.vstack([np.eye(6), rng.normal(size=(50, 6))]) for step in (1e-3, -1e-3))
+
+
+def test_long_text_without_blanks_is_linear():
+    sp = sentencepiece_codec.codec(public_tokenizers.path("piece_bpe_32k.model"))
+    start = time.perf_counter()
+    assert len(sp.encode("".join(chr(0x4E00 + i % 3_000) for i in range(300_000)))) >= 300_000
+    assert time.perf_counter() - start < 10
+
+
+def test_id_width_follows_the_vocabulary(tmp_path):
+    for n, want in ((100, "<u2"), (65_536, "<u2"), (65_537, "<u4")):
+        file = tmp_path / f"{n}.json"
+        file.write_text(json.dumps({"model": {"vocab": {f"t{i}": i for i in range(n)}}, "added_tokens": []}))
+        assert counts_module.id_type(str(file)) == want
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<table><tr><td rowspan=2>Alpha<td>B<tr><td>C</table>", "Alpha  B\n       C"),
+    ("<table><tr><td colspan=2>A very wide spanning cell<td>X<tr><td>a<td>b<td>Y</table>",
+     "A very wide spanning cell  X\na             b            Y"),
+    ("<table><tr><td>a<td rowspan=2>one<br>two<br>three<tr><td>b<tr><td>c<td>d</table>", "a  one\nb  two\n   three\nc  d"),
+    ("<form>Go <input type=submit value=Send><input type=text value=typed><input type=reset value=Clear></form>", "Go Send Clear"),
+    ("<details><summary>More</summary><p>inner</details><details open><summary>S</summary>seen</details>", "More\nS\nseen"),
+    ("<style>.x, p#no {color:red; display:none} @media print {.y{display:none}} b{display:none} b{display:inline}</style>"
+     "<p class='a x'>gone<p id=no>gone<p class=y>here<p><b>bold</b>", "here\n\nbold"),
+    ("<table><tr><td>k<td><table><tr><td>a<td>b<tr><td>cc<td>d</table></table>", "k  a   b\n   cc  d"),
+    ("<ul><li><table><tr><td>a<td>b<tr><td>c<td>d</table></ul>", "- a  b\n  c  d"),
+])
+def test_html_layout(html, want):
+    assert visible_text(html) == want
+
+
+def test_table_cells_never_overlap_and_stand_in_their_columns():
+    rng = random.Random(9)
+    for _ in range(200):
+        rows = [[Cell([f"{r}.{i}x" * rng.randint(1, 3)] * rng.randint(1, 3), rng.randint(1, 3), rng.randint(1, 3))
+                 for i in range(rng.randint(0, 4))] for r in range(rng.randint(1, 5))]
+        cells = [c for row in rows for c in row]
+        texts = [list(c.lines) for c in cells]
+        out = lay_out(rows)
+        at = {}
+        for c, lines in zip(cells, texts):
+            spots = {(r, k) for r in range(c.row, c.row + c.high) for k in range(c.col, c.col + c.wide)}
+            assert c.row + c.high <= len(rows) and (c.row, c.col) in spots
+            at[c] = lines
+        for c, lines in at.items():  # every line of a cell is there
+            assert all(any(line in row for row in out) for line in lines)
+
+
+def test_nested_tables_are_linear():
+    start = time.perf_counter()
+    assert visible_text("<table><tr><td>" * 20_000 + "deep" + "</table>" * 20_000) == "deep"
+    rows = visible_text("<table><tr><td>x<tr><td>" * 5_000 + "deep").split("\n")
+    assert [r for r in rows if r] == ["x"] * 5_000 + ["deep"]
+    assert time.perf_counter() - start < 20
