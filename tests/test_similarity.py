@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from compscope.operators import graph, leaders, similarity
+from compscope.operators import bit_blocks, graph, leaders, similarity
 
 
 def tanimoto(a, b):
@@ -148,3 +148,65 @@ def test_forest_candidates_find_copies_without_listing_all_pairs(spark):
     df = frame(spark, rows).withColumn("sig", graph.minhash_signature(F.col("bits"), 32))
     pairs = graph.forest_candidates(graph.lsh_forest(df, "id", "sig", 4), 5)
     assert pairs.count() == 5 * 200 - 15
+
+
+def wide(rows, n_bits=256):
+    """The same rows with bits below ``n_bits``."""
+    return [(d, i, {x % n_bits for x in b}) for d, i, b in rows]
+
+
+@pytest.mark.parametrize("t,first_block,budget,links", [
+    (0.65, 20, 10_000, 10_000), (0.65, 20, 30, 5), (0.3, 1_000, 10_000, 10_000), (0.0, 16, 200, 200),
+])
+def test_leaders_by_blocks_equal_greedy(spark, monkeypatch, t, first_block, budget, links):
+    monkeypatch.setattr(bit_blocks, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(bit_blocks, "GROUP_BLOCKS", 2)
+    monkeypatch.setattr(bit_blocks, "PAIR_LINKS", links)
+    rows = wide(make_sets(3, 150)) + [("d0", 500, set()), ("d1", 501, set())]
+    got = leaders.leader_cluster(frame(spark, rows), "ds", "id", "bits", t, first_block, budget, n_bits=256)
+    assert {(r["ds"], r["id"]) for r in got.collect()} == greedy(rows, t)
+
+
+def test_dense_group_is_settled_without_its_pairs(spark, monkeypatch):
+    """A third of the rows are near copies; of 1,000 rows only a few blocks are taken."""
+    rows = wide(make_sets(4, 1_000, 1))
+    calls = []
+    settle = leaders._settle
+    monkeypatch.setattr(leaders, "_settle", lambda *a: calls.append(1) or settle(*a))
+    got = leaders.leader_cluster(frame(spark, rows), "ds", "id", "bits", 0.65, 64, 3_000, n_bits=256)
+    assert {(r["ds"], r["id"]) for r in got.collect()} == greedy(rows, 0.65)
+    assert len(calls) <= 20
+
+
+def test_products_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(leaders, "PRODUCT_BUDGET", 400)
+    rows = wide(make_sets(5, 90, 1))
+    got = leaders.leader_cluster(frame(spark, rows), "ds", "id", "bits", 0.65, 64, n_bits=256)
+    assert {(r["ds"], r["id"]) for r in got.collect()} == greedy(rows, 0.65)
+
+
+@pytest.mark.parametrize("k,block", [(1, 7), (4, 7), (10, 64), (300, 16)])
+def test_nearest_by_blocks_equal_brute_force(spark, monkeypatch, k, block):
+    monkeypatch.setattr(bit_blocks, "BLOCK_ROWS", block)
+    monkeypatch.setattr(bit_blocks, "GROUP_BLOCKS", 3)
+    rows = wide(make_sets(6, 90)) + [("d0", 900, set()), ("d9", 901, {1})]
+    df = frame(spark, rows)
+    got = {(r.ds, r.src, r["rank"]): (r.dst, r.weight) for r in bit_blocks.block_nearest(df, df, ["ds"], "id", "bits", 256, k).collect()}
+    want = {}
+    for d, i, a in rows:
+        order = sorted((10**6 - 10**6 * len(a & b) // max(len(a | b), 1), j) for e, j, b in rows if e == d and j != i)
+        want |= {(d, i, n): (j, w) for n, (w, j) in enumerate(order[:k], 1)}
+    assert got == want
+
+
+def test_best_block_partner_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(bit_blocks, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(bit_blocks, "GROUP_BLOCKS", 2)
+    left, right = wide(make_sets(7, 80)), wide(make_sets(8, 60))
+    got = {(r.ds, r.id_a): r.id_b for r in bit_blocks.block_best(frame(spark, left), frame(spark, right), ["ds"], "id", "bits", 256).collect()}
+    want = {}
+    for d, i, a in left:
+        best = min(((-tanimoto(a, b), j) for e, j, b in right if e == d and a & b), default=None)
+        if best:
+            want[d, i] = best[1]
+    assert got == want
