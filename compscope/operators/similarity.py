@@ -229,6 +229,7 @@ def assign_clusters(
     bits: str,
     tiers: Sequence[float] = (0.65, 0.3, 0.0),
     n_bits: int | None = None,
+    prints: DataFrame | None = None,
 ) -> DataFrame:
     """``cluster_ID`` of every row: the centroid with the same key, else the most similar one.
 
@@ -239,11 +240,13 @@ def assign_clusters(
     partner at or above a tier has its best partner there too, so each tier is exact and only the
     rest goes on to the next, costlier one. Rows of the clustered library end in the first tier.
     With ``n_bits`` (fingerprints of a fixed width) blocks of rows and centroids are multiplied
-    instead, and only the best centroid of each row is kept: no tiers, no candidate pairs.
+    instead, and only the best centroid of each row is kept: no tiers, no candidate pairs. The bits of
+    the distinct keys may come as ``prints`` (``dataset, key, bits``) instead of with the rows.
     """
     hashed = rows.withColumn("_kid", _key_hash(dataset, key))
+    source = hashed if prints is None else prints.withColumn("_kid", _key_hash(dataset, key))
     unique = (
-        hashed.where(F.col(key).isNotNull())
+        source.where(F.col(key).isNotNull())
         .groupBy(dataset, "_kid")
         .agg(F.any_value(bits).alias("_bits"))
     )

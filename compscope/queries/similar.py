@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import fingerprints
 from ..operators import bit_blocks, leaders, libraries, similarity
-from ..operators.ordered import rank_in_group
 from ..session import materialise, spread
 from .registry import load, query, r6
 
@@ -272,41 +271,31 @@ def assign_nearest(spark, sf):
     )
 
 
-# Fixed-width fingerprints: the documents' word 3-grams in 1024 bits. Every 16th document of a
-# language, in id order, stands for its centroids, so that SQL can state the expected pairs.
-_DENSE = f"""{WORDS},
-  sh AS MATERIALIZED (SELECT DISTINCT doc_id, lang, (x % 1024)::INTEGER AS b FROM hashed),
-  sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-  ordered AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r
-              FROM documents),
-  lead AS MATERIALIZED (SELECT doc_id, lang, text, r // 16 AS cid FROM ordered WHERE r % 16 = 0),
-  common AS (SELECT s.doc_id, s.lang, l.doc_id AS leader, l.cid, count(*) AS c
-             FROM sh s JOIN (SELECT lead.doc_id, lead.cid, sh.lang, sh.b
-                             FROM lead JOIN sh USING (doc_id)) l
-               ON l.b = s.b AND l.lang = s.lang GROUP BY ALL),
-  rated AS MATERIALIZED (
-    SELECT common.*, a.n AS na, b.n AS nb FROM common JOIN sizes a ON a.doc_id = common.doc_id
-    JOIN sizes b ON b.doc_id = common.leader)"""
+# Fixed-width fingerprints: the documents' word 3-grams in 1024 bits.
+_DENSE = _ROW_LEADER.replace(f"% {WIDE}", "% 1024")
 
 
-def _dense(spark, sf):
+def dense_documents(spark, sf):
     docs = spread(load(spark, sf, "documents").select("doc_id", "lang", "text"))
     bits = fingerprints.qgram_fingerprint(F.col("text"), q=3, n_bits=1024, unit="word")
-    rows = materialise(docs.select("doc_id", "lang", "text", bits.alias("bits")), "dense")
-    ranked = rank_in_group(rows.select("lang", "doc_id"), ["lang"], [F.col("doc_id")], "_r")
-    chosen = ranked.where((F.col("_r") - 1) % 16 == 0).select(
-        "doc_id", F.floor((F.col("_r") - 1) / 16).alias("cluster_ID")
-    )
-    return rows, materialise(rows.join(chosen, "doc_id"), "centroids")
+    return materialise(docs.select("doc_id", "lang", "text", bits.alias("bits")), "dense")
+
+
+def _dense(spark, sf):
+    rows = dense_documents(spark, sf)
+    firsts = libraries.dedup_keep_first(rows, ["lang", "text"], "doc_id")
+    lead = materialise(leaders.leader_cluster(firsts, "lang", "doc_id", "bits", 0.65, n_bits=1024), "leaders")
+    nodes = similarity.number_centroids(firsts.join(lead, ["lang", "doc_id"], "left_semi"), "lang", "doc_id")
+    return rows, materialise(nodes, "centroids")
 
 
 @query(f"""
-  WITH {_DENSE}
+  WITH RECURSIVE {_DENSE}
   SELECT lang AS Dataset, doc_id AS row_id, leader, c AS n_shared,
          round(c::DOUBLE / (na + nb - c), 6) AS similarity
   FROM rated WHERE 100 * c >= 65 * (na + nb - c)""")
 def similarity_join_1024(spark, sf):
-    """Every document with the centroids of its language, on 1024-bit fingerprints."""
+    """Every document with the leaders of its language, on 1024-bit fingerprints."""
     rows, lead = _dense(spark, sf)
     return bit_blocks.block_join(rows, lead, ["lang"], "doc_id", "bits", 1024, 0.65).select(
         F.col("lang").alias("Dataset"), F.col("id_a").alias("row_id"),
@@ -315,7 +304,7 @@ def similarity_join_1024(spark, sf):
 
 
 @query(f"""
-  WITH {_DENSE},
+  WITH RECURSIVE {_DENSE},
   exact AS (SELECT d.doc_id, min(l.cid) AS cid FROM documents d
             JOIN lead l ON l.lang = d.lang AND l.text = d.text GROUP BY d.doc_id),
   best AS (SELECT doc_id, cid, row_number() OVER (PARTITION BY doc_id
@@ -333,11 +322,7 @@ def assign_nearest_1024(spark, sf):
   WITH RECURSIVE {LEADERS.replace(f"% {WIDE}", "% 1024")}
   SELECT lang AS Dataset, doc_id AS row_id FROM lead""")
 def leader_cluster_1024(spark, sf):
-    """Leaders on 1024-bit fingerprints, in several blocks."""
-    docs = spread(load(spark, sf, "documents").select("doc_id", "lang", "text"))
-    bits = fingerprints.qgram_fingerprint(F.col("text"), q=3, n_bits=1024, unit="word")
-    firsts = libraries.dedup_keep_first(
-        materialise(docs.select("doc_id", "lang", "text", bits.alias("bits")), "dense"), ["lang", "text"], "doc_id"
-    )
-    lead = leaders.leader_cluster(firsts, "lang", "doc_id", "bits", 0.65, first_block=512, n_bits=1024)
+    """Leaders on 1024-bit fingerprints."""
+    firsts = libraries.dedup_keep_first(dense_documents(spark, sf), ["lang", "text"], "doc_id")
+    lead = leaders.leader_cluster(firsts, "lang", "doc_id", "bits", 0.65, n_bits=1024)
     return lead.select(F.col("lang").alias("Dataset"), F.col("doc_id").alias("row_id"))

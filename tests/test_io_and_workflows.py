@@ -5,7 +5,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from compscope.functions import fingerprints
-from compscope.operators import features, models
+from compscope.operators import features, leaders, models, similarity
 from compscope.plans import workflows
 from compscope.sources import model_store, tables
 from compscope.streaming.scoring import score_stream
@@ -185,6 +185,33 @@ def test_diversity_and_addressability(spark):
     assert result.best.count() == result.scored.select("Dataset", "cluster_ID").distinct().count()
 
 
+def test_workflows_take_the_block_path(spark, monkeypatch):
+    """With the width of the fingerprints, no inverted index is built and the clusters are the same."""
+    smiles = [f"c1ccccc1{'CNO'[i % 3]}{'C' * (i % 7)}{'N' * (i // 21)}" for i in range(60)]
+    lib = spark.createDataFrame([(i, s, f"LIB-{1 + i % 2}") for i, s in enumerate(smiles)], "id long, smiles string, Dataset string")
+
+    def describe(df):
+        return df.withColumn("features", array_to_vector(fingerprints.string_descriptors(F.col("Molecule"))))
+
+    def run(n_bits):
+        div = workflows.library_diversity(
+            lib, "id", "smiles", fingerprints.smiles_normalised, fingerprints.smiles_well_formed, lambda c: c,
+            lambda c: fingerprints.qgram_fingerprint(c, q=3, n_bits=1024), 0.65, n_bits=n_bits,
+        )
+        train = describe(div.compounds.withColumn("label", F.length("Molecule").cast("double")))
+        model = models.fit(train, models.REGRESSOR, "RandomForest", "features", trees=2, depth=2)
+        placed = workflows.addressability(div, model, describe, n_bits=n_bits).scored
+        return (
+            sorted(tuple(r) for r in div.centroids.select("Dataset", "row_id").collect()),
+            sorted(tuple(r) for r in placed.select("Dataset", "row_id", "cluster_ID").collect()),
+        )
+
+    sparse = run(None)
+    for module in (leaders, similarity):
+        monkeypatch.setattr(module, "similarity_join", None)
+    assert run(1024) == sparse
+
+
 def test_materialised_tables_live_in_the_shared_folder(spark):
     import os
 

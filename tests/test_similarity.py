@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from compscope.operators import bit_blocks, graph, leaders, similarity
@@ -210,3 +211,13 @@ def test_best_block_partner_equals_brute_force(spark, monkeypatch):
         if best:
             want[d, i] = best[1]
     assert got == want
+
+
+def test_signatures_equal_the_formula():
+    rng = random.Random(10)
+    sets = [sorted(rng.sample(range(2**31 - 1), rng.choice([0, 1, 5, 90]))) for _ in range(30)] + [list(range(70_000)), [2**31 - 2, 0]]
+    got = graph.signatures([np.array(s, np.uint64) for s in sets], 1024)
+    for s, row in zip(sets, got):
+        for k in (0, 1, 7, 500, 1023) if s else ():
+            assert row[k] == min(((k * 7919 + 13) * x + k * 104729) % (2**31 - 1) for x in s)
+        assert len(row) == (1024 if s else 0)
