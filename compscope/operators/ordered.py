@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import materialise
 
 
+# Groups up to this size are ranked by one task each, with one shuffle and no write.
+WINDOW_ROWS = 1_000_000
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -18,12 +22,22 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums of ``measures`` inside each group of ``keys``, in ``order``.
 
-    Two levels: rows are range-partitioned by (keys, order), so a large group spans many slices
-    and equal order values may be split too; each slice gets local running sums, and the sums of
-    the slices before it (one row per slice and group) are added. ``order`` must be total. With
-    ``totals`` the group sums come along as ``<name>_total``.
+    Group sizes are counted first. If no group has more than ``WINDOW_ROWS`` rows, one window over the
+    group does it. Otherwise there are two levels: rows are range-partitioned by (keys, order), so a
+    large group spans many slices and equal order values may be split too; each slice gets local
+    running sums, and the sums of the slices before it (one row per slice and group) are added.
+    ``order`` must be total. With ``totals`` the group sums come along as ``<name>_total``.
     """
     names = list(measures)
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= WINDOW_ROWS:
+        group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(
+            *df.columns,
+            *[F.sum(measures[n]).over(upto).alias(n) for n in names],
+            *([F.sum(measures[n]).over(group).alias(f"{n}_total") for n in names] if totals else []),
+        )
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
     frozen = materialise(
         ranged.select(

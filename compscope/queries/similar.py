@@ -326,3 +326,32 @@ def leader_cluster_1024(spark, sf):
     firsts = libraries.dedup_keep_first(dense_documents(spark, sf), ["lang", "text"], "doc_id")
     lead = leaders.leader_cluster(firsts, "lang", "doc_id", "bits", 0.65, n_bits=1024)
     return lead.select(F.col("lang").alias("Dataset"), F.col("doc_id").alias("row_id"))
+
+
+# The documents as two libraries, one after the other: leaders of the first one come first.
+_IN_ORDER = (
+    LEADERS.replace(f"% {WIDE}", "% 1024")
+    .replace("SELECT min(doc_id) AS doc_id, lang, any_value(text) AS text",
+             "SELECT min_by(doc_id, (second, doc_id)) AS doc_id, lang, any_value(text) AS text")
+    .replace("FROM documents GROUP BY lang, md5(text)", "FROM ordered GROUP BY lang, md5(text)")
+    .replace("row_number() OVER (ORDER BY f.doc_id) AS i FROM firsts f",
+             "row_number() OVER (ORDER BY o.second, f.doc_id) AS i FROM firsts f JOIN ordered o USING (doc_id)")
+    .replace("SELECT f.*,", "SELECT f.*, o.second,")
+    .replace("SELECT doc_id, lang, text, row_number()", "SELECT doc_id, lang, text, second, row_number()")
+)
+
+
+@query(f"""
+  WITH RECURSIVE ordered AS (SELECT *, coalesce((source >= 'src2')::INTEGER, 1) AS second FROM documents), {_IN_ORDER}
+  SELECT lang AS Dataset, doc_id AS row_id, second AS library FROM lead""")
+def leader_incremental(spark, sf):
+    """Leaders of a first library of documents, and those that a second one adds to them."""
+    second = F.coalesce((F.col("source") >= "src2").cast("int"), F.lit(1))
+    part = load(spark, sf, "documents").select("doc_id", second.alias("library"))
+    docs = dense_documents(spark, sf).join(part, "doc_id").withColumn("place", F.struct("library", "doc_id"))
+    firsts = materialise(libraries.dedup_keep_first(docs, ["lang", "text"], "place"), "firsts")
+    stored = None
+    for n in (0, 1):
+        rows = firsts.where(F.col("library") == n)
+        stored = materialise(leaders.add_library(stored, rows, "lang", "doc_id", "bits", 0.65, n_bits=1024), "leaders")
+    return stored.join(part, "doc_id").select(F.col("lang").alias("Dataset"), F.col("doc_id").alias("row_id"), "library")

@@ -185,6 +185,38 @@ def test_diversity_and_addressability(spark):
     assert result.best.count() == result.scored.select("Dataset", "cluster_ID").distinct().count()
 
 
+def test_stored_reference_novelty_and_tree(spark):
+    smiles = [f"c1ccccc1{'CNO'[i % 3]}{'C' * (i % 5)}" for i in range(30)]
+    lib = spark.createDataFrame([(i, s, f"LIB-{1 + i % 2}") for i, s in enumerate(smiles)], "id long, smiles string, Dataset string")
+
+    def bits(c):
+        return fingerprints.qgram_fingerprint(c, q=3, n_bits=1024)
+
+    known = spark.createDataFrame([(7, "c1ccccc1CC"), (8, "XYZ")], "row_id long, BM string")
+    div = workflows.library_diversity(
+        lib, "id", "smiles", fingerprints.smiles_normalised, fingerprints.smiles_well_formed, lambda c: c, bits, 0.65,
+        n_bits=1024, reference_leaders=known.withColumn("bits", bits(F.col("BM"))),
+    )
+    counts = {r["Dataset"]: r["n_clusters"] for r in div.cluster_counts.collect()}
+    assert counts["reference"] == 2 and set(counts) == {"LIB-1", "LIB-2", "reference"}
+    novel = {r["BM"]: r["Datasets"] for r in div.novel.collect()}
+    assert set(novel) == set(smiles) - {"c1ccccc1CC"} and all(d in (["LIB-1"], ["LIB-2"], ["LIB-1", "LIB-2"]) for d in novel.values())
+    n = len({*smiles, "XYZ"})
+    for width in (None, 1024):
+        nodes, edges = workflows.scaffold_tree(div, k=n, n_bits=width)
+        assert nodes.count() == n and {"src", "dst", "weight"} == set(edges.columns)
+    assert edges.count() == n - 1  # all neighbours: one tree
+    total = edges.agg(F.sum("weight")).first()[0]
+    sets = {r["BM"]: set(r["bits"]) for r in div.scaffolds.select("BM", "bits").collect()}
+    left, inside, want = set(sets), {min(sets)}, 0
+    left -= inside
+    while left:  # Prim
+        w, x = min((10**6 - 10**6 * len(sets[a] & sets[b]) // max(1, len(sets[a] | sets[b])), b) for a in inside for b in left)
+        want, inside = want + w, inside | {x}
+        left.remove(x)
+    assert total == want
+
+
 def test_workflows_take_the_block_path(spark, monkeypatch):
     """With the width of the fingerprints, no inverted index is built and the clusters are the same."""
     smiles = [f"c1ccccc1{'CNO'[i % 3]}{'C' * (i % 7)}{'N' * (i // 21)}" for i in range(60)]

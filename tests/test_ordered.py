@@ -83,3 +83,18 @@ def test_best_row_stays_whole(spark):
     )
     best = ranking.best_per_cluster(df, "ds", "cl", "s", "id").collect()
     assert [(r["id"], r["note"]) for r in best] == [(2, None)]
+
+
+def test_two_levels_equal_one(skewed, monkeypatch):
+    """Groups over the window size are split; the rows are the same, with one shuffle otherwise."""
+    _, df = skewed
+    order, measures = [F.col("v").desc(), F.col("id")], {"n": F.lit(1), "s": F.col("c")}
+    for keys in (["g"], []):
+        one = ordered.running_totals(df, keys, order, measures, totals=True)
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") + plan.count("Exchange SinglePartition") <= 1
+        monkeypatch.setattr(ordered, "WINDOW_ROWS", 100)
+        two = ordered.running_totals(df, keys, order, measures, totals=True)
+        monkeypatch.undo()
+        assert two.exceptAll(one).count() == 0 and two.count() == one.count()
+    assert ordered.running_totals(df.limit(0), ["g"], order, measures).count() == 0

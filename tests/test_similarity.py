@@ -221,3 +221,26 @@ def test_signatures_equal_the_formula():
         for k in (0, 1, 7, 500, 1023) if s else ():
             assert row[k] == min(((k * 7919 + 13) * x + k * 104729) % (2**31 - 1) for x in s)
         assert len(row) == (1024 if s else 0)
+
+
+@pytest.mark.parametrize("n_bits", [None, 256])
+def test_adding_libraries_equals_clustering_in_order(spark, n_bits, tmp_path):
+    from compscope.sources.leader_store import leader_record, load_leaders, save_leaders
+
+    first, second = wide(make_sets(11, 100)), [(d, i + 1_000, b) for d, i, b in wide(make_sets(12, 80))]
+    path = str(tmp_path / "leaders")
+    for rows in (first, second):
+        before = load_leaders(spark, path) if rows is second else None
+        now = leaders.add_library(before, frame(spark, rows), "ds", "id", "bits", 0.5, n_bits)
+        save_leaders(spark, now, path, "q-grams", 0.5)
+    got = {(r["ds"], r["id"]) for r in load_leaders(spark, path).collect()}
+    assert got == greedy(first + second, 0.5)
+    assert {(r["ds"], r["id"]) for r in load_leaders(spark, path, 0).collect()} == greedy(first, 0.5)
+    assert leader_record(spark, path)["version"] == 1
+    # A version without its record was not finished.
+    load_leaders(spark, path, 0).write.parquet(f"{path}/version-2/leaders")
+    assert leader_record(spark, path)["version"] == 1
+    with pytest.raises(ValueError, match="q-grams"):
+        save_leaders(spark, load_leaders(spark, path), path, "paths", 0.5)
+    with pytest.raises(FileNotFoundError):
+        load_leaders(spark, path, 7)
