@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import materialise
 
 # Most bytes of rows that go to a Python worker at once; one longer row goes alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BATCH_ROWS = 2_000
+# Rows that the Parquet reader decodes at once: texts are long, and their bytes lie in one array.
+READ_ROWS = 512
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, nbytes: int = BATCH_BYTES) -> None:
@@ -21,6 +23,7 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, nbytes: int = B
     cannot fill a worker's memory. The last call before a job counts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(nbytes))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def give_back() -> None:

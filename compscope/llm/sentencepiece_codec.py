@@ -49,8 +49,10 @@ class Codec:
         self.of_byte = {b: i for i, b in self.bytes.items()}
         self.control = {i for i in size if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         self.unknown = model.unk_id()
-        self.special = np.zeros(len(size), bool)  # ids whose piece is not its text
-        self.special[[*self.bytes, *self.control]] = True
+        # What an id stands for, where it is a text of its own: a byte from 128 on is part of a character.
+        self.apart = np.zeros(len(size), bool)
+        self.apart[[i for i, b in self.bytes.items() if b > 127]] = True
+        self.shown = ["" if i in self.control else chr(self.bytes[i]) if i in self.bytes else self.pieces[i] for i in size]
         plain = [i for i in size if i not in self.bytes and i not in self.control]
         self.score = {self.pieces[i]: model.get_score(i) for i in plain}
         self.id = {self.pieces[i]: i for i in plain}
@@ -63,10 +65,11 @@ class Codec:
         self.memo: dict[str, bytes] = {}  # ids as uint32
         self.pairs: dict[tuple[str, str], bool] = {}
         self.stable = {p for p in self.score if unigram or self.merge(p) == [p]}
-        # The longest piece by its last two characters.
+        # The longest piece of three characters or more by its last three.
         self.back: dict[str, int] = {}
         for p in self.stable:
-            self.back[p[-2:]] = max(self.back.get(p[-2:], 1), len(p))
+            if len(p) > 2:
+                self.back[p[-3:]] = max(self.back.get(p[-3:], 0), len(p))
 
     def merge(self, text: str) -> list[str]:
         """What the merge rules leave of a string: the best-scored neighbours are joined first, the
@@ -103,7 +106,7 @@ class Codec:
         best: dict[int, tuple[float, int, str]] = {0: (0.0, 0, "")}
         for end in range(1, len(text) + 1):
             chosen = None
-            far = end - back.get(text[end - 2 : end] if end > 1 else text[:1], 1)
+            far = end - back.get(text[end - 3 : end], 2) if end > 2 else 0
             for start in range(far if far > done else done, end):
                 before = best.get(start)
                 if before is None:
@@ -138,7 +141,7 @@ class Codec:
         stable, back, pairs, neighbours = self.stable, self.back, self.pairs, self.neighbours
         starts, lasts = [0], [""]  # of the path to each position; -1: no path
         for end in range(1, len(text) + 1):
-            far = end - back.get(text[end - 2 : end] if end > 1 else text, 1)
+            far = end - back.get(text[end - 3 : end], 2) if end > 2 else 0
             for start in range(far if far > 0 else 0, end):
                 if starts[start] < 0:
                     continue
@@ -223,11 +226,14 @@ class Codec:
             return [self.of_byte[b] for b in piece.encode("utf-8")]
         return [self.unknown]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """Text of ids: byte pieces are joined to characters (invalid ones become U+FFFD), control
         ids are left out, and the space mark that encoding puts in front is taken off."""
-        if len(ids) and not self.special[ids].any():
-            return "".join(map(self.pieces.__getitem__, ids)).removeprefix(SPACE).replace(SPACE, " ")
+        ids = np.asarray(ids, dtype=np.int64)
+        whole = not self.apart[ids].any()
+        ids = ids.tolist()
+        if whole:
+            return "".join(map(self.shown.__getitem__, ids)).removeprefix(SPACE).replace(SPACE, " ")
         out, raw = [], bytearray()
         for i in ids:
             b = self.bytes.get(i)
@@ -271,7 +277,7 @@ def encode_texts(
                 {
                     "ids": [i.view("<i4") for i in ids],
                     "ids_crc32": [zlib.crc32(i) for i in packed],
-                    "round_trip": [sp.decode(i.tolist()) == t for i, t in zip(ids, texts)],
+                    "round_trip": [sp.decode(i) == t for i, t in zip(ids, texts)],
                 }
             )
         give_back()
