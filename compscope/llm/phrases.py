@@ -180,6 +180,7 @@ def heavy_nodes(texts: DataFrame, n_rows: int) -> list[str]:
 
     sample = texts.sample(min(1.0, SAMPLE_ROWS / max(1, n_rows)), seed=7)
     counts = sample.mapInArrow(count, "lang string, p string, n bigint").groupBy("lang", "p").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "sample")
     top = counts.orderBy(F.col("n").desc(), "lang", "p").limit(HEAVY)
     whole = counts.agg(F.sum("n")).first()[0] or 0
     return [f"{r['lang']}\n{r['p']}" for r in top.where(F.col("n") * 1000 > whole).collect()]
@@ -402,14 +403,14 @@ def mine_phrases(
     no rows; other columns are not read. Products are decimals of 38 digits.
     """
     graph = materialise(gram_graph(_texts(df, text, lang), min_count), "grams")
-    words = graph.where("kind = 'word'").groupBy("lang", "p").agg(F.sum("n").alias("f"))
-    totals = graph.where("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("n"))
+    words = materialise(graph.where("kind = 'word'").groupBy("lang", "p").agg(F.sum("n").alias("f")), "words")
+    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     nodes = graph.where("kind = 'node'").groupBy("lang", "p").agg(F.sum("n").alias("flow")).where(F.col("flow") >= min_count)
     edges = graph.where("kind = 'edge'").select(
         "lang", "p", "w", "n", F.concat_ws(" ", last_word(F.col("p")), F.col("w")).alias("to")
     )
-    found = candidates(*compact_paths(materialise(nodes, "nodes"), edges))
-    known = materialise(words.where(F.col("f") >= min_count), "words")
+    found = candidates(*compact_paths(materialise(nodes, "nodes"), materialise(edges, "solid")))
+    known = words.where(F.col("f") >= min_count)
     first = known.select("lang", F.col("p").alias("first"), F.col("f").alias("f_first"))
     last = known.select("lang", F.col("p").alias("last"), F.col("f").alias("f_last"))
     kept = found.where(F.col("over").isNull() | (F.col("over") * 100 < F.col("a") * contained_pct))

@@ -26,8 +26,9 @@ from .common import bounded_batches, give_back, text_of
 # The pre-token pattern of byte-level BPE, as the vocabulary's licence page gives it.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-# Memo entries a worker keeps for stretches of text between spaces; full, the memo starts anew.
-MEMO = 300_000
+# Memo entries a worker keeps for stretches of text between spaces (some 150 bytes each); full, the
+# memo starts anew.
+MEMO = 1_000_000
 # Longer stretches are not kept.
 MEMO_CHARS = 64
 
