@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fingerprints, scalars
-from ..operators import libraries, ordered, profile, ranking
-from .registry import LINE_ID, PREDICTED, SCORE_VIEW, load, query, r6, score_view
+from ..operators import libraries, ordered, profile, ranking, sketches
+from .registry import LINE_ID, ORACLES, PREDICTED, SCORE_VIEW, load, query, r6, score_view
 
 PART_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 
@@ -223,6 +223,30 @@ def overlap_regions(spark, sf):
     return libraries.overlap_regions(_hits(spark, sf), "hit", "event_type", include_empty=True)
 
 
+@query(f"""
+  SELECT event_type AS Dataset, count(DISTINCT hit) AS n_keys, true AS within
+  FROM {HITS} GROUP BY event_type""")
+def sketch_unique(spark, sf):
+    """Exact counts, and whether the bounds from sketches hold them."""
+    hits = _hits(spark, sf)
+    exact = hits.groupBy(F.col("event_type").alias("Dataset")).agg(F.count_distinct("hit").alias("n_keys"))
+    found = sketches.unique_from_sketches(sketches.sketch_keys(hits, "event_type", "hit"))
+    return exact.join(found, "Dataset").select(
+        "Dataset", "n_keys", F.col("n_keys").between(F.col("low"), F.col("high")).alias("within")
+    )
+
+
+@query(ORACLES["overlap_regions"].replace("AS n_keys", "AS n_keys, true AS within"))
+def sketch_overlap(spark, sf):
+    """Exact regions, and whether the bounds from sketches hold their sizes."""
+    hits = _hits(spark, sf)
+    exact = libraries.overlap_regions(hits, "hit", "event_type", EVENT_TYPES, include_empty=True)
+    found = sketches.overlap_from_sketches(sketches.sketch_keys(hits, "event_type", "hit"), EVENT_TYPES)
+    return exact.join(found.drop("region"), "region_mask").select(
+        "region_mask", "region", "n_keys", F.col("n_keys").between(F.col("low"), F.col("high")).alias("within")
+    )
+
+
 @query(f"""
   SELECT DISTINCT hit FROM {HITS} WHERE event_type = 'click'
   EXCEPT SELECT hit FROM {HITS} WHERE event_type = 'error'""")
