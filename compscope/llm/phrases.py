@@ -113,9 +113,9 @@ def longest_grams(texts: pa.Array, langs: pa.Array) -> pa.Table:
 def _combined(tables: list[pa.Table]) -> pa.Table:
     """Equal grams added up."""
     whole = pa.concat_tables(tables).combine_chunks()
-    return whole.group_by(["lang", "p", "w"], use_threads=False).aggregate([("n", "sum"), ("h", "min")]).rename_columns(
-        ["lang", "p", "w", "n", "h"]
-    )
+    rest = [c for c in ("h",) if c in whole.column_names]
+    sums = whole.group_by(["lang", "p", "w"], use_threads=False).aggregate([("n", "sum"), *[(c, "min") for c in rest]])
+    return sums.rename_columns(["lang", "p", "w", "n", *rest])
 
 
 def _named(lang: pa.Array, p: pa.Array) -> pa.Array:
@@ -213,9 +213,21 @@ def gram_graph(texts: DataFrame, min_count: int) -> DataFrame:
         give_back()
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.Table] = []
+        held = 0
         for batch in batches:
             for blob in batch.column("grams"):
-                yield from pa.ipc.open_stream(blob.as_buffer()).read_all().to_batches(max_chunksize=BATCH_ROWS)
+                waiting.append(pa.ipc.open_stream(blob.as_buffer()).read_all())
+                held += waiting[-1].num_rows
+                if held < WINDOW_GRAMS:
+                    continue
+                waiting = [_combined(waiting)]
+                held = waiting[0].num_rows
+                if 2 * held > WINDOW_GRAMS:  # few are equal: the sort has room for them
+                    yield from waiting[0].to_batches(max_chunksize=BATCH_ROWS)
+                    waiting, held = [], 0
+        if waiting:
+            yield from _combined(waiting).to_batches(max_chunksize=BATCH_ROWS)
         give_back()
 
     sent = texts.mapInArrow(gather, "part int, grams binary").repartitionById(n_parts, "part")
