@@ -40,8 +40,10 @@ MAX_PARTITIONS = 50_000
 SAMPLE_ROWS, HEAVY, SALTS = 2_000, 1_000, 64
 # Nodes in a row of a compacted path.
 SEGMENT = 1_024
-# Characters of a longer text that are cut into words at once; rows of a batch of counted grams.
+# Characters of a longer text that are cut into words at once, and bytes of shorter ones (their arrays
+# fit a core's cache); rows of a batch of counted grams.
 SECTION = 1 << 20
+SLICE = 1 << 17
 BATCH_ROWS = 50_000
 
 PIECE_END = re.compile(r"[.,;:!?\x0A-\x0D]")
@@ -52,7 +54,9 @@ _GAP[[0x20, 0x09]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-GRAMS = pa.schema([("lang", pa.string()), ("p", pa.string()), ("w", pa.string()), ("n", pa.int64())])
+# A gram travels as one string, pair, language and third word between line ends: neither words nor the
+# languages (see ``_texts``) hold these, so in the order of such strings equal pairs stay together.
+GRAMS = pa.schema([("gram", pa.string()), ("n", pa.int64())])
 
 
 def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,23 +118,40 @@ def _combined(tables: list[pa.Table]) -> pa.Table:
     """Equal grams added up."""
     whole = pa.concat_tables(tables).combine_chunks()
     rest = [c for c in ("h",) if c in whole.column_names]
-    sums = whole.group_by(["lang", "p", "w"], use_threads=False).aggregate([("n", "sum"), *[(c, "min") for c in rest]])
-    return sums.rename_columns(["lang", "p", "w", "n", *rest])
+    sums = whole.group_by("gram", use_threads=False).aggregate([("n", "sum"), *[(c, "min") for c in rest]])
+    return sums.rename_columns(["gram", "n", *rest])
 
 
 def _named(lang: pa.Array, p: pa.Array) -> pa.Array:
-    return pc.binary_join_element_wise(lang, p, "\n")  # neither a pair nor the end of one has line ends
+    return pc.binary_join_element_wise(p, lang, "\n")
 
 
-def _packed(table: pa.Table, heavy: pa.Array, n_parts: int) -> Iterator[pa.RecordBatch]:
-    """Grams by the partition of their node, each as one compressed Arrow batch."""
+def _joined(table: pa.Table, heavy: pa.Array, heavy_hashes: np.ndarray) -> pa.Table:
+    """``gram, n, h`` of longest grams; the hash of a heavy node's grams is salted by the third word."""
     h = table.column("h").to_numpy().view(np.uint64)
-    hot = pc.is_in(_named(table.column("lang"), table.column("p")), value_set=heavy).to_numpy() if len(heavy) else np.zeros(len(h), bool)
-    if hot.any():
-        third = table.column("w").filter(pa.array(hot))
+    node = _named(table.column("lang"), table.column("p"))
+    like = np.flatnonzero(np.isin(h, heavy_hashes)) if len(heavy) else np.zeros(0, np.int64)
+    if len(like):
+        like = like[pc.is_in(node.take(pa.array(like)), value_set=heavy).to_numpy()]
+        third = table.column("w").take(pa.array(like))
         salt = np.array([zlib.crc32(w.encode()) % SALTS for w in third.to_pylist()], np.uint64)
         h = h.copy()
-        h[hot] = mix(h[hot] + salt + U64(1))
+        h[like] = mix(h[like] + salt + U64(1))
+    gram = pc.binary_join_element_wise(node, table.column("w"), "\n")
+    return pa.table({"gram": gram, "n": table.column("n"), "h": pa.array(h.view(np.int64))})
+
+
+def _split(table: pa.Table) -> pa.Table:
+    """``p, lang, w, n`` of ``gram, n``."""
+    parts = pc.list_flatten(pc.split_pattern(table.column("gram").combine_chunks(), "\n"))
+    at = np.arange(0, 3 * table.num_rows, 3)
+    names = {c: parts.take(pa.array(at + i)) for i, c in enumerate(("p", "lang", "w"))}
+    return pa.table({**names, "n": table.column("n")})
+
+
+def _packed(table: pa.Table, n_parts: int) -> Iterator[pa.RecordBatch]:
+    """Grams by the partition of their node, each as one compressed Arrow batch."""
+    h = table.column("h").to_numpy().view(np.uint64)
     part = (h % U64(n_parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     table, part = table.select(GRAMS.names).take(pa.array(order)), part[order]
@@ -148,14 +169,25 @@ def _packed(table: pa.Table, heavy: pa.Array, n_parts: int) -> Iterator[pa.Recor
 def _texts(df: DataFrame, text: str, lang: str) -> DataFrame:
     return df.select(
         F.coalesce(df[text].cast("string"), F.lit("")).alias("_text"),
-        F.coalesce(df[lang].cast("string"), F.lit(NO_LANG)).alias("_lang"),
+        _without_line_ends(F.coalesce(df[lang].cast("string"), F.lit(NO_LANG))).alias("_lang"),
     )
 
 
+def _without_line_ends(name):
+    return F.replace(F.replace(name, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n"))
+
+
+def _with_line_ends(name):
+    return F.replace(F.replace(name, F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
+
+
 def sections(texts: pa.Array, langs: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """The batch, texts of more than ``SECTION`` characters in parts that end where a piece ends."""
+    """The batch in slices of about ``SLICE`` bytes; if it is larger than ``SECTION``, text by text, longer
+    ones in parts that end where a piece ends."""
     if texts.nbytes <= SECTION:
-        yield texts, langs
+        step = max(1, len(texts) * SLICE // max(1, texts.nbytes))
+        for at in range(0, len(texts), step):
+            yield texts.slice(at, step), langs.slice(at, step)
         return
     for t, lang in zip(texts.to_pylist(), langs.to_pylist()):
         at = 0
@@ -166,24 +198,26 @@ def sections(texts: pa.Array, langs: pa.Array) -> Iterator[tuple[pa.Array, pa.Ar
             at = end
 
 
-def heavy_nodes(texts: DataFrame, n_rows: int) -> list[str]:
-    """Language and pair of those that hold over a thousandth of the grams of a sample; ``HEAVY`` at most."""
+def heavy_nodes(texts: DataFrame, n_rows: int) -> tuple[pa.Array, np.ndarray]:
+    """Names and hashes of the nodes that hold over a thousandth of the grams of a sample; ``HEAVY`` at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts, langs in sections(batch.column("_text"), batch.column("_lang")):
                 grams = longest_grams(texts, langs)
                 if grams.num_rows:
-                    found = grams.group_by(["lang", "p"], use_threads=False).aggregate([("n", "sum")])
-                    yield from found.rename_columns(["lang", "p", "n"]).combine_chunks().to_batches()
+                    found = grams.group_by(["lang", "p"], use_threads=False).aggregate([("n", "sum"), ("h", "min")])
+                    yield from found.rename_columns(["lang", "p", "n", "h"]).combine_chunks().to_batches()
         give_back()
 
     sample = texts.sample(min(1.0, SAMPLE_ROWS / max(1, n_rows)), seed=7)
-    counts = sample.mapInArrow(count, "lang string, p string, n bigint").groupBy("lang", "p").agg(F.sum("n").alias("n"))
-    counts = materialise(counts, "sample")
+    counts = sample.mapInArrow(count, "lang string, p string, n bigint, h bigint").groupBy("lang", "p")
+    counts = materialise(counts.agg(F.sum("n").alias("n"), F.min("h").alias("h")), "sample")
     top = counts.orderBy(F.col("n").desc(), "lang", "p").limit(HEAVY)
     whole = counts.agg(F.sum("n")).first()[0] or 0
-    return [f"{r['lang']}\n{r['p']}" for r in top.where(F.col("n") * 1000 > whole).collect()]
+    found = top.where(F.col("n") * 1000 > whole).collect()
+    names = pa.array([f"{r['p']}\n{r['lang']}" for r in found], pa.string())
+    return names, np.array([r["h"] for r in found], np.int64).view(np.uint64)
 
 
 def gram_graph(texts: DataFrame, min_count: int) -> DataFrame:
@@ -194,7 +228,7 @@ def gram_graph(texts: DataFrame, min_count: int) -> DataFrame:
     size = texts.agg(F.count("*").alias("rows"), F.sum(F.octet_length("_text")).alias("bytes")).first()
     least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_parts = min(MAX_PARTITIONS, max(least, -(-(size["bytes"] or 0) // PARTITION_BYTES)))
-    hot = pa.array(heavy_nodes(texts, size["rows"]), pa.string())
+    hot, hot_hashes = heavy_nodes(texts, size["rows"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.Table] = []
@@ -203,13 +237,13 @@ def gram_graph(texts: DataFrame, min_count: int) -> DataFrame:
             for texts, langs in sections(batch.column("_text"), batch.column("_lang")):
                 grams = longest_grams(texts, langs)
                 if grams.num_rows:
-                    waiting.append(grams)
+                    waiting.append(_joined(grams, hot, hot_hashes))
                     held += grams.num_rows
                 if held >= WINDOW_GRAMS:
-                    yield from _packed(_combined(waiting), hot, n_parts)
+                    yield from _packed(_combined(waiting), n_parts)
                     waiting, held = [], 0
         if waiting:
-            yield from _packed(_combined(waiting), hot, n_parts)
+            yield from _packed(_combined(waiting), n_parts)
         give_back()
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,8 +265,7 @@ def gram_graph(texts: DataFrame, min_count: int) -> DataFrame:
         give_back()
 
     sent = texts.mapInArrow(gather, "part int, grams binary").repartitionById(n_parts, "part")
-    rows = sent.mapInArrow(unpack, "lang string, p string, w string, n bigint")
-    ordered = rows.sortWithinPartitions("p", "lang", "w")
+    ordered = sent.mapInArrow(unpack, "gram string, n bigint").sortWithinPartitions("gram")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the last gram, which may go on
@@ -241,9 +274,9 @@ def gram_graph(texts: DataFrame, min_count: int) -> DataFrame:
             table = _combined_sorted(table if last is None else pa.concat_tables([last, table]))
             last = table.slice(max(0, table.num_rows - 1))
             if table.num_rows > 1:
-                yield from _graph_rows(table.slice(0, table.num_rows - 1), min_count, hot)
+                yield from _graph_rows(_split(table.slice(0, table.num_rows - 1)), min_count, hot)
         if last is not None and last.num_rows:
-            yield from _graph_rows(last, min_count, hot)
+            yield from _graph_rows(_split(last), min_count, hot)
         give_back()
 
     return ordered.mapInArrow(total, "kind string, lang string, p string, w string, n bigint")
@@ -264,15 +297,15 @@ def _runs(table: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
 def _combined_sorted(table: pa.Table) -> pa.Table:
     """Equal neighbours added up."""
     table = table.combine_chunks()
-    at = _runs(table, ("w", "p", "lang"))
+    at = _runs(table, ("gram",))
     if len(at) == table.num_rows:
         return table
     sums = np.add.reduceat(table.column("n").to_numpy(), at)
-    return table.take(pa.array(at)).set_column(3, "n", pa.array(sums))
+    return pa.table({"gram": table.column("gram").take(pa.array(at)), "n": pa.array(sums)})
 
 
 def _graph_rows(table: pa.Table, min_count: int, hot: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Rows of the graph from whole grams in order of ``p, lang, w``. The first and the last node may
+    """Rows of the graph from whole grams in order of ``p, lang``. The first and the last node may
     go on in other rows, like the ``hot`` ones in other partitions: they are given whatever they weigh."""
     n = table.column("n").to_numpy()
     at = _runs(table, ("p", "lang"))
@@ -280,7 +313,7 @@ def _graph_rows(table: pa.Table, min_count: int, hot: pa.Array) -> Iterator[pa.R
     flow = np.add.reduceat(n, at)
     lang, p = (nodes.column(c).combine_chunks() for c in ("lang", "p"))
     pair = ~pc.ends_with(p, " ").to_numpy(zero_copy_only=False)
-    word = pc.replace_substring_regex(p, " .*$", "") if len(p) else p
+    word = pc.list_element(pc.split_pattern(p, " ", max_splits=1), 0)
     given = flow >= min_count
     given[[0, -1]] = True
     if len(hot):
@@ -438,4 +471,4 @@ def mine_phrases(
     )
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(totals, "lang").select(_with_line_ends(F.col("lang")).alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")

@@ -219,3 +219,13 @@ def test_line_query_digest(spark):
     got = {r.doc_id: tuple(r)[1:] for r in lines.line_dedup(df, min_docs=1).collect()}
     empty = sha256(b"").hexdigest()
     assert got == {1: (2, 2, empty), 2: (1, 0, empty)}
+
+
+def test_phrases_of_languages_with_line_ends_and_backslashes(spark):
+    """Such names keep apart, and come back as they were."""
+    langs = ["a", "a\nb", "a\\nb", "a\\b", "\\", "\n", "x\n", ""]
+    df = spark.createDataFrame([("one two\nb three", lang) for lang in langs for _ in range(10 + len(lang))], "text string, lang string")
+    got = {}
+    for r in phrases.mine_phrases(df).collect():
+        got.setdefault(r["lang"], []).append((r["phrase"], r["a"], r["n"]))
+    assert got == {x: [("b three", 10 + len(x), 4 * (10 + len(x))), ("one two", 10 + len(x), 4 * (10 + len(x)))] for x in langs}
