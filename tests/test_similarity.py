@@ -244,3 +244,58 @@ def test_adding_libraries_equals_clustering_in_order(spark, n_bits, tmp_path):
         save_leaders(spark, load_leaders(spark, path), path, "paths", 0.5)
     with pytest.raises(FileNotFoundError):
         load_leaders(spark, path, 7)
+
+
+def test_a_block_is_sent_once_for_a_cell_not_for_each_block_it_meets(spark, monkeypatch):
+    monkeypatch.setattr(bit_blocks, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(bit_blocks, "GROUP_BLOCKS", 50)
+    rows = [("d", i, {*range(20), 20 + i % 40}) for i in range(160)]
+    sides = [bit_blocks._prepared(frame(spark, rows), ["ds"], "id", "bits", 256, s) for s in "ab"]
+    blocks = sides[0].count()
+    assert blocks >= 30
+    monkeypatch.setattr(bit_blocks, "CELLS_PER_CORE", 1 / spark.sparkContext.defaultParallelism)
+    grid = bit_blocks._grid(*sides, ["ds"], similarity.as_fraction(0.0))
+    assert grid.count() == 2 * blocks
+    assert {r.side for r in grid.select("side").collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("t", [0.2, 0.65])
+def test_join_of_fixed_width_equals_brute_force(spark, monkeypatch, t):
+    monkeypatch.setattr(bit_blocks, "BLOCK_ROWS", 16)
+    left, right = wide(make_sets(13, 80)), wide(make_sets(14, 50))
+    found = similarity.similarity_join(frame(spark, left), frame(spark, right), ["ds"], "id", "bits", t, n_bits=256)
+    want = {
+        (d, i, j, len(a & b), len(a), len(b)) for d, i, a in left for e, j, b in right
+        if d == e and a & b and tanimoto(a, b) >= t
+    }
+    assert {(r.ds, r.id_a, r.id_b, r.n_shared, r.n_a, r.n_b) for r in found.collect()} == want
+
+
+def test_forest_pairs_are_counted_in_cells(spark, monkeypatch):
+    """The sets go to stretches of the forest, once each, instead of to every pair."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(graph, "CELL_ROWS", 16)
+    rows = [("d", i, b) for i, (_, _, b) in enumerate(make_sets(15, 90, 1)) if b]
+    rows += [("d", 3, rows[3][2])]  # an id that comes twice
+    df = frame(spark, rows).withColumn("sig", graph.minhash_signature(F.col("bits"), 32))
+    forest = graph.lsh_forest(df, "id", "sig", 4)
+    pairs = graph.forest_candidates(forest, 5)
+    place = sorted((r.tree, r.position, r.id) for r in forest.collect())
+    near = {
+        (min(x[2], y[2]), max(x[2], y[2])) for n, x in enumerate(place) for y in place[n + 1 : n + 6] if x[0] == y[0]
+    }
+    assert sorted((r.id_a, r.id_b) for r in pairs.collect()) == sorted(near)
+    monkeypatch.setattr(graph, "verify", None)
+    got = graph._overlaps(pairs, df, "id", "bits").collect()
+    want = similarity.verify(pairs, df, df, [], "id", "bits").drop("cell").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_signatures_come_in_bounded_batches_of_ints(spark):
+    from pyspark.sql import functions as F
+
+    signed = frame(spark, make_sets(16, 20)).select(graph.minhash_signature(F.col("bits"), 64).alias("s"))
+    assert signed.schema["s"].dataType.simpleString() == "array<int>"
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+    assert graph.signatures([np.array([3], np.uint64)], 64)[0].dtype == np.int32
