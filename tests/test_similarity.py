@@ -292,10 +292,18 @@ def test_forest_pairs_are_counted_in_cells(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
-def test_signatures_come_in_bounded_batches_of_ints(spark):
+def test_signatures_come_in_bounded_batches(spark):
     from pyspark.sql import functions as F
 
-    signed = frame(spark, make_sets(16, 20)).select(graph.minhash_signature(F.col("bits"), 64).alias("s"))
-    assert signed.schema["s"].dataType.simpleString() == "array<int>"
-    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
-    assert graph.signatures([np.array([3], np.uint64)], 64)[0].dtype == np.int32
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    sizes = F.pandas_udf(lambda x: x.map(lambda _: len(x)), "int")
+    signed = spark.range(0, 3_000, 1, 1).select(graph.minhash_signature(F.array(F.col("id").cast("int")), 8).alias("s"), "id")
+    assert signed.select(F.max(sizes("id"))).first()[0] <= 512
+    assert signed.schema["s"].dataType.simpleString() == "array<bigint>"
+
+
+def test_a_null_in_a_set_keeps_its_signature():
+    odd, usual = np.array([2**63], np.uint64), np.array([5, 9], np.uint64)
+    got = graph.signatures([usual, odd], 16)
+    for s, row in ((usual, got[0]), (odd, got[1])):
+        assert row.tolist() == [int(graph._permuted(s, k).min()) for k in range(16)]
