@@ -307,3 +307,43 @@ def test_a_null_in_a_set_keeps_its_signature():
     got = graph.signatures([usual, odd], 16)
     for s, row in ((usual, got[0]), (odd, got[1])):
         assert row.tolist() == [int(graph._permuted(s, k).min()) for k in range(16)]
+
+
+def test_tokens_in_one_set_are_not_listed_and_prefixes_that_share_little_are_not_compared(spark, monkeypatch):
+    """Ten rows that share one rare token each with the next and nothing else, and two that are alike."""
+    rows = [("d", i, {1000 * i + k for k in range(100)} | {500_000 + i, 500_001 + i}) for i in range(10)]
+    rows += [("d", 20, set(range(90_000, 90_100))), ("d", 21, set(range(90_005, 90_105)))]
+    df = frame(spark, rows)
+    order = similarity.token_order([df], "bits")
+    listed = similarity.shared_postings(df, ["ds"], "id", "bits", order, 0.65)
+    assert listed.count() < 120 and listed.where("_c < 2").isEmpty()
+    compared = []
+    plain = similarity.verify
+
+    def spy(pairs, *rest):
+        compared.extend((r["id_a"], r["id_b"]) for r in pairs.collect())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(similarity, "verify", spy)
+    found = similarity.similarity_join(df, None, ["ds"], "id", "bits", 0.65, postings=listed).collect()
+    assert [(r["id_a"], r["id_b"], r["n_shared"]) for r in found] == [(20, 21, 95)]
+    assert compared == [(20, 21)]
+
+
+def test_tokens_are_counted_once_for_a_clustering(spark, monkeypatch):
+    calls = []
+    plain = leaders.token_order
+    monkeypatch.setattr(leaders, "token_order", lambda *a: calls.append(1) or plain(*a))
+    monkeypatch.setattr(similarity, "token_order", lambda *a: calls.append(1) or plain(*a))
+    rows = make_sets(7, 60, 2)
+    got = leaders.leader_cluster(frame(spark, rows), "ds", "id", "bits", 0.65, 40, 10**9)
+    assert {(r["ds"], r["id"]) for r in got.collect()} == greedy(rows, 0.65)
+    assert len(calls) == 1
+
+
+def test_digests_stand_for_keys_in_exact_assignment(spark):
+    rows = spark.createDataFrame([("d", "k", 1), (None, "k", 2), ("d", None, 3), ("e", "k", 4)], "ds string, key string, id int")
+    nodes = spark.createDataFrame([("d", "k", 7), ("d", "k", 6), ("d", None, 5), (None, "k", 4)], "ds string, key string, cluster_ID int")
+    joined = similarity.assign_exact(rows, nodes, "ds", "key")
+    assert [tuple(r) for r in joined.collect()] == [("d", "k", 1, 6)]
+    assert joined.columns == ["ds", "key", "id", "cluster_ID"]
