@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import Window, functions as F
 
-from compscope.operators import ordered, ranking
+from compscope.operators import ordered, profile, ranking
 
 
 @pytest.fixture(scope="module")
@@ -98,3 +98,13 @@ def test_two_levels_equal_one(skewed, monkeypatch):
         monkeypatch.undo()
         assert two.exceptAll(one).count() == 0 and two.count() == one.count()
     assert ordered.running_totals(df.limit(0), ["g"], order, measures).count() == 0
+
+
+def test_box_statistics_do_not_gather_a_group(spark):
+    """Rows meet the quartiles and brackets of their group where they are: no join sorts or shuffles them."""
+    rows = spark.createDataFrame([("a", float(i)) for i in range(101)] + [("b", 5.0), (None, 1.0)], "k string, v double")
+    out = profile.box_stats(rows, ["k"], "v")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = {r["k"]: (r["q1"], r["median"], r["q3"], r["whisker_lo"], r["whisker_hi"]) for r in out.collect()}
+    assert got == {"a": (25.0, 50.0, 75.0, 0.0, 100.0), "b": (5.0, 5.0, 5.0, 5.0, 5.0)}
