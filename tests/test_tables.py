@@ -1,6 +1,7 @@
 """Validation, rounding, splits, statistics."""
 
 import math
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -179,3 +180,25 @@ def test_bins_merge_equal_edges(spark):
     assert profile.quantile_edges(df, "y", 4) == [0.0, 2.0]
     out = profile.quantile_bins(df, "y", 4)
     assert {r["bin"] for r in out.collect()} == {0}
+
+
+def test_cuts_read_the_rows_once(spark, monkeypatch):
+    """Ids that come twice, are null or share a stratum give the lowest hashes, from one pass."""
+    ids = [f"r{i // 2}" for i in range(399)] + [None] + [f"s{i}" for i in range(100)] + ["u"]
+    strata = ["x"] * 400 + [None] * 100 + ["y"]
+    rows = spark.createDataFrame(list(zip(ids, strata)), "id string, stratum string")
+    plans = []
+    write = splits.materialise
+    monkeypatch.setattr(
+        splits, "materialise",
+        lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name),
+    )
+    cuts = {(r["_c"], r["_s"]): tuple(r["_cut"]) for r in splits._cuts(rows, "id", [5, 6], 0.2).collect()}
+    want = {}
+    for c, seed in ((1, 5), (2, 6)):
+        for stratum in ("x", None):
+            texts = [(md5(f"{seed}|{i}".encode() if i else str(seed).encode()).hexdigest(), i) for i, s in zip(ids, strata) if s == stratum]
+            ranked = sorted(texts, key=lambda t: (t[0], t[1] or ""))
+            want[c, stratum] = ranked[int(0.2 * len(texts) + 0.5) - 1]
+    assert cuts == want
+    assert plans[0].count("LogicalRDD") == 2  # the rows and the bounds
