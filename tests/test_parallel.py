@@ -77,3 +77,25 @@ def test_cycles_side_by_side_equal_one_after_the_other(spark):
     summary, cv = models.benchmark_grid(split, rows, 3, models.CLASSIFIER, ["a", "b"], names, 3, 2)
     assert sorted((r["desc"], r["algo"]) for r in summary.collect()) == [(d, m) for d in "ab" for m in sorted(names)]
     assert scores(cv.where("desc = 'a'")) == one and cv.count() == 12
+
+
+def test_cycles_are_written_without_a_sort_and_large_fits_wait(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.range(200).select(
+        (F.col("id") % 2 + 1).cast("int").alias("cycle"),
+        F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split"),
+        (F.col("id") % 3 % 2).cast("double").alias("label"),
+        array_to_vector(F.array(F.col("id") % 3 % 2 + F.rand(3) * 0.1, F.rand(5))).alias("features"),
+    )
+    written, widths = [], []
+    write, beside = models.materialise, models.side_by_side
+    monkeypatch.setattr(models, "materialise", lambda df, name="step", **kw: written.append((name, kw)) or write(df, name, **kw))
+    monkeypatch.setattr(models, "side_by_side", lambda s, tasks, n=4: widths.append(n) or beside(s, tasks, n))
+    monkeypatch.setattr(models, "FIT_BYTES", 1)
+    out = models.cross_validate(rows, 2, models.CLASSIFIER, ["RandomForest", "ExtraTrees"], trees=2, depth=2)
+    assert sorted(r["cycle"] for r in out.collect()) == [1, 1, 2, 2]
+    assert not any(kw.get("partition_by") for _, kw in written)
+    assert [n for n, _ in written].count("cycle") == 2
+    # The rows are written side by side; the cycles and the two fits of each are not run so.
+    assert widths == [4, 1, 1, 1]
