@@ -11,7 +11,7 @@ import json
 from hashlib import md5
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialise
 
@@ -28,42 +28,101 @@ def _joined(*parts: Column | str) -> Column:
     return F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def both_ways(bonds: DataFrame, graph: str, a: str, b: str, kind: str) -> DataFrame:
-    """``g, x, y, t, bond``: every bond from both of its atoms. Repeated bonds count once (the smallest
+def _once(bonds: DataFrame, graph: str, a: str, b: str, kind: str) -> DataFrame:
+    """``g, x, y, t``: every bond once, x being the smaller name. Repeated bonds count once (the smallest
     kind); bonds of an atom with itself, and those with a null, are left out."""
     pair = bonds.where(F.col(a) != F.col(b)).select(
         F.col(graph).alias("g"), F.least(F.col(a).cast("string"), F.col(b).cast("string")).alias("x"),
         F.greatest(F.col(a).cast("string"), F.col(b).cast("string")).alias("y"), F.col(kind).cast("string").alias("t"),
     ).where("g IS NOT NULL")
-    once = pair.groupBy("g", "x", "y").agg(F.coalesce(F.min("t"), F.lit("")).alias("t"))
-    once = once.withColumn("bond", F.concat_ws("-", "x", "y"))
+    return pair.groupBy("g", "x", "y").agg(F.coalesce(F.min("t"), F.lit("")).alias("t"))
+
+
+def both_ways(bonds: DataFrame, graph: str, a: str, b: str, kind: str) -> DataFrame:
+    """``g, x, y, t, bond``: every bond of ``_once`` from both of its atoms."""
+    once = _once(bonds, graph, a, b, kind).withColumn("bond", F.concat_ws("-", "x", "y"))
     turned = once.select("g", F.col("y").alias("x"), F.col("x").alias("y"), "t", "bond")
     return materialise(once.unionAll(turned), "bonds")
 
 
+def _names(atoms: DataFrame, graph: str, atom: str, label: str) -> DataFrame:
+    named = atoms.select(F.col(graph).alias("g"), F.col(atom).cast("string").alias("x"), F.col(label).cast("string").alias("label"))
+    return named.groupBy("g", "x").agg(F.min("label").alias("label"))
+
+
+def lone_and_joined(
+    bonds: DataFrame, atoms: DataFrame, graph: str, a: str, b: str, kind: str, atom: str, label: str
+) -> tuple[DataFrame, DataFrame]:
+    """The bonds that touch no other bond, once each: ``g, x, y, t, lx, ly``; and the others from both of their
+    atoms: ``g, x, y, t, bond, label, d, to`` with the labels of x and y and the degree of x.
+
+    What follows from a bond that stands alone needs neither a join nor a shuffle, so only the others
+    go through the rounds.
+    """
+    once = _once(bonds, graph, a, b, kind)
+    ends = F.array(F.struct("x", F.lit(True).alias("low")), F.struct(F.col("y").alias("x"), F.lit(False).alias("low")))
+    halves = once.select("g", F.explode(ends).alias("_e"), "t", F.col("x").alias("x0"), F.col("y").alias("y0")).select(
+        "g", "_e.x", "_e.low", "t", F.when(F.col("_e.low"), F.col("y0")).otherwise(F.col("x0")).alias("other")
+    )
+    # Degrees and names meet the halves in the tasks that hold the atom; then halves meet again.
+    told = halves.withColumn("d", F.count("*").over(Window.partitionBy("g", "x"))).join(
+        _names(atoms, graph, atom, label), ["g", "x"], "left"
+    ).withColumn("label", F.coalesce("label", F.lit("")))
+    low = F.col("low")
+    whole = told.select(
+        "g", F.when(low, F.col("x")).otherwise(F.col("other")).alias("a"),
+        F.when(low, F.col("other")).otherwise(F.col("x")).alias("b"), "t", "low", "label", "d",
+    ).groupBy("g", "a", "b").agg(
+        F.max("t").alias("t"),
+        F.max(F.when(low, F.col("label"))).alias("lx"), F.max(F.when(~low, F.col("label"))).alias("ly"),
+        F.max(F.when(low, F.col("d"))).alias("dx"), F.max(F.when(~low, F.col("d"))).alias("dy"),
+    ).withColumnsRenamed({"a": "x", "b": "y"})
+    whole = materialise(whole, "ends")
+    alone = (F.col("dx") == 1) & (F.col("dy") == 1)
+    bond = F.concat_ws("-", "x", "y").alias("bond")
+    rest = whole.where(~alone)
+    turned = rest.select("g", F.col("y").alias("x"), F.col("x").alias("y"), "t", bond, F.col("ly").alias("label"), F.col("dy").alias("d"), F.col("lx").alias("to"))
+    joined = rest.select("g", "x", "y", "t", bond, F.col("lx").alias("label"), F.col("dx").alias("d"), F.col("ly").alias("to"))
+    return whole.where(alone).select("g", "x", "y", "t", "lx", "ly"), materialise(joined.unionAll(turned), "bonds")
+
+
 def labelled_atoms(arcs: DataFrame, atoms: DataFrame, graph: str, atom: str, label: str) -> DataFrame:
     """``g, x, label, d``: the atoms of a bond table with their labels (empty if unknown) and degrees."""
     degree = arcs.groupBy("g", "x").agg(F.count("*").alias("d"))
-    names = atoms.select(F.col(graph).alias("g"), F.col(atom).cast("string").alias("x"), F.col(label).cast("string").alias("label"))
-    names = names.groupBy("g", "x").agg(F.min("label").alias("label"))
-    return degree.join(names, ["g", "x"], "left").select("g", "x", F.coalesce("label", F.lit("")).alias("label"), "d")
+    return degree.join(_names(atoms, graph, atom, label), ["g", "x"], "left").select("g", "x", F.coalesce("label", F.lit("")).alias("label"), "d")
 
 
 def circular_features(
     bonds: DataFrame, atoms: DataFrame, graph: str, a: str, b: str, kind: str, atom: str, label: str, radius: int = 2
 ) -> DataFrame:
-    """``g, feature``: the distinct circular features of every molecule (the extended-connectivity scheme
+    """``g, feature``: the distinct circular features of every molecule, see ``_circular_rows``."""
+    return _circular_rows(bonds, atoms, graph, a, b, kind, atom, label, radius).distinct()
+
+
+def _circular_rows(
+    bonds: DataFrame, atoms: DataFrame, graph: str, a: str, b: str, kind: str, atom: str, label: str, radius: int
+) -> DataFrame:
+    """``g, feature``: the circular features of every molecule, also repeated (the extended-connectivity scheme
     of Rogers and Hahn 2010; with functional classes as labels, its functional-class variant).
 
     Round 0 gives an atom a number from its label and degree. In every further round its number follows
     from its own and the sum over its bonds of a number for (kind, neighbour's number), so an atom of any
     degree is a grouped sum. The bonds that a number has seen are kept as rows; of numbers that saw the same
-    set of bonds of a molecule only the one of the earliest round stays (the smallest of a round).
+    set of bonds of a molecule only the one of the earliest round stays (the smallest of a round). The two atoms of
+    a bond that stands alone see that bond in every round, so their part ends with round 1.
     """
-    arcs = both_ways(bonds, graph, a, b, kind)
-    known = labelled_atoms(arcs, atoms, graph, atom, label)
+    lone, arcs = lone_and_joined(bonds, atoms, graph, a, b, kind, atom, label)
+    one, other = (digest_number(_joined("0", F.col(l), F.lit(1))) for l in ("lx", "ly"))
+    single = lone.select("g", "t", one.alias("i"), other.alias("j"))
+
+    def next_id(own: str, far: str) -> Column:
+        return digest_number(_joined("1", F.col(own), digest_number(_joined(F.col("t"), F.col(far)), digits=SUM_DIGITS)))
+
+    numbers = [F.col("i"), F.col("j"), *([F.least(next_id("i", "j"), next_id("j", "i"))] if radius > 0 else [])]
+    single = single.select("g", F.explode(F.array(*numbers)).alias("id"))
+    known = arcs.select("g", "x", "label", "d").distinct()
     now = materialise(known.select("g", "x", digest_number(_joined("0", F.col("label"), F.col("d"))).alias("id")), "round")
-    features = now.select("g", "id")
+    features = single.unionAll(now.select("g", "id"))
     seen = arcs.select("g", "x", "bond")
     rounds = []
     for r in range(1, radius + 1):
@@ -88,7 +147,7 @@ def circular_features(
             whole = whole.unionAll(more)
         first = whole.groupBy("g", "n", "s1", "s2").agg(F.min(F.struct("r", "id")).alias("_f"))
         features = features.unionAll(first.select("g", F.col("_f.id").alias("id")))
-    return features.select("g", F.col("id").alias("feature")).distinct()
+    return features.select("g", F.col("id").alias("feature"))
 
 
 def circular_fingerprint(
@@ -96,7 +155,7 @@ def circular_fingerprint(
 ) -> DataFrame:
     """``<graph>, bits``: the circular features of every molecule folded to ``n_bits``, sorted. A molecule
     without bonds has no row."""
-    found = circular_features(bonds, atoms, graph, a, b, kind, atom, label, radius)
+    found = _circular_rows(bonds, atoms, graph, a, b, kind, atom, label, radius)
     return _folded(found.select("g", (F.col("feature") % n_bits).cast("int").alias("b")), graph)
 
 
@@ -114,24 +173,28 @@ def path_fingerprint(
 
     Paths grow by one bond per round, by a join on their last atom; an atom is entered once. What was
     found is kept as distinct label strings per molecule, so copies of a path in a molecule cost a row
-    only in the round that finds them.
+    only in the round that finds them. A bond that stands alone is its only path, and an atom with one
+    bond ends every path that comes to it: neither is joined.
     """
-    arcs = both_ways(bonds, graph, a, b, kind)
-    known = materialise(labelled_atoms(arcs, atoms, graph, atom, label).select("g", "x", "label"), "atoms")
-    steps = materialise(arcs.join(known.select("g", F.col("x").alias("y"), "label"), ["g", "y"]).select(
-        "g", F.col("x").alias("last"), "y", F.concat_ws("", F.lit("-"), "t", F.lit("-")).alias("t"), F.col("label").alias("to")
-    ), "steps")
-    paths = known.select("g", F.array("x").alias("atoms"), F.col("x").alias("last"), F.col("label").alias("there"), F.col("label").alias("back"))
-    strings = None
-    for _ in range(max_bonds):
-        longer = paths.join(steps, ["g", "last"]).where(~F.array_contains("atoms", F.col("y")))
-        paths = materialise(longer.select(
-            "g", F.array_append("atoms", F.col("y")).alias("atoms"), F.col("y").alias("last"),
-            F.concat("there", "t", "to").alias("there"), F.concat("to", "t", "back").alias("back"),
-        ), "paths")
+    lone, arcs = lone_and_joined(bonds, atoms, graph, a, b, kind, atom, label)
+    link = F.concat_ws("", F.lit("-"), "t", F.lit("-"))
+    strings = lone.select("g", F.least(F.concat("lx", link, "ly"), F.concat("ly", link, "lx")).alias("path"))
+    steps = arcs.where("d > 1").select("g", F.col("x").alias("last"), "y", link.alias("t"), "to")
+    steps = materialise(steps, "steps")
+    paths = arcs.select(
+        "g", F.array("x", "y").alias("atoms"), F.col("y").alias("last"),
+        F.concat("label", link, "to").alias("there"), F.concat("to", link, "label").alias("back"),
+    )
+    for n in range(1, max_bonds + 1):
+        if n > 1:
+            longer = paths.join(steps, ["g", "last"]).where(~F.array_contains("atoms", F.col("y")))
+            paths = materialise(longer.select(
+                "g", F.array_append("atoms", F.col("y")).alias("atoms"), F.col("y").alias("last"),
+                F.concat("there", "t", "to").alias("there"), F.concat("to", "t", "back").alias("back"),
+            ), "paths")
         # Every path was found from both ends.
         new = paths.where(F.element_at("atoms", 1) < F.col("last")).select("g", F.least("there", "back").alias("path")).distinct()
-        strings = new if strings is None else strings.unionAll(new)
+        strings = strings.unionAll(new)
     numbers = [(digest_number(F.col("path"), 1 + 8 * k) % n_bits).cast("int") for k in range(hashes)]
     return _folded(strings.select("g", F.explode(F.array(*numbers)).alias("b")), graph)
 

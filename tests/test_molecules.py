@@ -81,6 +81,26 @@ def test_fingerprints_equal_brute_force(spark):
     assert molecules.circular_fingerprint(bonds.limit(0), atoms, "m", "a", "b", "t", "atom", "label").count() == 0
 
 
+def test_bonds_that_stand_alone_skip_the_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    graphs = {f"p{i}": ({"x": "C", "y": "CN"[i % 2], "z": "O"}, [("y", "x", "12"[i % 3 % 2])]) for i in range(6)}
+    labels, lines = random_graph(rng, 5)
+    graphs["both"] = (labels | {"u": "N", "v": "C", "w": "C", "q": "N"}, [*lines, ("u", "v", "2"), ("q", "w", "2")])
+    bonds, atoms = tables(spark, graphs)
+    written = []
+    write = molecules.materialise
+    monkeypatch.setattr(molecules, "materialise", lambda df, name="step", **kw: written.append((name, write(df, name, **kw))) or written[-1][1])
+    for radius in (0, 1, 3):
+        found = molecules.circular_features(bonds, atoms, "m", "a", "b", "t", "atom", "label", radius).collect()
+        assert {g: {r.feature for r in found if r.g == g} for g in graphs} == {g: brute_circular(*v, radius) for g, v in graphs.items()}
+        assert len(found) == len(set(found))
+    for most in (1, 3):
+        got = {r.m: r.bits for r in molecules.path_fingerprint(bonds, atoms, "m", "a", "b", "t", "atom", "label", most, 512).collect()}
+        assert got == {g: sorted({h(p, k) % 512 for p in brute_paths(*v, most) for k in (0, 8)}) for g, v in graphs.items()}
+    rounds = [df for name, df in written if name != "ends"]
+    assert all(df.where("g <> 'both' OR x IN ('u', 'v', 'w', 'q')" if "x" in df.columns else "g <> 'both'").isEmpty() for df in rounds)
+
+
 def form(labels, lines):
     """The smallest description over all numberings."""
     return min(
