@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from compscope.operators import bit_blocks, graph, leaders, similarity
+from compscope.session import materialise
 
 
 def tanimoto(a, b):
@@ -142,6 +143,59 @@ def test_two_core(spark):
     assert kept - core == {("ring", 2, 6)}
 
 
+def plain_core(rows):
+    """The 2-core by definition; edges without a graph are never stripped."""
+    live = {(g, min(a, b), max(a, b)) for g, a, b in rows if a is not None and b is not None and a != b}
+    while True:
+        ends = [(g, n) for g, a, b in live for n in (a, b)]
+        tips = {e for e in ends if ends.count(e) == 1 and e[0] is not None}
+        left = {(g, a, b) for g, a, b in live if (g, a) not in tips and (g, b) not in tips}
+        if left == live:
+            return live
+        live = left
+
+
+@pytest.mark.parametrize("numbers,rounds", [(None, 10), (None, 2), (5, 10), (1, 3)])
+def test_two_core_equals_plain_stripping(spark, monkeypatch, numbers, rounds):
+    """Chains, stars, single edges, copies, loops and nulls; also with nodes that share a number."""
+    monkeypatch.setattr(graph, "MERGED_ROUNDS", rounds)
+    if numbers:
+        from pyspark.sql import functions as F
+
+        monkeypatch.setattr(graph, "_node_number", lambda g, n: F.pmod(F.xxhash64(g, n), F.lit(numbers)))
+    rnd = random.Random(6)
+    rows = [(g, f"n{rnd.randrange(30)}", f"n{rnd.randrange(30)}") for g in ("x", "y", "z") for _ in range(32)]
+    rows += [("tail", f"r{i}", f"r{(i + 1) % 5}") for i in range(5)] + [("tail", "r0", "t0")]
+    rows += [("tail", f"t{i}", f"t{i + 1}") for i in range(8)]
+    rows += [("chain", f"c{i}", f"c{i + 1}") for i in range(7)] + [("star", "hub", f"s{i}") for i in range(9)]
+    rows += [("pair", "p", "q"), (None, "c1", "c2"), (None, "c2", "c3"), ("x", None, "n1"), ("x", "n2", None)]
+    rows += [(g, b, a) for g, a, b in rows[::3]] + rows[::4]
+    got = [tuple(r) for r in graph.two_core(spark.createDataFrame(rows, "g string, a string, b string"), "g", "a", "b").collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_core(rows)
+
+
+def test_two_core_of_no_edges(spark):
+    for rows in ([], [("x", "n", "n")], [(None, "a", "b")]):
+        got = graph.two_core(spark.createDataFrame(rows, "g string, a string, b string"), "g", "a", "b")
+        assert {tuple(r) for r in got.collect()} == plain_core(rows)
+
+
+def test_rounds_of_two_core_write_only_what_changes(spark, monkeypatch):
+    """A ring of 500 atoms with a tail of 12: a round touches one atom, not the ring."""
+    written = []
+
+    def counted(df, *more):
+        out = materialise(df, *more)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialise", counted)
+    rows = [("m", i, (i + 1) % 500) for i in range(500)] + [("m", 499 + i, 500 + i) for i in range(12)]
+    got = graph.two_core(spark.createDataFrame(rows, "g string, a long, b long"), "g", "a", "b")
+    assert got.count() == 500
+    assert sum(written) < 4 * len(rows)
+
+
 def test_forest_candidates_find_copies_without_listing_all_pairs(spark):
     from pyspark.sql import functions as F
 
