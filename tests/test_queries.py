@@ -49,6 +49,16 @@ def test_preprocessing_is_fitted_once_and_members_are_shared(spark, monkeypatch)
     assert fitted["Consensus"].members == [fitted[a].members[0] for a in models.MEMBERS]
 
 
+def test_boosted_regressor_is_trained_whole(spark, monkeypatch):
+    """Its query asks for the library's 500 trees of depth 5 (here two are grown), with a place for checkpoints."""
+    asked, fit = [], models.fit
+    monkeypatch.setattr(models, "fit", lambda df, task, algorithm, features, trees, depth: asked.append(
+        (task, algorithm, trees, depth)) or fit(df, task, algorithm, features, 2, 2))
+    assert QUERIES["train_regressor_gbt"](spark, SF).count() == 1
+    assert asked == [(models.REGRESSOR, "StochasticBoosting", 500, 5)]
+    assert spark.sparkContext.getCheckpointDir()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
