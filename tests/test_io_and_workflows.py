@@ -255,6 +255,22 @@ def test_materialised_tables_live_in_the_shared_folder(spark):
     assert os.path.normpath(file).startswith(os.path.normpath(shared_folder(spark).removeprefix("file:")))
 
 
+def test_shuffle_files_go_with_the_write_and_tables_can_be_discarded(spark):
+    import os
+
+    from compscope.session import CLEANUP, discard, materialise
+
+    kept = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    rows = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    before, switch = kept.size(), spark.conf.get(CLEANUP)
+    table = materialise(rows, "counted")
+    assert kept.size() <= before and spark.conf.get(CLEANUP) == switch
+    assert rows.count() == table.count() == 10
+    folder = table.written_to
+    discard(table)
+    assert not os.path.exists(folder)
+
+
 def test_predict_from_file_to_file(spark, tmp_path):
     train = spark.range(200).select(
         F.concat(F.lit("C"), F.repeat(F.lit("C"), (F.col("id") % 9).cast("int"))).alias("smiles")

@@ -196,6 +196,27 @@ def test_rounds_of_two_core_write_only_what_changes(spark, monkeypatch):
     assert sum(written) < 4 * len(rows)
 
 
+def test_forest_labels_are_sorted_once_and_not_kept(spark, monkeypatch, tmp_path):
+    """Positions are those of the sorted labels, over several ranges; of what was written only places are left."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(graph, "RANGE_BYTES", 300)
+    names, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: names.append((name, df.columns)) or write(df, name))
+    rng = random.Random(31)
+    signed = {i: [rng.choice([0, 1, 2**31 - 2, 2**32 - 1, 2**33]) for _ in range(8)] if i % 9 else [] for i in range(80)}
+    df = spark.createDataFrame([*signed.items(), (200, signed[1])], "id long, sig array<bigint>")
+    got = {(r.tree, r.position): r.id for r in graph.lsh_forest(df, "id", "sig", 4).collect()}
+    want = {}
+    for t in range(4):
+        labels = sorted((s[2 * t : 2 * t + 2], i) for i, s in [*signed.items(), (200, signed[1])] if s)
+        want |= {(t, n): i for n, (_, i) in enumerate(labels, 1)}
+    assert got == want
+    assert names == [("labels", ["id", "_l"]), ("places", ["tree", "id", "_at"])]
+    with pytest.raises(Exception, match="no multiple of 3 trees"):
+        graph.lsh_forest(df, "id", "sig", 3).collect()
+
+
 def test_forest_candidates_find_copies_without_listing_all_pairs(spark):
     from pyspark.sql import functions as F
 
