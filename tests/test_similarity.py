@@ -275,6 +275,31 @@ def test_nearest_by_blocks_equal_brute_force(spark, monkeypatch, k, block):
     assert got == want
 
 
+def test_nearest_rows_of_one_table_take_one_product_for_both_sides(spark, monkeypatch):
+    """Ids are texts, many rows are alike, and each pair of blocks meets in one cell only."""
+    monkeypatch.setattr(bit_blocks, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(bit_blocks, "TILE_ROWS", 4)
+    monkeypatch.setattr(bit_blocks, "CELLS_PER_CORE", 1)
+    grids, grid = [], bit_blocks._grid
+    monkeypatch.setattr(bit_blocks, "_grid", lambda *a, **kw: grids.append(grid(*a, **kw)) or grids[-1])
+    rows = [(d, "x" * (i % 3) + str(i), b) for d, i, b in wide(make_sets(21, 70, 1))] + [("d0", "y", set()), ("d0", "z", set())]
+    rows += [("d0", f"same{i}", {1, 2, 3}) for i in range(20)]
+    df = spark.createDataFrame([(d, i, sorted(b)) for d, i, b in rows], "ds string, id string, bits array<int>")
+    got = {(r.src, r["rank"]): (r.dst, r.weight, r.similarity) for r in bit_blocks.block_nearest(df, df, ["ds"], "id", "bits", 256, 4).collect()}
+    want = {}
+    for _, i, a in rows:
+        order = sorted((10**6 - 10**6 * len(a & b) // max(len(a | b), 1), j, tanimoto(a, b)) for _, j, b in rows if j != i)
+        want |= {(i, n): (j, w, s) for n, (w, j, s) in enumerate(order[:4], 1)}
+    assert got == want
+    cells = {}
+    for r in grids[0].select("g_a", "g_b", "side", "cls", "sub").collect():
+        cells.setdefault((r.g_a, r.g_b), ([], []))[r.side].append((r.cls, r["sub"]))
+    met = [frozenset((a, b)) for left, right in cells.values() for a in left for b in right if a != b]
+    twice = [p for p in set(met) if met.count(p) > 1]
+    inside = [frozenset((a, b)) for (x, y), (left, _) in cells.items() if x == y for a in left for b in left if a < b]
+    assert len(cells) > 1 and set(twice) <= set(inside)
+
+
 def test_best_block_partner_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(bit_blocks, "BLOCK_ROWS", 8)
     monkeypatch.setattr(bit_blocks, "GROUP_BLOCKS", 2)
@@ -367,6 +392,21 @@ def test_forest_pairs_are_counted_in_cells(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def test_word_grams_hashed_at_once_equal_the_expression(spark, monkeypatch):
+    """Long words, foreign letters, all blanks of Java, texts of few words, and none."""
+    from pyspark.sql import functions as F
+
+    from compscope.functions import fingerprints as fp
+
+    monkeypatch.setattr(fp, "TEXT_BYTES", 40)
+    monkeypatch.setattr(fp, "TILE_GRAMS", 3)
+    texts = [None, "", " \t", "a", "a b", " a b  c", "x\x0by\x0cz\r\nw \x85\x1c v", "é ü 語 😀 q", "w" * 53 + " a b c", "w" * 200 + " a b c d", "a b c " * 9]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1024, 2**31 - 1):
+        rows = df.select(fp.qgram_fingerprint(F.col("t"), q=3, n_bits=n, unit="word").alias("a"), fp.word_gram_bits(F.col("t"), 3, n).alias("b"))
+        assert all(r.a == r.b for r in rows.collect())
+
+
 def test_signatures_come_in_bounded_batches(spark):
     from pyspark.sql import functions as F
 
